@@ -3,13 +3,13 @@
 from flowloop.functions.addresses import ip_to_long
 from flowloop.functions.answers import answer_to_bit
 from flowloop.functions.identifiers import random_id
-from flowloop.functions.timerange import hour_bucket, hours_between, in_window
+from flowloop.functions.timerange import in_window, period_of, periods_between
 
 __all__ = [
     "answer_to_bit",
-    "hour_bucket",
-    "hours_between",
     "in_window",
     "ip_to_long",
+    "period_of",
+    "periods_between",
     "random_id",
 ]

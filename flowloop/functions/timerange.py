@@ -1,4 +1,4 @@
-"""Half-open look-back windows and the hour buckets tables are partitioned by.
+"""Half-open look-back windows and the periods tables are partitioned by.
 
 Times without a zone, in Python and in ``timestamp_ntz`` columns, are UTC.
 """
@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
-_HOUR = timedelta(hours=1)
 
 
 def _utc(moment: datetime) -> datetime:
@@ -32,16 +31,17 @@ def in_window(df: DataFrame, ts_col: str, as_of: datetime, lookback: timedelta)
     return (ts >= _literal(as_of - lookback, dtype)) & (ts < _literal(as_of, dtype))
 
 
-def hour_bucket(df: DataFrame, ts_col: str) -> Column:
-    """Whole hours since 1970-01-01 00:00 UTC, whatever the session time zone."""
+def period_of(df: DataFrame, ts_col: str, hours: int = 1) -> Column:
+    """Whole periods of ``hours`` since 1970-01-01 00:00 UTC, in any session time zone."""
     if isinstance(df.schema[ts_col].dataType, T.TimestampNTZType):
-        hours = F.expr(f"(`{ts_col}` - timestamp_ntz'1970-01-01') div interval '1' hour")
+        passed = F.expr(f"(`{ts_col}` - timestamp_ntz'1970-01-01') div interval '1' hour")
     else:
-        hours = F.floor(F.unix_seconds(F.col(ts_col)) / 3600)
-    return hours.cast("int")
+        passed = F.floor(F.unix_seconds(F.col(ts_col)) / 3600)
+    return F.floor(passed / hours).cast("int")
 
 
-def hours_between(as_of: datetime, lookback: timedelta) -> range:
-    """The hour buckets that ``in_window`` can touch."""
-    last = (_utc(as_of) - timedelta(microseconds=1) - _EPOCH) // _HOUR
-    return range((_utc(as_of) - lookback - _EPOCH) // _HOUR, last + 1)
+def periods_between(as_of: datetime, lookback: timedelta, hours: int = 1) -> range:
+    """The periods that ``in_window`` can touch."""
+    length = timedelta(hours=hours)
+    last = (_utc(as_of) - timedelta(microseconds=1) - _EPOCH) // length
+    return range((_utc(as_of) - lookback - _EPOCH) // length, last + 1)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from flowloop.operators.candidates import with_ids
 from flowloop.operators.labelling import LABEL_COLUMNS, resolve_answers, stamp
 from flowloop.schemas import CANDIDATE, PREDICTION_CANDIDATE
-from flowloop.sources.tables import append_hours
+from flowloop.sources.tables import append_periods
 
 
 def park_candidates(candidates: DataFrame, path: str, parked_at=None) -> None:
@@ -19,7 +19,7 @@ def park_candidates(candidates: DataFrame, path: str, parked_at=None) -> None:
     rows = with_ids(candidates).drop("ts").withColumn("parked_at", parked_at)
     if "predictedLabel" not in rows.columns:
         rows = rows.withColumn("predictedLabel", F.lit(None).cast("string"))
-    append_hours(rows, path, "parked_at")
+    append_periods(rows, path, "parked_at")
 
 
 def parked_candidates(spark: SparkSession, path: str, predictions: bool = False) -> DataFrame:
@@ -33,4 +33,4 @@ def record_answers(
     """Append the labels of one set of submissions to that topic's label table."""
     labels = resolve_answers(submissions, candidates, LABEL_COLUMNS[topic])
     moment = F.current_timestamp() if labelled_at is None else labelled_at
-    append_hours(stamp(labels, moment), path, "labelled_at")
+    append_periods(stamp(labels, moment), path, "labelled_at")

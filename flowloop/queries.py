@@ -33,7 +33,7 @@ from flowloop.schemas import CANDIDATE, FEATURES, PREDICTION_CANDIDATE, label_re
 from flowloop.session import work_path
 from flowloop.sources import events as derived
 from flowloop.sources.models import USER, ModelPair, ModelStore
-from flowloop.sources.tables import append_hours, read_window
+from flowloop.sources.tables import append_periods, read_window
 from flowloop.streaming.registry import ModelRegistry
 from flowloop.streaming.scoring import file_sink, start_scoring
 
@@ -223,12 +223,12 @@ def training_set_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def training_set_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from a stored label table, of which only the day's hours are read."""
+    """The same from a stored label table, of which only the day's folder is read."""
     label = f"CASE WHEN event_id % 3 <> 1 THEN {ERROR_LABEL} END"
     labels = _labels(spark, sf_dir, label, "validated_label")
     path = work_path(spark, "validated_labels")
-    append_hours(labels, path, "labelled_at", backfill=True)
-    window = read_window(spark, path, labels.schema, "labelled_at", AS_OF, DAY)
+    append_periods(labels, path, "labelled_at", hours=24, backfill=True)
+    window = read_window(spark, path, labels.schema, "labelled_at", AS_OF, DAY, hours=24)
     data = training.training_set(window, AS_OF, DAY, "validated_label")
     return data.select(*FEATURES, "label")
 
@@ -327,7 +327,7 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = start_scoring(
         derived.messages(events),
         ModelRegistry(store),
-        file_sink(out),
+        file_sink(out, hours=24),
         checkpoint=work_path(spark, "checkpoint"),
         trigger={"availableNow": True},
     )

@@ -2,12 +2,12 @@
 
 from flowloop.sources.messages import kafka_messages, table_messages, write_kafka
 from flowloop.sources.models import ModelPair, ModelStore
-from flowloop.sources.tables import append_hours, read_window, replace_batch
+from flowloop.sources.tables import append_periods, read_window, replace_batch
 
 __all__ = [
     "ModelPair",
     "ModelStore",
-    "append_hours",
+    "append_periods",
     "kafka_messages",
     "read_window",
     "replace_batch",

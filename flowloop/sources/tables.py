@@ -1,40 +1,48 @@
-"""Parquet tables partitioned by hour, so that a look-back reads only its hours."""
+"""Parquet tables partitioned by time, so that a look-back reads only its periods.
+
+A period is ``hours`` long and every writer and reader of one table uses the same
+length: an hour for busy tables, a day for small ones.
+"""
 
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from flowloop.functions.timerange import hour_bucket, hours_between, in_window
+from flowloop.functions import in_window, period_of, periods_between
 
-HOUR = "hour"
+PERIOD = "period"
 
 
-def append_hours(df: DataFrame, path: str, ts_col: str, backfill: bool = False) -> None:
-    """Append rows under ``hour=<hours since epoch>``.
+def append_periods(
+    df: DataFrame, path: str, ts_col: str, hours: int = 1, backfill: bool = False
+) -> None:
+    """Append rows under ``period=<periods since epoch>``.
 
-    Rows of the current hour need no shuffle. A ``backfill`` spans many hours:
-    it brings each hour's rows together first, which gives every hour a few files
-    instead of one per task, and lets the adaptive plan split a crowded hour.
+    Rows of the current period need no shuffle. A ``backfill`` spans many: it
+    brings each period's rows together first, which gives every period a few files
+    instead of one per task, and lets the adaptive plan split a crowded one.
     """
-    rows = df.withColumn(HOUR, hour_bucket(df, ts_col))
+    rows = df.withColumn(PERIOD, period_of(df, ts_col, hours))
     if backfill:
-        rows = rows.hint("rebalance", HOUR)
-    rows.write.mode("append").partitionBy(HOUR).parquet(path)
+        rows = rows.hint("rebalance", PERIOD)
+    rows.write.mode("append").partitionBy(PERIOD).parquet(path)
 
 
-def replace_batch(df: DataFrame, path: str, ts_col: str, batch_id: int) -> None:
-    """Write one micro-batch of messages under ``topic=/hour=/batch_id=``.
+def replace_batch(
+    df: DataFrame, path: str, ts_col: str, batch_id: int, hours: int = 1
+) -> None:
+    """Write one micro-batch of messages under ``topic=/period=/batch_id=``.
 
     A repeated batch holds the same rows, so it overwrites exactly the
     partitions its first run wrote and never another batch's.
     """
     (
         df.selectExpr("*", f"{int(batch_id)}L AS batch_id")
-        .withColumn(HOUR, hour_bucket(df, ts_col))
+        .withColumn(PERIOD, period_of(df, ts_col, hours))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("topic", HOUR, "batch_id")
+        .partitionBy("topic", PERIOD, "batch_id")
         .parquet(path)
     )
 
@@ -53,17 +61,18 @@ def read_window(
     ts_col: str,
     as_of: datetime,
     lookback: timedelta,
+    hours: int = 1,
     under: str = "",
 ) -> DataFrame:
     """Rows with ``as_of - lookback <= ts < as_of``.
 
-    Lists only the hour folders the window touches, so the cost follows the
+    Lists only the folders the window touches, so the cost follows the
     window and not the age of the table. ``under`` is a leading partition such
     as ``topic=model_predictions``.
     """
     root = f"{path.rstrip('/')}/{under}".rstrip("/")
-    folders = [f"{root}/{HOUR}={hour}" for hour in hours_between(as_of, lookback)]
-    folders = _existing(spark, folders)
+    periods = periods_between(as_of, lookback, hours)
+    folders = _existing(spark, [f"{root}/{PERIOD}={period}" for period in periods])
     if not folders:
         df = spark.createDataFrame([], schema)
     else:

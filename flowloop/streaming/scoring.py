@@ -19,9 +19,9 @@ Sink = Callable[[DataFrame, int], None]
 FLOW_COUNTS = "flow_counts"
 
 
-def file_sink(path: str) -> Sink:
+def file_sink(path: str, hours: int = 1) -> Sink:
     """Scored messages as a table; a repeated batch replaces itself."""
-    return lambda scored, batch_id: replace_batch(scored, path, "ts", batch_id)
+    return lambda scored, batch_id: replace_batch(scored, path, "ts", batch_id, hours)
 
 
 def kafka_sink(servers: str, **options: str) -> Sink:

@@ -45,14 +45,12 @@ def score_forest(df: DataFrame, model: PipelineModel, prefix: str = "") -> DataF
 
 
 def _message(topic: str, algo: str, prefix: str, fields: list[str]) -> Column:
-    body = F.struct(
-        *_FLOW_FIELDS,
-        *[F.col(f"{prefix}{field}").alias(field) for field in fields],
-        F.lit(algo).alias("algo"),
-    )
-    return F.struct(
-        F.lit(topic).alias("topic"), F.lit(algo).alias("algo"), F.to_json(body).alias("value")
+    """One message: the flow's text, opened at its end for the model's own fields."""
+    added = F.to_json(
+        F.struct(*[F.col(f"{prefix}{f}").alias(f) for f in fields], F.lit(algo).alias("algo"))
     )
+    value = F.concat(F.col("flow_head"), F.substring(added, 2, 2**31 - 1))
+    return F.struct(F.lit(topic).alias("topic"), F.lit(algo).alias("algo"), value.alias("value"))
 
 
 def score_messages(
@@ -81,5 +79,11 @@ def score_messages(
             scored = score_forest(scored, pair.forest, f"{prefix}{FOREST}_")
         messages.append(_message(topic, KMEANS, f"{prefix}{KMEANS}_", ["prediction"]))
         messages.append(_message(topic, FOREST, f"{prefix}{FOREST}_", _FOREST_FIELDS))
+    # The flow part of the text is the same in all its messages: written once, and
+    # never empty, so cutting its closing brace and adding a comma is enough.
+    flow_text = F.col("flow_text")
+    head = F.concat(F.substring(flow_text, F.lit(1), F.length(flow_text) - 1), F.lit(","))
+    texts = scored.withColumn("flow_text", F.to_json(F.struct(*_FLOW_FIELDS)))
+    texts = texts.withColumn("flow_head", head)
     carried = [c for c in flows.columns if c not in _FLOW_FIELDS]
-    return scored.select("key", *carried, F.inline(F.array(*messages)))
+    return texts.select("key", *carried, F.inline(F.array(*messages)))

@@ -1,0 +1,133 @@
+from datetime import UTC, datetime, timedelta
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from flowloop.functions import (
+    answer_to_bit,
+    in_window,
+    ip_to_long,
+    period_of,
+    periods_between,
+    random_id,
+)
+
+ADDRESSES = [
+    ("1.2.3.4", 16909060),
+    ("0.0.0.0", 0),
+    ("255.255.255.255", 4294967295),
+    ("10.0.200.9", 167823369),
+    ("", None),
+    (None, None),
+    ("1.2.3", None),
+    ("127.1", None),
+    ("0x7f.1", None),
+    ("010.0.0.1", None),
+    ("00.0.0.0", None),
+    ("1.2.3.4 x", None),
+    (" 1.2.3.4", None),
+    ("1.2.3.4\n", None),
+    ("256.1.1.1", None),
+    ("1.2.3.999", None),
+    ("1.2.3.4.5", None),
+    ("1..3.4", None),
+    ("1.2.3.", None),
+    ("+1.2.3.4", None),
+    ("-1.2.3.4", None),
+    ("1.2.3.1e1", None),
+    ("١.2.3.4", None),
+    ("::1", None),
+    ("a", None),
+]
+
+
+def test_ip_to_long(spark):
+    df = spark.createDataFrame(ADDRESSES, "ip string, expected bigint")
+    wrong = df.filter(~ip_to_long(F.col("ip")).eqNullSafe(F.col("expected")))
+    assert wrong.collect() == []
+    assert df.select(ip_to_long(F.col("ip"))).dtypes[0][1] == "bigint"
+
+
+def test_ip_to_long_every_octet_value(spark):
+    octets = spark.range(256).withColumnRenamed("id", "o")
+    for place in range(4):
+        parts = [F.col("o") if i == place else F.lit(7) for i in range(4)]
+        expected = sum((p * 256 ** (3 - i) for i, p in enumerate(parts)), F.lit(0))
+        wrong = octets.filter(~ip_to_long(F.concat_ws(".", *parts)).eqNullSafe(expected))
+        assert wrong.count() == 0
+
+
+def test_answer_to_bit(spark):
+    rows = [("true", 1), ("True", 0), ("TRUE", 0), (" true", 0), ("false", 0), ("", 0), (None, 0)]
+    df = spark.createDataFrame(rows, "answer string, expected int")
+    assert df.filter(answer_to_bit(F.col("answer")) != F.col("expected")).count() == 0
+
+
+def test_random_ids_are_48_bit_and_distinct(spark):
+    ids = [row[0] for row in spark.range(5000).select(random_id()).collect()]
+    assert len(set(ids)) == 5000
+    assert all(0 <= i < 2**48 for i in ids)
+    assert max(ids) > 2**47
+
+
+AS_OF = datetime(2024, 1, 30)
+
+
+@pytest.mark.parametrize("dtype", ["timestamp", "timestamp_ntz"])
+def test_window_is_half_open(spark, dtype):
+    times = ["2024-01-29 22:59:59.999999", "2024-01-29 23:00:00", "2024-01-29 23:59:59.999999",
+             "2024-01-30 00:00:00"]
+    df = spark.createDataFrame([(t,) for t in times], "t string")
+    df = df.select("t", F.col("t").cast(dtype).alias("ts"))
+    kept = df.filter(in_window(df, "ts", AS_OF, timedelta(hours=1))).collect()
+    assert [row.t for row in kept] == times[1:3]
+
+
+def test_window_takes_zoned_times(spark):
+    df = spark.sql("SELECT timestamp'2024-01-29 23:30:00' AS ts")
+    as_of = AS_OF.replace(tzinfo=UTC)
+    assert df.filter(in_window(df, "ts", as_of, timedelta(hours=1))).count() == 1
+    assert df.filter(in_window(df, "ts", as_of, timedelta(minutes=30))).count() == 1
+    assert df.filter(in_window(df, "ts", as_of, timedelta(minutes=29))).count() == 0
+
+
+def test_window_reaches_the_scan(events):
+    from tests.conftest import plan_of
+
+    plan = plan_of(events.filter(in_window(events, "ts", AS_OF, timedelta(hours=1))))
+    assert "GreaterThanOrEqual(ts,2024-01-29T23:00)" in plan
+    assert "LessThan(ts,2024-01-30T00:00)" in plan
+
+
+@settings(max_examples=200, deadline=None)
+@given(
+    st.datetimes(datetime(1971, 1, 1), datetime(2100, 1, 1)),
+    st.integers(1, 10**8),
+    st.integers(0, 10**8),
+    st.sampled_from([1, 3, 24]),
+)
+def test_periods_cover_the_window(as_of, lookback, offset, hours):
+    lookback = timedelta(milliseconds=lookback)
+    moment = as_of - lookback + min(timedelta(milliseconds=offset), lookback - timedelta(microseconds=1))
+    period = (moment - datetime(1970, 1, 1)) // timedelta(hours=hours)
+    assert period in periods_between(as_of, lookback, hours)
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+@pytest.mark.parametrize("hours", [1, 24])
+def test_periods_do_not_depend_on_the_session_zone(spark, zone, hours):
+    moment = datetime(2024, 11, 3, 5, 59, 59, 999999)
+    expected = (moment - datetime(1970, 1, 1)) // timedelta(hours=hours)
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.sql(
+            "SELECT timestamp'2024-11-03 05:59:59.999999Z' AS a,"
+            " timestamp_ntz'2024-11-03 05:59:59.999999' AS b"
+        )
+        row = df.select(period_of(df, "a", hours), period_of(df, "b", hours)).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert tuple(row) == (expected, expected)
+    assert list(periods_between(moment, timedelta(microseconds=1), hours)) == [expected]

@@ -1,0 +1,90 @@
+import pytest
+from pyspark.sql import functions as F
+
+from flowloop.plans.score import score_table
+from flowloop.sources.messages import table_messages
+from flowloop.sources.models import USER, VALIDATED, ModelStore
+from flowloop.streaming.registry import ModelRegistry
+from flowloop.streaming.scoring import FLOW_COUNTS, batch_scorer, file_sink, start_scoring
+
+
+@pytest.fixture
+def job(spark, messages, pair, tmp_path):
+    """Four message files, a store with a user pair, and a way to run the stream."""
+    source, out = str(tmp_path / "messages"), str(tmp_path / "scored")
+    messages.repartition(4, "key").write.parquet(source)
+    store = ModelStore(spark, str(tmp_path / "models"))
+    store.publish(USER, pair)
+
+    class Job:
+        def __init__(self):
+            self.store, self.out, self.source = store, out, source
+
+        def run(self, **options):
+            stream = table_messages(spark, source, messages.schema, streaming=True, files_per_trigger=1)
+            query = start_scoring(
+                stream,
+                options.pop("registry", None) or ModelRegistry(store),
+                file_sink(out, hours=24),
+                str(tmp_path / "checkpoint"),
+                trigger={"availableNow": True},
+                **options,
+            )
+            query.awaitTermination()
+            return query
+
+        def rows(self):
+            return spark.read.parquet(out).select("key", "ts", "topic", "algo", "value")
+
+    return Job()
+
+
+def _same(left, right):
+    return left.exceptAll(right).count() == 0 and right.exceptAll(left).count() == 0
+
+
+def test_stream_equals_batch(spark, messages, pair, job):
+    query = job.run()
+    expected = score_table(messages, pair).select("key", "ts", "topic", "algo", "value")
+    assert _same(job.rows(), expected)
+    assert spark.read.parquet(job.out).select("batch_id").distinct().count() == 4
+    counts = [p["observedMetrics"][FLOW_COUNTS] for p in query.recentProgress if p["numInputRows"]]
+    assert sum(c["messages"] for c in counts) == messages.count()
+    assert sum(c["messages"] - c["rejected"] for c in counts) * 2 == expected.count()
+
+
+def test_restart_resumes_from_the_checkpoint(messages, job):
+    job.run()
+    before = job.rows().count()
+    job.run()
+    assert job.rows().count() == before
+    messages.limit(10).withColumn("key", F.lit("late")).write.mode("append").parquet(job.source)
+    job.run()
+    assert job.rows().filter("key <> 'late'").count() == before
+    assert job.rows().filter("key = 'late'").count() > 0
+
+
+def test_a_repeated_batch_replaces_itself(messages, job):
+    from flowloop.operators.decode import decode
+    from flowloop.operators.normalize import with_flow_columns
+
+    score = batch_scorer(ModelRegistry(job.store), file_sink(job.out, hours=24))
+    first = with_flow_columns(decode(messages.filter("ts < '2024-01-15'")))
+    second = with_flow_columns(decode(messages.filter("ts >= '2024-01-14'")))
+    score(first, 0)
+    score(second, 1)
+    before = job.rows().count()
+    score(second, 1)
+    assert job.rows().count() == before
+
+
+def test_validated_models_published_between_batches_open_the_strong_topic(spark, pair, job):
+    class Registry(ModelRegistry):
+        def for_batch(self, batch_id):
+            if batch_id == 2:
+                self.store.publish(VALIDATED, pair)
+            return super().for_batch(batch_id)
+
+    job.run(registry=Registry(job.store, refresh_every=1))
+    strong = spark.read.parquet(job.out).filter("topic = 'strong_predictions'")
+    assert {row.batch_id for row in strong.select("batch_id").distinct().collect()} == {2, 3}

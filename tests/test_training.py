@@ -1,0 +1,126 @@
+from datetime import datetime, timedelta
+
+import numpy as np
+import pytest
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from flowloop.operators.decode import decode
+from flowloop.operators.features import assemble
+from flowloop.operators.normalize import normalize_flows
+from flowloop.operators.scoring import score_forest, score_kmeans
+from flowloop.operators.training import enough_points, fit_forest, training_set
+from flowloop.plans.train import train_all
+from flowloop.sources.models import USER, VALIDATED, ModelStore
+from tests.conftest import plan_of
+
+AS_OF = datetime(2024, 1, 30)
+HOUR = timedelta(hours=1)
+SCHEMA = "source_ip bigint, source_port int, dest_ip bigint, dest_port int, label string, labelled_at timestamp"
+
+
+def _labels(spark, rows, schema=SCHEMA):
+    return spark.createDataFrame(rows, schema)
+
+
+def _many(spark, n, label="label"):
+    return spark.range(n).select(
+        F.col("id").alias("source_ip"),
+        (F.col("id") % 1000).cast("int").alias("source_port"),
+        (F.col("id") * 7).alias("dest_ip"),
+        F.when(F.col("id") % 4 == 0, 53).otherwise(443).alias("dest_port"),
+        (F.col("id") % 4 == 0).cast("int").alias(label),
+        F.lit("2024-01-29 23:30:00").cast("timestamp").alias("labelled_at"),
+    )
+
+
+def test_training_set_window_and_rejects(spark):
+    inside, outside = datetime(2024, 1, 29, 23), datetime(2024, 1, 30)
+    rows = [
+        (1, 2, 3, 4, "1", inside),
+        (2, 2, 3, 4, "0", outside),
+        (3, 2, 3, 4, None, inside),
+        (4, 2, 3, 4, "x", inside),
+        (5, None, 3, 4, "1", inside),
+        (6, 2, 3, 4, "0", inside - timedelta(microseconds=1)),
+        (1, 2, 3, 4, "1", inside),
+    ]
+    data = training_set(_labels(spark, rows), AS_OF)
+    assert data.dtypes[:5] == [
+        ("source_ip", "bigint"),
+        ("source_port", "bigint"),
+        ("dest_ip", "bigint"),
+        ("dest_port", "bigint"),
+        ("label", "int"),
+    ]
+    kept = data.collect()
+    assert [(row.source_ip, row.label) for row in kept] == [(1, 1), (1, 1)]
+    assert list(kept[0].features) == [1.0, 2.0, 3.0, 4.0]
+
+
+def test_label_window_reaches_the_scan(spark, tmp_path):
+    _many(spark, 20).write.parquet(str(tmp_path / "labels"))
+    plan = plan_of(training_set(spark.read.parquet(str(tmp_path / "labels")), AS_OF))
+    assert "GreaterThanOrEqual(labelled_at" in plan and "LessThan(labelled_at" in plan
+    assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_enough_points_counts_distinct_rows(spark):
+    data = training_set(_many(spark, 10), AS_OF)
+    assert enough_points(data) and not enough_points(data.limit(9).union(data.limit(9)))
+
+
+def test_every_flow_gets_the_nearest_centre(messages, pair):
+    rows = score_kmeans(assemble(normalize_flows(decode(messages))), pair.kmeans).collect()
+    centres = np.array(pair.kmeans.clusterCenters())
+    for row in rows:
+        distances = np.linalg.norm(centres - row.features.toArray(), axis=1)
+        assert distances[row.prediction] <= distances.min() * (1 + 1e-9) + 1e-3
+
+
+def test_forest_columns(messages, pair):
+    scored = score_forest(assemble(normalize_flows(decode(messages))), pair.forest)
+    added = ["indexedFeatures", "rawPrediction", "probability", "prediction", "predictedLabel"]
+    assert scored.columns[-5:] == added
+    rows = scored.select(
+        "dest_port", "prediction", "predictedLabel", vector_to_array("probability").alias("p")
+    ).collect()
+    for row in rows:
+        assert sum(row.p) == pytest.approx(1)
+        assert row.prediction == float(np.argmax(row.p))
+        assert row.predictedLabel == str(int(row.dest_port == 53))
+
+
+def test_unseen_category_is_scored(spark, pair):
+    flow = spark.createDataFrame([(1, 2, 3, 9999)], "source_ip bigint, source_port int, dest_ip bigint, dest_port int")
+    assert score_forest(assemble(flow), pair.forest).first().predictedLabel in ("0", "1")
+
+
+def test_forest_is_repeatable(spark):
+    data = training_set(_many(spark, 200), AS_OF).cache()
+    first, second = fit_forest(data), fit_forest(data)
+    assert first.stages[2].toDebugString.split("\n")[1:] == second.stages[2].toDebugString.split("\n")[1:]
+    assert first.stages[2].getNumTrees == 10
+
+
+def test_labels_are_indexed_by_falling_frequency(spark):
+    model = fit_forest(training_set(_many(spark, 100), AS_OF))
+    assert list(model.stages[0].labels) == ["0", "1"]
+    assert model.stages[3].getLabels() == ["0", "1"]
+
+
+def test_train_all_publishes_both_pairs(spark, tmp_path):
+    store = ModelStore(spark, str(tmp_path / "models"))
+    results = train_all(_many(spark, 100), _many(spark, 100, "validated_label"), store, AS_OF)
+    assert {name: result.version for name, result in results.items()} == {USER: 1, VALIDATED: 1}
+    assert (tmp_path / "models/validated/v=00000001/validated_rf_model").is_dir()
+
+
+def test_missing_or_small_label_sets_publish_nothing(spark, tmp_path):
+    store = ModelStore(spark, str(tmp_path / "models"))
+    results = train_all(_many(spark, 100), None, store, AS_OF)
+    assert list(results) == [USER] and results[USER].version == 1
+    empty = _many(spark, 100, "validated_label").filter("false")
+    results = train_all(_many(spark, 9), empty, store, AS_OF)
+    assert all(r.version is None and "distinct" in r.reason for r in results.values())
+    assert store.latest(USER) == 1 and store.latest(VALIDATED) is None

@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowloop.functions import in_window, ip_to_long, random_id
 from flowloop.operators.decode import decode
@@ -16,6 +17,10 @@ PREDICTION_LOOKBACK = timedelta(minutes=5)
 PAGE_SIZE = 10
 
 
+# The page needs no other field of a raw flow.
+_LIVE_FIELDS = T.StructType([RAW_FLOW[name] for name in ("type", "source", "dest")])
+
+
 def _newest(df: DataFrame, limit: int | None) -> DataFrame:
     # A bounded page is a distributed top-n; without a limit nothing is sorted.
     return df if limit is None else df.orderBy(F.desc("ts"), "key").limit(limit)
@@ -33,7 +38,7 @@ def live_candidates(
     destination is not checked, so its columns may be null.
     """
     recent = messages.filter(in_window(messages, "ts", as_of, lookback))
-    flows = decode(recent, RAW_FLOW).filter(
+    flows = decode(recent.select("key", "ts", "value"), _LIVE_FIELDS).filter(
         (F.col("data.type") == "flow")
         & F.col("data.source.port").isNotNull()
         & F.col("data.source.ip").isNotNull()

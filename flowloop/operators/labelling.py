@@ -14,50 +14,60 @@ USER_TOPIC = "user_predictions"
 VALIDATED_TOPIC = "validated_predictions"
 LABEL_COLUMNS = {USER_TOPIC: "label", VALIDATED_TOPIC: "validated_label"}
 
-SALTS = 8
+# Ids with more submissions than HOT_ROWS are spread over SALTS tasks. At most
+# HOT_IDS of them are, so an id beyond those holds less than 1/HOT_IDS of all rows.
+HOT_ROWS = 100_000
+HOT_IDS = 1_000
+SALTS = 32
 
 
-def latest_parked(candidates: DataFrame) -> DataFrame:
-    """One row per id: the one parked last. Tasks pre-aggregate before the shuffle."""
-    fields = [c for c in CANDIDATE.names if c != "id"]
-    newest = F.max_by(F.struct(*fields), F.col("parked_at")).alias("row")
-    return candidates.groupBy("id").agg(newest).select("id", "row.*")
+def _salted(
+    submissions: DataFrame, candidates: DataFrame, hot_rows: int
+) -> tuple[DataFrame, DataFrame]:
+    """Add ``salt`` to both sides: 0, but for hot ids any of ``SALTS`` numbers.
 
-
-def _lookup(submissions: DataFrame, by_id: DataFrame, how: str, salts: int) -> DataFrame:
-    """Join on ``id`` with each id's submissions spread over ``salts`` tasks.
-
-    ``by_id`` has one row per id and is repeated once per salt, so one id may
-    have any share of the submissions. What still exceeds a partition is split
-    further by the adaptive skew join, and a small ``by_id`` is broadcast by the
-    adaptive plan once its measured size allows.
+    A submission gets one salt and a candidate a copy for each, so every pair still
+    meets exactly once. The counts are combined before their shuffle, and the
+    broadcast set of hot ids has at most ``HOT_IDS`` rows.
     """
-    spread = submissions.withColumn("salt", F.monotonically_increasing_id() % salts)
-    numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
-    repeated = by_id.withColumn("salt", F.explode(numbers))
-    return spread.join(repeated, ["id", "salt"], how).drop("salt")
+    counts = submissions.groupBy("id").count().filter(F.col("count") > hot_rows)
+    hottest = counts.orderBy(F.desc("count"), "id").limit(HOT_IDS)
+    hot = F.broadcast(hottest.select("id", F.lit(True).alias("hot")))
+    spread = F.when(F.col("hot"), F.monotonically_increasing_id() % SALTS).otherwise(0)
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
+    copies = F.when(F.col("hot"), every).otherwise(F.array(F.lit(0).cast("bigint")))
+    return (
+        submissions.join(hot, "id", "left").withColumn("salt", spread).drop("hot"),
+        candidates.join(hot, "id", "left").withColumn("salt", F.explode(copies)).drop("hot"),
+    )
 
 
 def resolve_answers(
     submissions: DataFrame,
     candidates: DataFrame,
     label_col: str = "label",
-    salts: int = SALTS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """The label record of every submission whose id is known.
 
-    An id submitted several times gives as many labels.
+    An id submitted several times gives as many labels. Of an id parked several
+    times the last candidate counts; tasks reduce those before the shuffle, which
+    the join then reuses.
     """
-    answers = submissions.select("id", answer_to_bit(F.col("answer")).alias(label_col))
-    labels = _lookup(answers, latest_parked(candidates), "inner", salts)
-    return labels.select(*label_record(label_col).names)
+    answers, parked = _salted(submissions, candidates, hot_rows)
+    fields = [name for name in CANDIDATE.names if name != "id"]
+    last = F.max_by(F.struct(*fields), F.col("parked_at")).alias("last")
+    by_id = parked.groupBy("id", "salt").agg(last).select("id", "salt", "last.*")
+    labels = answers.withColumn(label_col, answer_to_bit(F.col("answer")))
+    return labels.join(by_id, ["id", "salt"]).select(*label_record(label_col).names)
 
 
 def unknown_submissions(
-    submissions: DataFrame, candidates: DataFrame, salts: int = SALTS
+    submissions: DataFrame, candidates: DataFrame, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """The submissions whose id was never parked."""
-    return _lookup(submissions, candidates.select("id").distinct(), "left_anti", salts)
+    answers, parked = _salted(submissions, candidates.select("id"), hot_rows)
+    return answers.join(parked.distinct(), ["id", "salt"], "left_anti").drop("salt")
 
 
 def with_default_answers(

@@ -41,9 +41,17 @@ def training_set(
     return assemble(rows.dropna(), feature_cols)
 
 
-def enough_points(data: DataFrame, k: int = CLUSTERS) -> bool:
-    """Whether there are at least ``k`` distinct feature rows."""
-    return data.select("features").distinct().limit(k).count() >= k
+def enough_points(data: DataFrame, k: int = CLUSTERS, glance: int = 1000) -> bool:
+    """Whether there are at least ``k`` distinct feature rows.
+
+    The first ``glance`` rows nearly always tell; only if they are repetitive and
+    there are more does the exact count run.
+    """
+    features = data.select("features")
+    first = features.head(glance)
+    if len(set(first)) >= k or len(first) < glance:
+        return len(set(first)) >= k
+    return features.distinct().limit(k).count() >= k
 
 
 def fit_kmeans(data: DataFrame, k: int = CLUSTERS, seed: int = SEED) -> KMeansModel:

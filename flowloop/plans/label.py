@@ -1,15 +1,20 @@
 """The labelling loop as table jobs: park candidates, turn answers into labels."""
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import datetime, timedelta
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowloop.operators.candidates import with_ids
 from flowloop.operators.labelling import LABEL_COLUMNS, resolve_answers, stamp
 from flowloop.schemas import CANDIDATE, PREDICTION_CANDIDATE
-from flowloop.sources.tables import append_periods
+from flowloop.sources.tables import append_periods, read_window
 
 
-def park_candidates(candidates: DataFrame, path: str, parked_at=None) -> None:
+def park_candidates(
+    candidates: DataFrame, path: str, parked_at: datetime | None = None
+) -> None:
     """Give candidates their ids and append them to the candidate table.
 
     The page shows rows read back from the table: ids are drawn by the write, and
@@ -22,13 +27,29 @@ def park_candidates(candidates: DataFrame, path: str, parked_at=None) -> None:
     append_periods(rows, path, "parked_at")
 
 
-def parked_candidates(spark: SparkSession, path: str, predictions: bool = False) -> DataFrame:
+def parked_candidates(
+    spark: SparkSession,
+    path: str,
+    predictions: bool = False,
+    as_of: datetime | None = None,
+    lookback: timedelta | None = None,
+) -> DataFrame:
+    """The candidate table; with ``as_of`` and ``lookback`` only what was parked then."""
     schema = PREDICTION_CANDIDATE if predictions else CANDIDATE
-    return spark.read.parquet(path).select(*schema.names, "parked_at")
+    stored = T.StructType([*PREDICTION_CANDIDATE.fields, T.StructField("parked_at", T.TimestampType())])
+    if lookback is None:
+        parked = spark.read.schema(stored).parquet(path)
+    else:
+        parked = read_window(spark, path, stored, "parked_at", as_of, lookback)
+    return parked.select(*schema.names, "parked_at")
 
 
 def record_answers(
-    submissions: DataFrame, candidates: DataFrame, topic: str, path: str, labelled_at=None
+    submissions: DataFrame,
+    candidates: DataFrame,
+    topic: str,
+    path: str,
+    labelled_at: datetime | Column | None = None,
 ) -> None:
     """Append the labels of one set of submissions to that topic's label table."""
     labels = resolve_answers(submissions, candidates, LABEL_COLUMNS[topic])

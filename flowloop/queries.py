@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloop.functions import ip_to_long
+from flowloop.functions import in_window, ip_to_long
 from flowloop.operators import candidates as cand
 from flowloop.operators import labelling
 from flowloop.operators import training
@@ -147,8 +147,10 @@ def live_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prediction_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = _fitted(_training_data(spark, sf_dir), fit_pair)
-    scored = score_table(_messages(spark, sf_dir), pair)
-    rows = cand.prediction_candidates(scored, AS_OF, DAY)
+    # The forest's label decode blocks pushdown; over a stored table it is not needed.
+    messages = _messages(spark, sf_dir)
+    recent = messages.filter(in_window(messages, "ts", AS_OF, DAY))
+    rows = cand.prediction_candidates(score_table(recent, pair), AS_OF, DAY)
     return cand.with_ids(rows, F.col("key").cast("bigint")).select(*PREDICTION_CANDIDATE.names)
 
 

@@ -57,6 +57,9 @@ def label_record(label_col: str) -> T.StructType:
     return T.StructType([*CANDIDATE.fields, T.StructField(label_col, _INT)])
 
 
+# The table of scored messages, without the partition columns topic, period, batch_id.
+SCORED_MESSAGE = _struct(key=_STRING, ts=T.TimestampType(), algo=_STRING, value=_STRING)
+
 # The part of a scored message that is read back to show predictions.
 SCORED = _struct(
     data=_struct(source=_struct(ip=_STRING), dest=_struct(ip=_STRING)),

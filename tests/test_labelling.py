@@ -1,6 +1,6 @@
 import json
 from collections import Counter
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,31 +42,52 @@ def _skewed(spark, n=3000):
     )
 
 
-@pytest.mark.parametrize("salts", [1, 8])
-def test_answers_against_brute_force(spark, salts):
+@pytest.mark.parametrize("hot_rows", [2, 100, 10**6])
+def test_answers_against_brute_force(spark, hot_rows):
     submissions, candidates = _skewed(spark), _candidates(spark, range(400))
     expected = Counter(
         (row.id, int(row.answer == "true")) for row in submissions.collect() if 0 <= row.id < 400
     )
-    labels = labelling.resolve_answers(submissions, candidates, "label", salts)
+    labels = labelling.resolve_answers(submissions, candidates, "label", hot_rows)
     assert labels.columns == label_record("label").names
     assert Counter((row.id, row.label) for row in labels.collect()) == expected
     unknown = Counter(row.id for row in submissions.collect() if not 0 <= row.id < 400)
-    found = labelling.unknown_submissions(submissions, candidates, salts)
+    found = labelling.unknown_submissions(submissions, candidates, hot_rows)
     assert Counter(row.id for row in found.collect()) == unknown
 
 
 def test_a_hot_id_is_spread_over_tasks(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+
+    def largest_share(hot_rows):
+        labels = labelling.resolve_answers(_skewed(spark), _candidates(spark, range(400)), "label", hot_rows)
+        sizes = [row["count"] for row in labels.groupBy(F.spark_partition_id()).count().collect()]
+        return max(sizes) / sum(sizes)
+
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        assert largest_share(10**6) > 1 / 3
+        assert largest_share(100) < 1 / 5
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def test_the_join_adds_no_shuffle_and_broadcasts_only_hot_ids(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        labels = labelling.resolve_answers(_skewed(spark), _candidates(spark, range(400)))
-        assert "BroadcastHashJoin" not in plan_of(labels)
-        sizes = labels.groupBy(F.spark_partition_id()).count().collect()
-        assert max(row["count"] for row in sizes) < 0.5 * sum(row["count"] for row in sizes)
+        plan = plan_of(labelling.resolve_answers(_skewed(spark), _candidates(spark, range(400))))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("Exchange hashpartitioning(id#") == 4  # two counts, answers, candidates
+    assert plan.count("BroadcastExchange") == plan.count("TakeOrderedAndProject") == 2
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
 def test_the_candidate_parked_last_counts(spark):
@@ -144,6 +165,19 @@ def test_prediction_page(messages, pair):
     ]
 
 
+def test_pages_are_a_distributed_top_n(spark, messages, pair, tmp_path):
+    path = str(tmp_path / "scored")
+    score_table(messages, pair).write.parquet(path)
+    stored = spark.read.parquet(path)
+    for page, scanned in (
+        (cand.live_candidates(messages, AS_OF, DAY), "LessThan(ts,2024-01-30"),
+        (cand.prediction_candidates(stored, AS_OF, DAY), "LessThan(ts,2024-01-30T00:00), EqualTo(algo,rf)"),
+    ):
+        plan = plan_of(page)
+        assert "TakeOrderedAndProject(limit=10" in plan and "Exchange" not in plan
+        assert scanned in plan
+
+
 def test_an_empty_window_gives_an_empty_page(messages):
     assert cand.live_candidates(messages, datetime(2030, 1, 1)).collect() == []
 
@@ -168,6 +202,11 @@ def test_parked_ids_stay_the_same(spark, messages, tmp_path):
     parked = parked_candidates(spark, path)
     assert parked.count() == rows.count() == parked.select("id").distinct().count()
     assert sorted(parked.collect()) == sorted(parked.collect())
+    now = datetime.now(UTC) + timedelta(seconds=1)
+    recent = parked_candidates(spark, path, as_of=now, lookback=timedelta(hours=1))
+    assert recent.count() == parked.count()
+    old = parked_candidates(spark, path, as_of=now - DAY, lookback=timedelta(hours=1))
+    assert old.count() == 0
 
 
 def test_the_loop_feeds_training(spark, messages, tmp_path):

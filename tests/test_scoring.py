@@ -187,3 +187,14 @@ def test_a_stream_without_models_fails_and_a_restart_looks_again():
     store.versions[USER] = 1
     user, validated = registry.for_batch(57)
     assert user.version == 1 and validated is None
+
+
+def test_generated_methods_stay_small_enough_to_compile(spark, messages, pair):
+    """The JVM never compiles a method of more than 8000 bytes of bytecode."""
+    package = spark._jvm.org.apache.spark.sql.execution.debug
+    debug = getattr(getattr(package, "package$"), "MODULE$")
+    frames = [normalize_flows(decode(messages)), score_table(messages, pair, pair)]
+    for df in frames:
+        stages = debug.codegenStringSeq(df._jdf.queryExecution().executedPlan())
+        for i in range(stages.size()):
+            assert stages.apply(i)._3().maxMethodCodeSize() < 8000

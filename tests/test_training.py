@@ -68,6 +68,9 @@ def test_label_window_reaches_the_scan(spark, tmp_path):
 def test_enough_points_counts_distinct_rows(spark):
     data = training_set(_many(spark, 10), AS_OF)
     assert enough_points(data) and not enough_points(data.limit(9).union(data.limit(9)))
+    for glance in (5, 9, 10, 11):
+        assert enough_points(data, glance=glance)
+        assert not enough_points(data.limit(9).union(data.limit(9)), glance=glance)
 
 
 def test_every_flow_gets_the_nearest_centre(messages, pair):

@@ -50,11 +50,13 @@ def train(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def stream(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.servers:
-        messages, sink = kafka_messages(spark, args.servers, args.topic), kafka_sink(args.servers)
+        messages = kafka_messages(spark, args.servers, args.topic, **dict(args.source_option))
     else:
-        messages, sink = table_messages(spark, args.messages, streaming=True), file_sink(args.out)
+        messages = table_messages(spark, args.messages, streaming=True)
     if args.out:
         sink = file_sink(args.out)
+    else:
+        sink = kafka_sink(args.servers, **dict(args.sink_option))
     start_scoring(
         messages,
         ModelRegistry(ModelStore(spark, args.models)),
@@ -113,6 +115,11 @@ def _moment(text: str) -> datetime:
     return moment.replace(tzinfo=UTC) if moment.tzinfo is None else moment
 
 
+def _option(text: str) -> tuple[str, str]:
+    name, value = text.split("=", 1)
+    return name, value
+
+
 def parser() -> argparse.ArgumentParser:
     root = argparse.ArgumentParser(prog="flowloop")
     jobs = root.add_subparsers(required=True)
@@ -140,6 +147,8 @@ def parser() -> argparse.ArgumentParser:
         messages={},
         out={},
         available_now={"action": "store_true"},
+        source_option={"type": _option, "action": "append", "default": []},
+        sink_option={"type": _option, "action": "append", "default": []},
         **scoring,
     )
     job(score, "messages", "models", "out", batch={"type": int, "default": 0}, **scoring)

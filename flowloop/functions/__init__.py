@@ -3,10 +3,11 @@
 from flowloop.functions.addresses import ip_to_long
 from flowloop.functions.answers import answer_to_bit
 from flowloop.functions.identifiers import random_id
-from flowloop.functions.timerange import in_window, period_of, periods_between
+from flowloop.functions.timerange import as_utc, in_window, period_of, periods_between
 
 __all__ = [
     "answer_to_bit",
+    "as_utc",
     "in_window",
     "ip_to_long",
     "period_of",

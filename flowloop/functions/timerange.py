@@ -12,13 +12,13 @@ from pyspark.sql import types as T
 _EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 
 
-def _utc(moment: datetime) -> datetime:
+def as_utc(moment: datetime) -> datetime:
     return moment.replace(tzinfo=UTC) if moment.tzinfo is None else moment.astimezone(UTC)
 
 
 def _literal(moment: datetime, dtype: T.DataType) -> Column:
     # Typed like the column, so that the comparison reaches the Parquet scan.
-    moment = _utc(moment)
+    moment = as_utc(moment)
     if isinstance(dtype, T.TimestampNTZType):
         return F.lit(moment.replace(tzinfo=None).isoformat(sep=" ")).cast(dtype)
     return F.lit(moment.isoformat()).cast(dtype)
@@ -27,7 +27,7 @@ def _literal(moment: datetime, dtype: T.DataType) -> Column:
 def in_window(df: DataFrame, ts_col: str, as_of: datetime, lookback: timedelta) -> Column:
     """``as_of - lookback <= ts < as_of``."""
     dtype = df.schema[ts_col].dataType
-    ts = F.col(ts_col)
+    ts, as_of = F.col(ts_col), as_utc(as_of)
     return (ts >= _literal(as_of - lookback, dtype)) & (ts < _literal(as_of, dtype))
 
 
@@ -43,5 +43,5 @@ def period_of(df: DataFrame, ts_col: str, hours: int = 1) -> Column:
 def periods_between(as_of: datetime, lookback: timedelta, hours: int = 1) -> range:
     """The periods that ``in_window`` can touch."""
     length = timedelta(hours=hours)
-    last = (_utc(as_of) - timedelta(microseconds=1) - _EPOCH) // length
-    return range((_utc(as_of) - lookback - _EPOCH) // length, last + 1)
+    last = (as_utc(as_of) - timedelta(microseconds=1) - _EPOCH) // length
+    return range((as_utc(as_of) - lookback - _EPOCH) // length, last + 1)

@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloop.functions import answer_to_bit
+from flowloop.functions import answer_to_bit, as_utc
 from flowloop.operators.decode import decode
 from flowloop.schemas import CANDIDATE, label_record
 
@@ -100,5 +100,5 @@ def labels_from_messages(messages: DataFrame, topic: str) -> DataFrame:
 
 def stamp(labels: DataFrame, labelled_at: datetime | Column) -> DataFrame:
     """Add the event time training filters on."""
-    moment = labelled_at if isinstance(labelled_at, Column) else F.lit(labelled_at)
+    moment = labelled_at if isinstance(labelled_at, Column) else F.lit(as_utc(labelled_at))
     return labels.withColumn("labelled_at", moment)

@@ -65,6 +65,8 @@ def score_messages(
     while a validated pair exists. The strong messages are scored by that pair;
     ``strong_scorer="user"`` scores them by the user pair instead.
     """
+    if strong_scorer not in ("validated", "user"):
+        raise ValueError(f"unknown strong scorer {strong_scorer!r}")
     scored = assemble(flows)
     branches = [(PREDICTIONS_TOPIC, "user_", user)]
     if validated is not None:

@@ -146,6 +146,9 @@ FROM (
 QUALIFY count(*) OVER (PARTITION BY feature) <= 4
 """,
     "rf_score": _PREDICTED,
+    "rf_probability": f"""
+SELECT event_id, true AS sums_to_one, true AS is_largest FROM ({_WHOLE})
+""",
     "kmeans_nearest": f"SELECT event_id, true AS is_nearest FROM ({_WHOLE})",
     "model_roundtrip": _PREDICTED,
     "score_envelope": _messages("model_predictions"),

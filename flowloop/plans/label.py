@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowloop.functions import as_utc
 from flowloop.operators.candidates import with_ids
 from flowloop.operators.labelling import LABEL_COLUMNS, resolve_answers, stamp
 from flowloop.schemas import CANDIDATE, PREDICTION_CANDIDATE
@@ -20,7 +21,7 @@ def park_candidates(
     The page shows rows read back from the table: ids are drawn by the write, and
     recomputing the DataFrame would draw others.
     """
-    parked_at = F.current_timestamp() if parked_at is None else F.lit(parked_at)
+    parked_at = F.current_timestamp() if parked_at is None else F.lit(as_utc(parked_at))
     rows = with_ids(candidates).drop("ts").withColumn("parked_at", parked_at)
     if "predictedLabel" not in rows.columns:
         rows = rows.withColumn("predictedLabel", F.lit(None).cast("string"))
@@ -36,7 +37,8 @@ def parked_candidates(
 ) -> DataFrame:
     """The candidate table; with ``as_of`` and ``lookback`` only what was parked then."""
     schema = PREDICTION_CANDIDATE if predictions else CANDIDATE
-    stored = T.StructType([*PREDICTION_CANDIDATE.fields, T.StructField("parked_at", T.TimestampType())])
+    parked_at = T.StructField("parked_at", T.TimestampType())
+    stored = T.StructType([*PREDICTION_CANDIDATE.fields, parked_at])
     if lookback is None:
         parked = spark.read.schema(stored).parquet(path)
     else:

@@ -2,8 +2,10 @@
 
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from py4j.protocol import Py4JJavaError
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
@@ -27,7 +29,11 @@ class TrainResult:
 
 
 def fit_pair(data: DataFrame) -> ModelPair:
-    return ModelPair(fit_kmeans(data), fit_forest(data))
+    """Both models of one training set; their jobs share the cluster."""
+    with ThreadPool(2) as pool:
+        fits = [inheritable_thread_target(data.sparkSession)(f) for f in (fit_kmeans, fit_forest)]
+        kmeans, forest = pool.map(lambda fit: fit(data), fits, chunksize=1)
+    return ModelPair(kmeans, forest)
 
 
 def train_pair(data: DataFrame, store: ModelStore, name: str) -> TrainResult:
@@ -38,7 +44,7 @@ def train_pair(data: DataFrame, store: ModelStore, name: str) -> TrainResult:
             return TrainResult(reason=f"fewer than {CLUSTERS} distinct feature rows")
         try:
             pair = fit_pair(data)
-        except PySparkException as error:
+        except (PySparkException, Py4JJavaError) as error:
             return TrainResult(reason=f"fit failed: {error}")
         return TrainResult(version=store.publish(name, pair))
     finally:

@@ -238,7 +238,8 @@ def training_set_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = _training_data(spark, sf_dir, ERROR_LABEL)
     model = StringIndexer(inputCol="label", outputCol="indexedLabel").fit(data)
-    return spark.createDataFrame(list(zip(model.labels, range(100))), "label string, idx bigint")
+    rows = [(label, idx) for idx, label in enumerate(model.labels)]
+    return spark.createDataFrame(rows, "label string, idx bigint")
 
 
 def feature_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,6 +261,20 @@ def rf_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(_event_id(), "predictedLabel")
 
 
+def rf_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each flow's class probabilities add up and their largest was predicted."""
+    forest = _fitted(_training_data(spark, sf_dir, ERROR_LABEL), training.fit_forest)
+    scored = score_forest(assemble(_flows(spark, sf_dir)), forest)
+    rows = scored.select(_event_id(), "prediction", vector_to_array("probability").alias("p"))
+    total = F.aggregate("p", F.lit(0.0), lambda acc, x: acc + x)
+    predicted = F.get("p", F.col("prediction").cast("int"))
+    return rows.select(
+        "event_id",
+        (F.abs(total - 1) < 1e-9).alias("sums_to_one"),
+        (predicted == F.array_max("p")).alias("is_largest"),
+    )
+
+
 def kmeans_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = _fitted(_training_data(spark, sf_dir), training.fit_kmeans)
     scored = score_kmeans(assemble(_flows(spark, sf_dir)), model)
@@ -272,10 +287,7 @@ def kmeans_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_kmeans(assemble(_flows(spark, sf_dir)), model)
     distances = F.array(
         *[
-            sum(
-                ((F.col(name) - float(x)) * (F.col(name) - float(x)) for name, x in zip(FEATURES, c)),
-                F.lit(0.0),
-            )
+            sum((F.pow(F.col(name) - float(x), 2) for name, x in zip(FEATURES, c)), F.lit(0.0))
             for c in model.clusterCenters()
         ]
     )
@@ -383,6 +395,7 @@ QUERIES = {
     "label_index": label_index,
     "feature_categories": feature_categories,
     "rf_score": rf_score,
+    "rf_probability": rf_probability,
     "kmeans_score": kmeans_score,
     "kmeans_nearest": kmeans_nearest,
     "model_roundtrip": model_roundtrip,

@@ -11,8 +11,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # One mistyped field must not blank its neighbours.
     "spark.sql.json.enablePartialResults": "true",
-    # Partitioned writes keep a few files open instead of sorting every task's rows.
-    "spark.sql.maxConcurrentOutputFileWriters": "64",
+    # A task that writes few partitions keeps their files open instead of sorting its
+    # rows; beyond this number, which bounds the buffers, it sorts.
+    "spark.sql.maxConcurrentOutputFileWriters": "8",
 }
 
 _local_folders: dict[str, str] = {}

@@ -65,7 +65,9 @@ def addresses(events: DataFrame) -> DataFrame:
 def submissions(events: DataFrame) -> DataFrame:
     """``(id, answer)``: two of three events are answered, some of them for an id
     nobody parked; events whose id is a multiple of 50 add a surely unknown id."""
-    answered = events.filter("event_id % 3 <> 0").selectExpr("event_id AS id", f"{_ANSWER} AS answer")
+    answered = events.filter("event_id % 3 <> 0").selectExpr(
+        "event_id AS id", f"{_ANSWER} AS answer"
+    )
     unknown = events.filter("event_id % 50 = 0").selectExpr(
         "-event_id - 1 AS id", f"{_ANSWER} AS answer"
     )

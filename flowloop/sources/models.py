@@ -56,15 +56,24 @@ class ModelStore:
             if self._fs.exists(self._path(f"{self._folder(name, version)}/_COMMITTED"))
         ]
 
-    def publish(self, name: str, pair: ModelPair) -> int:
+    def _claim(self, name: str) -> int:
+        """A version number of our own: creating its claim file fails if it is taken."""
         version = max(self._numbers(name), default=0) + 1
+        while not self._fs.createNewFile(self._path(f"{self._folder(name, version)}/_CLAIM")):
+            version += 1
+        return version
+
+    def publish(self, name: str, pair: ModelPair) -> int:
+        version = self._claim(name)
         folder = self._folder(name, version)
         kmeans_name, forest_name = MODEL_NAMES[name]
         pair.kmeans.write().overwrite().save(f"{folder}/{kmeans_name}")
         pair.forest.write().overwrite().save(f"{folder}/{forest_name}")
-        self._fs.create(self._path(f"{folder}/_COMMITTED"), False).close()
-        for old in self._committed(name)[: -self.keep]:
-            self._fs.delete(self._path(self._folder(name, old)), True)
+        self._fs.createNewFile(self._path(f"{folder}/_COMMITTED"))
+        oldest = self._committed(name)[-self.keep :][0]
+        for old in self._numbers(name):
+            if old < oldest:
+                self._fs.delete(self._path(self._folder(name, old)), True)
         return version
 
     def latest(self, name: str) -> int | None:

@@ -2,6 +2,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -119,6 +120,19 @@ def test_train_all_publishes_both_pairs(spark, tmp_path):
     assert (tmp_path / "models/validated/v=00000001/validated_rf_model").is_dir()
 
 
+def test_a_failed_fit_keeps_the_published_pair(spark, tmp_path, monkeypatch):
+    store = ModelStore(spark, str(tmp_path / "models"))
+    train_all(_many(spark, 100), None, store, AS_OF)
+
+    def fail(data):
+        raise PySparkException("no convergence")
+
+    monkeypatch.setattr("flowloop.plans.train.fit_kmeans", fail)
+    result = train_all(_many(spark, 100), None, store, AS_OF)[USER]
+    assert result.version is None and "no convergence" in result.reason
+    assert store.latest(USER) == 1
+
+
 def test_missing_or_small_label_sets_publish_nothing(spark, tmp_path):
     store = ModelStore(spark, str(tmp_path / "models"))
     results = train_all(_many(spark, 100), None, store, AS_OF)

@@ -1,5 +1,7 @@
 """Command line jobs; run with ``spark-submit`` or ``python -m flowloop <job> ...``.
 
+Tables are named by path; with ``--servers`` a job uses the topics instead.
+
 ``train``    fit both label sets of the last hour and publish the models
 ``stream``   score the message stream until stopped
 ``score``    score a stored table of messages once
@@ -10,7 +12,7 @@
 import argparse
 from datetime import UTC, datetime, timedelta
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from flowloop.operators import candidates as cand
@@ -23,7 +25,12 @@ from flowloop.plans.score import score_table
 from flowloop.plans.train import train_all
 from flowloop.schemas import MESSAGE, SCORED_MESSAGE, SUBMISSION, label_record
 from flowloop.session import get_session
-from flowloop.sources.messages import kafka_messages, table_messages, write_kafka
+from flowloop.sources.messages import (
+    kafka_messages,
+    table_messages,
+    topic_window,
+    write_kafka,
+)
 from flowloop.sources.models import USER, VALIDATED, ModelStore
 from flowloop.sources.tables import read_window, replace_batch
 from flowloop.streaming.registry import ModelRegistry
@@ -33,14 +40,19 @@ LABELLED_AT = T.StructField("labelled_at", T.TimestampType())
 
 
 def train(spark: SparkSession, args: argparse.Namespace) -> None:
-    def labels(path: str, topic: str):
-        schema = T.StructType([*label_record(labelling.LABEL_COLUMNS[topic]).fields, LABELLED_AT])
-        return read_window(spark, path, schema, "labelled_at", args.as_of, LABEL_LOOKBACK)
+    def labels(path: str | None, topic: str) -> DataFrame | None:
+        if path:
+            label = label_record(labelling.LABEL_COLUMNS[topic])
+            schema = T.StructType([*label.fields, LABELLED_AT])
+            return read_window(spark, path, schema, "labelled_at", args.as_of, LABEL_LOOKBACK)
+        if args.servers:
+            sent = topic_window(spark, args.servers, topic, args.as_of, LABEL_LOOKBACK)
+            return labelling.labels_from_messages(sent, topic)
+        return None
 
-    validated = args.validated_labels and labels(args.validated_labels, labelling.VALIDATED_TOPIC)
     results = train_all(
         labels(args.user_labels, labelling.USER_TOPIC),
-        validated or None,
+        labels(args.validated_labels, labelling.VALIDATED_TOPIC),
         ModelStore(spark, args.models),
         args.as_of,
     )
@@ -79,21 +91,16 @@ def score(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def park(spark: SparkSession, args: argparse.Namespace) -> None:
-    if args.kind == "live":
-        rows = cand.live_candidates(
-            read_window(spark, args.table, MESSAGE, "ts", args.as_of, cand.LIVE_LOOKBACK),
-            args.as_of,
-            limit=args.limit,
-        )
+    live = args.kind == "live"
+    lookback = cand.LIVE_LOOKBACK if live else cand.PREDICTION_LOOKBACK
+    if args.servers:
+        topic = args.topic if live else PREDICTIONS_TOPIC
+        recent = topic_window(spark, args.servers, topic, args.as_of, lookback)
     else:
-        under = f"topic={PREDICTIONS_TOPIC}"
-        lookback = cand.PREDICTION_LOOKBACK
-        rows = cand.prediction_candidates(
-            read_window(spark, args.table, SCORED_MESSAGE, "ts", args.as_of, lookback, under=under),
-            args.as_of,
-            limit=args.limit,
-        )
-    park_candidates(rows, args.candidates, args.as_of)
+        schema, under = (MESSAGE, "") if live else (SCORED_MESSAGE, f"topic={PREDICTIONS_TOPIC}")
+        recent = read_window(spark, args.table, schema, "ts", args.as_of, lookback, under=under)
+    choose = cand.live_candidates if live else cand.prediction_candidates
+    park_candidates(choose(recent, args.as_of, lookback, args.limit), args.candidates, args.as_of)
 
 
 def answer(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -137,7 +144,7 @@ def parser() -> argparse.ArgumentParser:
         "addresses": {"choices": [LAST_WINS, COALESCE], "default": LAST_WINS},
         "strong_scorer": {"choices": ["validated", "user"], "default": "validated"},
     }
-    job(train, "user-labels", "models", validated_labels={})
+    job(train, "models", user_labels={}, validated_labels={}, servers={})
     job(
         stream,
         "models",
@@ -154,8 +161,10 @@ def parser() -> argparse.ArgumentParser:
     job(score, "messages", "models", "out", batch={"type": int, "default": 0}, **scoring)
     job(
         park,
-        "table",
         "candidates",
+        table={},
+        servers={},
+        topic={"default": "beats"},
         kind={"choices": ["live", "predictions"], "default": "live"},
         limit={"type": int, "default": cand.PAGE_SIZE},
     )

@@ -1,6 +1,11 @@
 """Inputs and outputs."""
 
-from flowloop.sources.messages import kafka_messages, table_messages, write_kafka
+from flowloop.sources.messages import (
+    kafka_messages,
+    table_messages,
+    topic_window,
+    write_kafka,
+)
 from flowloop.sources.models import ModelPair, ModelStore
 from flowloop.sources.tables import append_periods, read_window, replace_batch
 
@@ -12,5 +17,6 @@ __all__ = [
     "read_window",
     "replace_batch",
     "table_messages",
+    "topic_window",
     "write_kafka",
 ]

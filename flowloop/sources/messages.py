@@ -1,9 +1,12 @@
 """Keyed text messages, ``(key, value, ts)``, from a topic or from files."""
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowloop.functions import as_utc, in_window
 from flowloop.schemas import MESSAGE
 
 # Fixed value: consumer poll timeout.
@@ -31,6 +34,30 @@ def kafka_messages(
     )
 
 
+def topic_window(
+    spark: SparkSession, servers: str, topic: str, as_of: datetime, lookback: timedelta
+) -> DataFrame:
+    """The messages of ``[as_of - lookback, as_of)`` as a batch.
+
+    The broker finds the offsets of both times, so older messages are never read.
+    """
+
+    def millis(moment: datetime) -> str:
+        return str(int(as_utc(moment).timestamp() * 1000))
+
+    # The bounds are whole milliseconds around the window; the filter is exact.
+    messages = kafka_messages(
+        spark,
+        servers,
+        topic,
+        streaming=False,
+        startingTimestamp=millis(as_of - lookback),
+        startingOffsetsByTimestampStrategy="latest",
+        endingTimestamp=millis(as_of + timedelta(milliseconds=1)),
+    )
+    return messages.filter(in_window(messages, "ts", as_of, lookback))
+
+
 def table_messages(
     spark: SparkSession,
     path: str,

@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -120,3 +121,48 @@ def test_only_used_columns_are_scanned(spark, tmp_path):
 def test_feature_order(spark):
     row = assemble(normalize_flows(decode(_messages(spark, _flow())))).first()
     assert list(row.features) == [16909060.0, 1000.0, 84281096.0, 53.0]
+
+
+def _plain_flow(value):
+    """The four numbers by plain Python, or None."""
+
+    def address(text):
+        parts = text.split(".") if isinstance(text, str) else []
+        if len(parts) != 4 or any(not p.isdigit() or str(int(p)) != p or int(p) > 255 for p in parts):
+            return None
+        return sum(int(p) << shift for p, shift in zip(parts, (24, 16, 8, 0)))
+
+    def port(number):
+        return number if isinstance(number, int) and -(2**31) <= number < 2**31 else None
+
+    def end(name):
+        found = value.get(name) if isinstance(value, dict) else None
+        return found if isinstance(found, dict) else {}
+
+    source, dest = end("source"), end("dest")
+    row = (
+        address(source.get("ip")),
+        port(source.get("port")),
+        address(dest.get("ip")),
+        port(dest.get("port")),
+    )
+    return None if None in row else row
+
+
+def test_random_records_against_plain_python(spark):
+    draw = random.Random(5)
+    ips = ["1.2.3.4", "255.0.0.255", "256.1.1.1", "01.2.3.4", "", "x", None, 7, "10.0.0.1"]
+    ports = [0, 53, 65535, -1, 2**31 - 1, 2**31, None, "80", 443]
+    ends = [{"ip": i, "port": p} for i in ips for p in ports] + [{}, {"ip": "1.1.1.1"}, None, "x", 3]
+    good = [{"ip": "9.8.7.6", "port": 5}]
+    ends += good * 80
+    values = [
+        {"source": draw.choice(ends), "dest": draw.choice(ends), "bytes_out": draw.choice([1, "a"])}
+        for _ in range(600)
+    ]
+    values += [{}, {"source": good[0]}, {"dest": good[0]}]
+    rows = normalize_flows(decode(_messages(spark, *values))).collect()
+    found = {int(r.key): (r.source_ip, r.source_port, r.dest_ip, r.dest_port) for r in rows}
+    expected = {i: _plain_flow(v) for i, v in enumerate(values)}
+    assert found == {i: row for i, row in expected.items() if row is not None}
+    assert len(found) > 100

@@ -4,15 +4,16 @@ import json
 from datetime import UTC, datetime, timedelta
 
 import pytest
-from pyspark.sql import DataFrameWriter
+from pyspark.sql import DataFrameReader, DataFrameWriter
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader
 
 from flowloop.__main__ import main
-from flowloop.operators.scoring import score_messages
 from flowloop.operators.decode import decode
+from flowloop.operators.labelling import LABEL_COLUMNS, label_messages, resolve_answers
 from flowloop.operators.normalize import normalize_flows
-from flowloop.sources.messages import kafka_messages, write_kafka
+from flowloop.operators.scoring import score_messages
+from flowloop.sources.messages import kafka_messages, topic_window, write_kafka
 from flowloop.sources.models import USER, VALIDATED, ModelStore
 from flowloop.sources.tables import append_periods
 
@@ -109,6 +110,74 @@ def test_topic_source_options(spark, monkeypatch):
     assert (df.first().key, df.first().value) == ("k", "v")
 
 
+@pytest.fixture
+def broker(spark, monkeypatch):
+    """Batch reads of topics kept in memory, as the connector would return them."""
+    topics, seen = {}, []
+
+    class Reader:
+        def __init__(self):
+            self.settings = {}
+
+        def option(self, name, value):
+            self.settings[name] = value
+            return self
+
+        def options(self, **settings):
+            self.settings.update(settings)
+            return self
+
+        def load(self):
+            seen.append(self.settings)
+            df = topics[self.settings["subscribe"]]
+            return df.select(
+                F.col("key").cast("binary"),
+                F.col("value").cast("binary"),
+                F.col("ts").alias("timestamp"),
+            )
+
+    load = DataFrameReader.format
+    monkeypatch.setattr(
+        DataFrameReader, "format", lambda self, name: Reader() if name == "kafka" else load(self, name)
+    )
+    topics["seen"] = seen
+    return topics
+
+
+def test_a_topic_window_is_exact(spark, broker):
+    broker["t"] = spark.sql(
+        "SELECT 'k' key, cast(id AS string) value, timestamp_micros(1706616000000000 + id) ts"
+        " FROM range(-60000001, 3)"
+    ).filter("value IN ('-60000001', '-60000000', '-1', '0', '1')")
+    rows = topic_window(spark, "host:9092", "t", NOW, timedelta(minutes=1)).collect()
+    assert sorted(row.value for row in rows) == ["-1", "-60000000"]
+    assert broker["seen"][0] == {
+        "kafka.bootstrap.servers": "host:9092",
+        "kafkaConsumer.pollTimeoutMs": 10000,
+        "subscribe": "t",
+        "startingTimestamp": "1706615940000",
+        "startingOffsetsByTimestampStrategy": "latest",
+        "endingTimestamp": "1706616000001",
+    }
+
+
+def test_the_loop_over_topics(spark, paths, pair, broker):
+    messages = spark.read.parquet(paths["messages"])
+    scored = score_messages(normalize_flows(decode(messages)), pair)
+    broker["beats"], broker["model_predictions"] = messages, scored
+    for kind in ("live", "predictions"):
+        _run("park", "--servers", "h", "--candidates", paths["candidates"], "--kind", kind, "--limit", "99")
+    parked = spark.read.parquet(paths["candidates"])
+    assert parked.count() == 198 and parked.filter("predictedLabel IS NULL").count() == 99
+    answers = parked.select("id", F.lit("true").alias("answer"))
+    for topic, label_col in LABEL_COLUMNS.items():
+        sent = label_messages(resolve_answers(answers, parked, label_col), topic)
+        broker[topic] = sent.withColumn("ts", F.lit(NOW))
+    _run("train", "--servers", "h", "--models", paths["models"], minute=1)
+    store = ModelStore(spark, paths["models"])
+    assert store.latest(USER) == store.latest(VALIDATED) == 1
+
+
 def test_topic_sink_columns(messages, pair, monkeypatch):
     seen = {}
     monkeypatch.setattr(DataFrameWriter, "format", lambda self, name: seen.update(format=name) or self)

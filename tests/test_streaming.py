@@ -25,7 +25,7 @@ def job(spark, messages, pair, tmp_path):
             query = start_scoring(
                 stream,
                 options.pop("registry", None) or ModelRegistry(store),
-                file_sink(out, hours=24),
+                options.pop("sink", None) or file_sink(out, hours=24),
                 str(tmp_path / "checkpoint"),
                 trigger={"availableNow": True},
                 **options,
@@ -88,3 +88,22 @@ def test_validated_models_published_between_batches_open_the_strong_topic(spark,
     job.run(registry=Registry(job.store, refresh_every=1))
     strong = spark.read.parquet(job.out).filter("topic = 'strong_predictions'")
     assert {row.batch_id for row in strong.select("batch_id").distinct().collect()} == {2, 3}
+
+
+def test_a_batch_that_failed_after_writing_is_repeated_whole(spark, messages, pair, job):
+    """A lost callback is retried by the restarted stream and overwrites its own rows."""
+    attempts = []
+    write = file_sink(job.out, hours=24)
+
+    def failing(scored, batch_id):
+        write(scored, batch_id)
+        attempts.append(batch_id)
+        if attempts.count(2) == 1 and batch_id == 2:
+            raise OSError("lost after the write")
+
+    with pytest.raises(Exception, match="lost after the write"):
+        job.run(sink=failing)
+    job.run(sink=failing)
+    assert attempts == [0, 1, 2, 2, 3]
+    expected = score_table(messages, pair).select("key", "ts", "topic", "algo", "value")
+    assert _same(job.rows(), expected)

@@ -26,11 +26,11 @@ FROM ({_ALL}) WHERE event_id % 97 <> 0 AND event_id % 10 <> 0
 """
 
 _SUBMISSIONS = """
-SELECT CASE WHEN copy = 1 THEN -event_id - 1 ELSE event_id END AS id,
-    CASE WHEN event_type = 'error' THEN 'true' WHEN event_id % 7 = 0 THEN 'True'
-        ELSE 'false' END AS answer
-FROM events, (VALUES (0), (1)) AS copies (copy)
-WHERE CASE WHEN copy = 1 THEN event_id % 50 = 0 ELSE event_id % 3 <> 0 END
+SELECT CASE WHEN event_id % 3 = 0 THEN -event_id - 1 ELSE event_id END AS id,
+    unnest(CASE WHEN event_type = 'purchase' THEN ['true', 'false']
+        WHEN event_type = 'error' THEN ['true']
+        WHEN event_id % 7 = 0 THEN ['True'] ELSE ['false'] END) AS answer
+FROM events
 """
 
 _FEATURES = "source_ip, source_port, dest_ip, dest_port"
@@ -152,6 +152,12 @@ SELECT event_id, true AS sums_to_one, true AS is_largest FROM ({_WHOLE})
     "kmeans_nearest": f"SELECT event_id, true AS is_nearest FROM ({_WHOLE})",
     "model_roundtrip": _PREDICTED,
     "score_envelope": _messages("model_predictions"),
+    "message_body": f"""
+SELECT event_id, algo, source_ipv4, dest_ipv4, {_FEATURES}, source_ip::DOUBLE AS f0,
+    source_port::DOUBLE AS f1, dest_ip::DOUBLE AS f2, dest_port::DOUBLE AS f3,
+    CASE WHEN algo = 'rf' THEN {_PORT_LABEL} END AS "predictedLabel"
+FROM ({_WHOLE}), (VALUES ('kmeans'), ('rf')) AS algos (algo)
+""",
     "strong_envelope": _messages("strong_predictions"),
     "stream_score": f"SELECT event_id, algo FROM ({_messages('model_predictions')})",
     "active_loop": _PREDICTED,

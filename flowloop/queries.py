@@ -12,6 +12,7 @@ from pyspark.ml.feature import StringIndexer, VectorIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowloop.functions import in_window, ip_to_long
 from flowloop.operators import candidates as cand
@@ -29,7 +30,7 @@ from flowloop.operators.scoring import (
 from flowloop.plans.label import park_candidates, parked_candidates, record_answers
 from flowloop.plans.score import score_table
 from flowloop.plans.train import fit_pair, train_all
-from flowloop.schemas import CANDIDATE, FEATURES, PREDICTION_CANDIDATE, label_record
+from flowloop.schemas import CANDIDATE, FEATURES, PREDICTION_CANDIDATE, SCORED, label_record
 from flowloop.session import work_path
 from flowloop.sources import events as derived
 from flowloop.sources.models import USER, ModelPair, ModelStore
@@ -324,6 +325,24 @@ def score_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _envelope(score_table(_messages(spark, sf_dir), pair))
 
 
+def message_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of every scored message, read back from its text."""
+    pair = _fitted(_training_data(spark, sf_dir), fit_pair)
+    scored = score_table(_messages(spark, sf_dir), pair)
+    features = T.StructType([T.StructField("values", T.ArrayType(T.DoubleType()))])
+    body = T.StructType([*SCORED.fields, T.StructField("features", features)])
+    values = F.col("data.features.values")
+    return decode(scored, body).select(
+        _event_id(),
+        "data.algo",
+        F.col("data.data.source.ip").alias("source_ipv4"),
+        F.col("data.data.dest.ip").alias("dest_ipv4"),
+        *[F.col(f"data.{name}").cast("bigint").alias(name) for name in FEATURES],
+        *[F.get(values, F.lit(i)).alias(f"f{i}") for i in range(len(FEATURES))],
+        "data.predictedLabel",
+    )
+
+
 def strong_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = _day_pair(spark, sf_dir)
     scored = score_table(_messages(spark, sf_dir), pair, pair)
@@ -400,6 +419,7 @@ QUERIES = {
     "kmeans_nearest": kmeans_nearest,
     "model_roundtrip": model_roundtrip,
     "score_envelope": score_envelope,
+    "message_body": message_body,
     "strong_envelope": strong_envelope,
     "stream_score": stream_score,
     "active_loop": active_loop,

@@ -41,8 +41,11 @@ CASE event_id % 16
   ELSE {_ADDRESS} END
 """
 
-_ANSWER = """
-CASE WHEN event_type = 'error' THEN 'true' WHEN event_id % 7 = 0 THEN 'True' ELSE 'false' END
+_ANSWERS = """
+CASE WHEN event_type = 'purchase' THEN array('true', 'false')
+  WHEN event_type = 'error' THEN array('true')
+  WHEN event_id % 7 = 0 THEN array('True')
+  ELSE array('false') END
 """
 
 
@@ -63,12 +66,11 @@ def addresses(events: DataFrame) -> DataFrame:
 
 
 def submissions(events: DataFrame) -> DataFrame:
-    """``(id, answer)``: two of three events are answered, some of them for an id
-    nobody parked; events whose id is a multiple of 50 add a surely unknown id."""
-    answered = events.filter("event_id % 3 <> 0").selectExpr(
-        "event_id AS id", f"{_ANSWER} AS answer"
-    )
-    unknown = events.filter("event_id % 50 = 0").selectExpr(
-        "-event_id - 1 AS id", f"{_ANSWER} AS answer"
+    """``(id, answer)``: every event is answered, a purchase twice.
+
+    One answer in three is for a negative id, which no candidate ever has.
+    """
+    return events.selectExpr(
+        "CASE WHEN event_id % 3 = 0 THEN -event_id - 1 ELSE event_id END AS id",
+        f"explode({_ANSWERS}) AS answer",
     )
-    return answered.unionByName(unknown)

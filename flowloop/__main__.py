@@ -87,7 +87,7 @@ def score(spark: SparkSession, args: argparse.Namespace) -> None:
         raise SystemExit(f"no user models under {args.models}")
     messages = table_messages(spark, args.messages)
     scored = score_table(messages, user, validated, args.addresses, args.strong_scorer)
-    replace_batch(scored, args.out, "ts", args.batch)
+    replace_batch(scored, args.out, "ts", args.batch, backfill=args.backfill)
 
 
 def park(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -158,7 +158,15 @@ def parser() -> argparse.ArgumentParser:
         sink_option={"type": _option, "action": "append", "default": []},
         **scoring,
     )
-    job(score, "messages", "models", "out", batch={"type": int, "default": 0}, **scoring)
+    job(
+        score,
+        "messages",
+        "models",
+        "out",
+        batch={"type": int, "default": 0},
+        backfill={"action": "store_true"},
+        **scoring,
+    )
     job(
         park,
         "candidates",

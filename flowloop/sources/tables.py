@@ -30,16 +30,24 @@ def append_periods(
 
 
 def replace_batch(
-    df: DataFrame, path: str, ts_col: str, batch_id: int, hours: int = 1
+    df: DataFrame,
+    path: str,
+    ts_col: str,
+    batch_id: int,
+    hours: int = 1,
+    backfill: bool = False,
 ) -> None:
     """Write one micro-batch of messages under ``topic=/period=/batch_id=``.
 
     A repeated batch holds the same rows, so it overwrites exactly the
-    partitions its first run wrote and never another batch's.
+    partitions its first run wrote and never another batch's. A micro-batch is
+    written without a shuffle; ``backfill`` is as in ``append_periods``.
     """
+    rows = df.withColumn(PERIOD, period_of(df, ts_col, hours))
+    if backfill:
+        rows = rows.hint("rebalance", "topic", PERIOD)
     (
-        df.selectExpr("*", f"{int(batch_id)}L AS batch_id")
-        .withColumn(PERIOD, period_of(df, ts_col, hours))
+        rows.selectExpr("*", f"{int(batch_id)}L AS batch_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("topic", PERIOD, "batch_id")

@@ -60,8 +60,11 @@ def test_the_whole_loop(spark, paths):
     _run("score", "--messages", paths["messages"], "--models", paths["models"], "--out", paths["scored"])
     scored = spark.read.parquet(paths["scored"])
     rows = scored.count()
-    _run("score", "--messages", paths["messages"], "--models", paths["models"], "--out", paths["scored"])
-    assert spark.read.parquet(paths["scored"]).count() == rows > 0
+    _run("score", "--messages", paths["messages"], "--models", paths["models"], "--out", paths["scored"],
+         "--backfill")
+    again = spark.read.parquet(paths["scored"])
+    assert again.count() == rows > 0
+    assert len(again.inputFiles()) == again.select("topic", "period").distinct().count()
 
     paths["candidates"] += "_predicted"
     _run("park", "--table", paths["scored"], "--candidates", paths["candidates"],

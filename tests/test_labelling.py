@@ -202,6 +202,9 @@ def test_parked_ids_stay_the_same(spark, messages, tmp_path):
     parked = parked_candidates(spark, path)
     assert parked.count() == rows.count() == parked.select("id").distinct().count()
     assert sorted(parked.collect()) == sorted(parked.collect())
+    park_candidates(rows, path)
+    parked = parked_candidates(spark, path)
+    assert parked.select("id").distinct().count() == 2 * rows.count()
     now = datetime.now(UTC) + timedelta(seconds=1)
     recent = parked_candidates(spark, path, as_of=now, lookback=timedelta(hours=1))
     assert recent.count() == parked.count()

@@ -15,9 +15,10 @@ from datetime import UTC, datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from flowloop.functions import ADDRESS_FORMS
 from flowloop.operators import candidates as cand
 from flowloop.operators import labelling
-from flowloop.operators.normalize import COALESCE, LAST_WINS
+from flowloop.operators.normalize import COALESCE, DOTTED_QUAD, LAST_WINS
 from flowloop.operators.scoring import PREDICTIONS_TOPIC
 from flowloop.operators.training import LABEL_LOOKBACK
 from flowloop.plans.label import park_candidates, parked_candidates, record_answers
@@ -76,6 +77,7 @@ def stream(spark: SparkSession, args: argparse.Namespace) -> None:
         args.checkpoint,
         mode=args.addresses,
         strong_scorer=args.strong_scorer,
+        form=args.address_form,
         trigger={"availableNow": True} if args.available_now else None,
     ).awaitTermination()
 
@@ -86,7 +88,9 @@ def score(spark: SparkSession, args: argparse.Namespace) -> None:
     if user is None:
         raise SystemExit(f"no user models under {args.models}")
     messages = table_messages(spark, args.messages)
-    scored = score_table(messages, user, validated, args.addresses, args.strong_scorer)
+    scored = score_table(
+        messages, user, validated, args.addresses, args.strong_scorer, args.address_form
+    )
     replace_batch(scored, args.out, "ts", args.batch, backfill=args.backfill)
 
 
@@ -99,8 +103,11 @@ def park(spark: SparkSession, args: argparse.Namespace) -> None:
     else:
         schema, under = (MESSAGE, "") if live else (SCORED_MESSAGE, f"topic={PREDICTIONS_TOPIC}")
         recent = read_window(spark, args.table, schema, "ts", args.as_of, lookback, under=under)
-    choose = cand.live_candidates if live else cand.prediction_candidates
-    park_candidates(choose(recent, args.as_of, lookback, args.limit), args.candidates, args.as_of)
+    if live:
+        rows = cand.live_candidates(recent, args.as_of, lookback, args.limit, args.address_form)
+    else:
+        rows = cand.prediction_candidates(recent, args.as_of, lookback, args.limit)
+    park_candidates(rows, args.candidates, args.as_of)
 
 
 def answer(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -140,7 +147,9 @@ def parser() -> argparse.ArgumentParser:
         for name, settings in options.items():
             command.add_argument(f"--{name.replace('_', '-')}", **settings)
 
+    form = {"choices": list(ADDRESS_FORMS), "default": DOTTED_QUAD}
     scoring = {
+        "address_form": form,
         "addresses": {"choices": [LAST_WINS, COALESCE], "default": LAST_WINS},
         "strong_scorer": {"choices": ["validated", "user"], "default": "validated"},
     }
@@ -173,6 +182,7 @@ def parser() -> argparse.ArgumentParser:
         table={},
         servers={},
         topic={"default": "beats"},
+        address_form=form,
         kind={"choices": ["live", "predictions"], "default": "live"},
         limit={"type": int, "default": cand.PAGE_SIZE},
     )

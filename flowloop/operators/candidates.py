@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloop.functions import in_window, ip_to_long, random_id
+from flowloop.functions import ADDRESS_FORMS, in_window, random_id
 from flowloop.operators.decode import decode
+from flowloop.operators.normalize import DOTTED_QUAD
 from flowloop.operators.scoring import FOREST
 from flowloop.schemas import CANDIDATE, PREDICTION_CANDIDATE, RAW_FLOW, SCORED
 
@@ -31,6 +32,7 @@ def live_candidates(
     as_of: datetime,
     lookback: timedelta = LIVE_LOOKBACK,
     limit: int | None = PAGE_SIZE,
+    form: str = DOTTED_QUAD,
 ) -> DataFrame:
     """The newest raw flows that name a source address and port.
 
@@ -43,14 +45,15 @@ def live_candidates(
         & F.col("data.source.port").isNotNull()
         & F.col("data.source.ip").isNotNull()
     )
+    to_number = ADDRESS_FORMS[form]
     return _newest(flows, limit).select(
         "key",
         "ts",
         F.col("data.source.ip").alias("source_ipv4"),
-        ip_to_long(F.col("data.source.ip")).alias("source_ip"),
+        to_number(F.col("data.source.ip")).alias("source_ip"),
         F.col("data.source.port").alias("source_port"),
         F.col("data.dest.ip").alias("dest_ipv4"),
-        ip_to_long(F.col("data.dest.ip")).alias("dest_ip"),
+        to_number(F.col("data.dest.ip")).alias("dest_ip"),
         F.col("data.dest.port").alias("dest_port"),
     )
 

@@ -3,10 +3,11 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloop.functions import ip_to_long
+from flowloop.functions import ADDRESS_FORMS
 
 LAST_WINS = "last_wins"
 COALESCE = "coalesce"
+DOTTED_QUAD = "dotted_quad"
 
 FLOW_COLUMNS = ["source_ip", "dest_ip", "dest_port", "source_port"]
 
@@ -26,11 +27,14 @@ def _endpoints(mode: str) -> dict[str, Column]:
     }
 
 
-def with_flow_columns(decoded: DataFrame, mode: str = LAST_WINS) -> DataFrame:
+def with_flow_columns(
+    decoded: DataFrame, mode: str = LAST_WINS, form: str = DOTTED_QUAD
+) -> DataFrame:
     """Add the four flow columns and ``reason``, which is null for a usable flow.
 
     ``last_wins`` reads addresses only from ``source.ip`` and ``dest.ip``;
-    ``coalesce`` falls back to ``json.src_ip`` and ``json.dest_ip``.
+    ``coalesce`` falls back to ``json.src_ip`` and ``json.dest_ip``. ``form`` is a key
+    of ``ADDRESS_FORMS``.
     """
     endpoints = _endpoints(mode)
     empty = F.lit(True)
@@ -40,7 +44,7 @@ def with_flow_columns(decoded: DataFrame, mode: str = LAST_WINS) -> DataFrame:
     for name in ("source_ip", "dest_ip", "source_port", "dest_port"):
         absent = absent.when(endpoints[name].isNull(), f"missing {name}")
     numbers = [
-        (ip_to_long(column) if name.endswith("_ip") else column).alias(name)
+        (ADDRESS_FORMS[form](column) if name.endswith("_ip") else column).alias(name)
         for name, column in endpoints.items()
     ]
     # Like the record itself, the numbers come out of a generator: a filter above
@@ -55,11 +59,15 @@ def with_flow_columns(decoded: DataFrame, mode: str = LAST_WINS) -> DataFrame:
     return flows.withColumn("reason", reason).drop("absent")
 
 
-def normalize_flows(decoded: DataFrame, mode: str = LAST_WINS) -> DataFrame:
+def normalize_flows(
+    decoded: DataFrame, mode: str = LAST_WINS, form: str = DOTTED_QUAD
+) -> DataFrame:
     """The usable flows: both addresses valid, both ports present."""
-    return with_flow_columns(decoded, mode).filter(F.col("reason").isNull()).drop("reason")
+    return with_flow_columns(decoded, mode, form).filter(F.col("reason").isNull()).drop("reason")
 
 
-def flow_rejects(decoded: DataFrame, mode: str = LAST_WINS) -> DataFrame:
+def flow_rejects(
+    decoded: DataFrame, mode: str = LAST_WINS, form: str = DOTTED_QUAD
+) -> DataFrame:
     """The other messages, with the first reason that rules each out."""
-    return with_flow_columns(decoded, mode).filter(F.col("reason").isNotNull())
+    return with_flow_columns(decoded, mode, form).filter(F.col("reason").isNotNull())

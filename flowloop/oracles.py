@@ -83,6 +83,15 @@ FROM events
     "ip_to_long": f"""
 SELECT event_id, CASE WHEN event_id % 16 >= 11 THEN source_ip END AS source_ip, dest_ip
 FROM ({_ALL})
+""",
+    "inet_aton_to_long": f"""
+SELECT event_id, CASE
+        WHEN event_id % 16 = 2 OR event_id % 16 >= 11 THEN source_ip
+        WHEN event_id % 16 = 4 THEN 10 * 16777216 + (user_id % 256) * 65536 + event_id % 256
+        WHEN event_id % 16 = 5 THEN 10 * 16777216 + 1
+        WHEN event_id % 16 = 6 THEN source_ip - 2 * 16777216
+    END AS source_ip, dest_ip
+FROM (SELECT a.*, user_id FROM ({_ALL}) a JOIN events e ON a.event_id = e.event_id)
 """,
     "flow_normalize": f"SELECT event_id, {_FEATURES} FROM ({_WHOLE})",
     "flow_normalize_coalesce": f"""

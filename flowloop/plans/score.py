@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 
 from flowloop.operators.decode import decode
-from flowloop.operators.normalize import LAST_WINS, normalize_flows
+from flowloop.operators.normalize import DOTTED_QUAD, LAST_WINS, normalize_flows
 from flowloop.operators.scoring import score_messages
 from flowloop.sources.models import ModelPair
 
@@ -14,6 +14,8 @@ def score_table(
     validated: ModelPair | None = None,
     mode: str = LAST_WINS,
     strong_scorer: str = "validated",
+    form: str = DOTTED_QUAD,
 ) -> DataFrame:
     """Raw messages to scored messages; narrow from scan to output, no shuffle."""
-    return score_messages(normalize_flows(decode(messages), mode), user, validated, strong_scorer)
+    flows = normalize_flows(decode(messages), mode, form)
+    return score_messages(flows, user, validated, strong_scorer)

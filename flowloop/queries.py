@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloop.functions import in_window, ip_to_long
+from flowloop.functions import in_window, inet_aton_to_long, ip_to_long
 from flowloop.operators import candidates as cand
 from flowloop.operators import labelling
 from flowloop.operators import training
@@ -119,6 +119,14 @@ def ip_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def inet_aton_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.addresses(_events(spark, sf_dir)).select(
+        "event_id",
+        inet_aton_to_long(F.col("source_ipv4")).alias("source_ip"),
+        inet_aton_to_long(F.col("dest_ipv4")).alias("dest_ip"),
+    )
+
+
 def flow_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flows(spark, sf_dir).select(_event_id(), *_bigints(*FEATURES))
 
@@ -396,6 +404,7 @@ def active_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "beats_decode": beats_decode,
     "ip_to_long": ip_numbers,
+    "inet_aton_to_long": inet_aton_numbers,
     "flow_normalize": flow_normalize,
     "flow_normalize_coalesce": flow_normalize_coalesce,
     "flow_rejects": rejected_flows,

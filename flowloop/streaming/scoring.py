@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowloop.operators.decode import decode
-from flowloop.operators.normalize import LAST_WINS, with_flow_columns
+from flowloop.operators.normalize import DOTTED_QUAD, LAST_WINS, with_flow_columns
 from flowloop.operators.scoring import score_messages
 from flowloop.sources.messages import write_kafka
 from flowloop.sources.tables import replace_batch
@@ -49,6 +49,7 @@ def start_scoring(
     checkpoint: str,
     mode: str = LAST_WINS,
     strong_scorer: str = "validated",
+    form: str = DOTTED_QUAD,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Start scoring a message stream; call ``awaitTermination()`` to block.
@@ -56,7 +57,7 @@ def start_scoring(
     Messages are parsed and classified once, ahead of ``foreachBatch``; the counts
     of messages and of rejected ones appear in each batch's progress report.
     """
-    flows = with_flow_columns(decode(messages), mode).observe(
+    flows = with_flow_columns(decode(messages), mode, form).observe(
         FLOW_COUNTS,
         F.count(F.lit(1)).alias("messages"),
         F.count("reason").alias("rejected"),

@@ -79,6 +79,13 @@ def test_reject_reasons(spark):
     ]
 
 
+def test_address_forms(spark):
+    decoded = decode(_messages(spark, _flow(source="127.1"), _flow(source="x")))
+    assert normalize_flows(decoded).count() == 0
+    assert normalize_flows(decoded, form="inet_aton").first().source_ip == 2130706433
+    assert flow_rejects(decoded, form="inet_aton").count() == 1
+
+
 def test_address_precedence(spark):
     nested = {"src_ip": "9.9.9.9", "dest_ip": "8.8.8.8"}
     values = [_flow(json=nested), _flow(source=None, dest=None, json=nested)]

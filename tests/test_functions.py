@@ -1,3 +1,5 @@
+import random
+import socket
 from datetime import UTC, datetime, timedelta
 
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from flowloop.functions import (
     answer_to_bit,
     in_window,
+    inet_aton_to_long,
     ip_to_long,
     period_of,
     periods_between,
@@ -50,6 +53,36 @@ def test_ip_to_long(spark):
     assert df.select(ip_to_long(F.col("ip"))).dtypes[0][1] == "bigint"
 
 
+def _c_number(draw):
+    value = draw.choice([0, 1, 8, 255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1, 2**32, 10**12,
+                         draw.randrange(2**32), draw.randrange(256), draw.randrange(256)])
+    octal = oct(value)[2:]
+    return draw.choice([str(value), str(value), hex(value), f"0X{value:X}", f"0x00{value:x}",
+                        f"0{octal}", f"00{octal}", f"0{value}"])
+
+
+def test_inet_aton_forms_against_the_c_library(spark):
+    draw = random.Random(1)
+    texts = {text for text, _ in ADDRESSES if text is None or text.isascii()}
+    texts |= {"1.2.3.4\t", "1.2.3.4\n5", "0x", "0x.1", "08", "1.", ".1", "1 .2", "0", "1.2.3.4\x0b", "1\x1c"}
+    for _ in range(1500):
+        count = draw.choice([1, 2, 3, 4, 4, 4, 5])
+        texts.add(".".join(_c_number(draw) for _ in range(count)) + draw.choice(["", "", "", " a", "x", "\n"]))
+        texts.add("".join(draw.choice("012348.xXaf \n") for _ in range(draw.randrange(1, 9))))
+
+    def expected(text):
+        try:
+            return int.from_bytes(socket.inet_aton(text)) if text else None
+        except OSError:
+            return None
+
+    df = spark.createDataFrame([(t, expected(t)) for t in texts], "ip string, expected bigint")
+    assert df.filter(~inet_aton_to_long(F.col("ip")).eqNullSafe(F.col("expected"))).collect() == []
+    assert df.filter("expected IS NOT NULL").count() > 200
+    strict = ip_to_long(F.col("ip"))
+    assert df.filter(strict.isNotNull() & (strict != F.col("expected"))).count() == 0
+
+
 def test_ip_to_long_every_octet_value(spark):
     octets = spark.range(256).withColumnRenamed("id", "o")
     for place in range(4):

@@ -23,6 +23,7 @@ from flowloop.llm.common import rows_of, texts
 
 P = np.uint64((1 << 31) - 1)
 BASES = (1_000_003, 16_777_619)
+INVERSES = tuple(pow(base, -1, int(P)) for base in BASES)
 SPAN = 24
 SKETCH = 64
 # Ranges of ids for each shuffle partition: ranges are dealt by hash, so several even out.
@@ -66,27 +67,24 @@ class PrefixHashes:
             np.cumsum(_mod(codes * _power_table(base, self.n)[: self.n]), out=sums[1:])
             self.sums.append(_mod(sums))
 
-    def spans(self, starts: np.ndarray, length: int) -> np.ndarray:
-        """Hashes of the spans of ``length`` from each of ``starts``, independent of place."""
-        out = np.zeros(len(starts), dtype=np.uint64)
-        for base, sums in zip(BASES, self.sums):
-            inverse = _power_table(pow(base, -1, int(P)), self.n + 1)
-            part = _mod(sums[starts + length] + P - sums[starts])
-            out = (out << _S31) | _mod(part * inverse[starts])
-        return out
-
     def windows(self, length: int) -> np.ndarray:
         """Hashes of all spans of ``length``."""
         m = self.n - length + 1
         out = np.zeros(m, dtype=np.uint64)
-        for base, sums in zip(BASES, self.sums):
-            inverse = _power_table(pow(base, -1, int(P)), self.n + 1)
+        for inverse_base, sums in zip(INVERSES, self.sums):
+            inverse = _power_table(inverse_base, self.n + 1)
             part = _mod(sums[length:] + P - sums[:m])
             out = (out << _S31) | _mod(part * inverse[:m])
         return out
 
     def span(self, start: int, length: int) -> int:
-        return int(self.spans(np.array([start]), length)[0]) if length else 0
+        """The hash of one span."""
+        out = 0
+        for inverse_base, sums in zip(INVERSES, self.sums):
+            inverse = _power_table(inverse_base, self.n + 1)
+            part = int(sums[start + length]) - int(sums[start])
+            out = (out << 31) | part * int(inverse[start]) % int(P)
+        return out
 
     def whole(self) -> int:
         return self.span(0, self.n)

@@ -19,7 +19,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from flowloop.llm.common import rows_of, texts, written
 from flowloop.llm.components import connected_components
@@ -45,25 +44,26 @@ def simhash(text: str, shingle: int = SHINGLE) -> int:
     hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], dtype="<u8")
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 4096):
-        bits = np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        octets = hashes[at : at + 4096].view(np.uint8).reshape(-1, 8)
+        bits = np.unpackbits(octets, axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def simhashes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)``: the fingerprint of every text as a signed long."""
+    """``(doc_id, hash, fp)``: the xxhash64 and the fingerprint of every text as signed longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.array(
                 [simhash(text, shingle) for (text,) in rows_of(iter([batch]), "text")], dtype="<u8"
             )
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(values.view("<i8"))], names=["doc_id", "fp"]
-            )
+            columns = [batch.column("doc_id"), batch.column("hash"), pa.array(values.view("<i8"))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "hash", "fp"])
 
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
-    return texts(docs).withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(run, schema)
+    rows = texts(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id bigint, hash bigint, fp bigint")
 
 
 def _masks() -> list[int]:
@@ -109,6 +109,22 @@ def _flips(mask: int) -> list[Column]:
     return [F.lit(0).cast("bigint")] + [F.lit(b - (1 << 64) if b >> 63 else b) for b in free]
 
 
+def components(docs: DataFrame) -> DataFrame:
+    """``(doc_id, hash, fp, home, component_id)`` for every row.
+
+    ``home`` is the fingerprint that stands for the component, ``component_id`` its smallest id.
+    """
+    prints = written(simhashes(docs), "simhashes")
+    fps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
+    nodes = connected_components(close_links(fps.select("fp")))
+    # Only linked fingerprints are in a component of more than one.
+    linked = fps.join(nodes, fps.fp == nodes.node, "left")
+    homes = linked.select("fp", F.coalesce("component", "fp").alias("home"), "least")
+    named = homes.groupBy("home").agg(F.min("least").alias("component_id"))
+    names = written(homes.select("fp", "home").join(named, "home"), "component_names")
+    return prints.join(names, "fp").select("doc_id", "hash", "fp", "home", "component_id")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row.
 
@@ -117,14 +133,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Null ids are kept and name a component only if it has no other; repeated rows each appear. An
     empty table gives no rows.
     """
-    prints = written(simhashes(docs), "simhashes")
-    fps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
-    nodes = connected_components(close_links(fps.select("fp")))
-    # Only linked fingerprints are in a component of more than one.
-    linked = fps.join(nodes, fps.fp == nodes.node, "left")
-    home = linked.select("fp", F.coalesce("component", "fp").alias("home"), "least")
-    named = home.groupBy("home").agg(F.min("least").alias("component_id"))
-    names = written(home.join(named, "home").select("fp", "component_id"), "component_names")
-    return prints.join(names, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    fingerprint = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
+    return components(docs).select("doc_id", fingerprint, "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """``(doc_id, hash)`` of one row for each component: that of the smallest id.
+
+    Where an id repeats within a component, the row with the smallest ``hash`` of its text.
+    """
+    first = components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return first.groupBy("doc_id", "home").agg(F.min("hash").alias("hash")).select("doc_id", "hash")

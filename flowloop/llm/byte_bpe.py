@@ -176,7 +176,7 @@ class ByteBpe:
                 "CREATE OR REPLACE TEMP TABLE rows_in AS "
                 "SELECT w, pos, tok FROM step SEMI JOIN unfinished USING (w)"
             )
-            if not self.db.execute("SELECT count(*) FROM rows_in").fetchone()[0]:
+            if not self.db.sql("SELECT * FROM rows_in LIMIT 1").fetchall():
                 break
         out = []
         for body in self.db.sql(_DECODED).to_arrow_table().column("body").to_pylist():

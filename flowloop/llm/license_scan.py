@@ -73,11 +73,13 @@ def _with_shingles(rows: DataFrame, text: Column) -> DataFrame:
     return rows.withColumn("shingles", hashes)
 
 
+def _min_hash(shingles: Column, band: int) -> Column:
+    return F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, F.lit(band))))
+
+
 def _min_hashes(shingles: Column) -> Column:
     """``BANDS`` bands of one MinHash each."""
-    return F.array(
-        *[F.array_min(F.transform(shingles, lambda s, k=k: F.xxhash64(s, F.lit(k)))) for k in range(BANDS)]
-    )
+    return F.array(*[_min_hash(shingles, band) for band in range(BANDS)])
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:

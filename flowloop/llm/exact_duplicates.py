@@ -50,42 +50,46 @@ def _ordered(ids: list) -> list:
     return sorted(ids, key=lambda i: (i is None, i))
 
 
-def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdCompressor(level=COMPRESSION)
+def _combine_locally(stretch_rows: int):
     schema = pa.schema(
         [("digest", pa.binary()), ("content", pa.binary()), ("members", pa.list_(pa.int64()))]
     )
-    groups: dict[bytes, list] = {}
-    size = rows = 0
-
-    def combined() -> pa.RecordBatch:
-        columns = [
-            [hashlib.sha256(content).digest() for content in groups],
-            [press.compress(content) for content in groups],
-            [_ordered(ids) for ids in groups.values()],
-        ]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema
-        )
-
-    for doc_id, text in rows_of(batches, "doc_id", "text"):
-        content = normalised(text)
-        ids = groups.get(content)
-        if ids is None:
-            groups[content] = [doc_id]
-            size += len(content)
-        else:
-            ids.append(doc_id)
-        rows += 1
-        if size >= STRETCH_BYTES or rows >= STRETCH_ROWS:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=COMPRESSION)
+        groups: dict[bytes, list] = {}
+        size = rows = 0
+
+        def combined() -> pa.RecordBatch:
+            columns = [
+                [hashlib.sha256(content).digest() for content in groups],
+                [press.compress(content) for content in groups],
+                [_ordered(ids) for ids in groups.values()],
+            ]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema
+            )
+
+        for doc_id, text in rows_of(batches, "doc_id", "text"):
+            content = normalised(text)
+            ids = groups.get(content)
+            if ids is None:
+                groups[content] = [doc_id]
+                size += len(content)
+            else:
+                ids.append(doc_id)
+            rows += 1
+            if size >= STRETCH_BYTES or rows >= stretch_rows:
+                yield combined()
+                groups.clear()
+                size = rows = 0
+        if groups:
             yield combined()
-            groups.clear()
-            size = rows = 0
-    if groups:
-        yield combined()
+
+    return run
 
 
-def exact_duplicates(docs: DataFrame) -> DataFrame:
+def exact_duplicates(docs: DataFrame, stretch_rows: int = STRETCH_ROWS) -> DataFrame:
     """``(doc_id, keep_id, group_size, kept, text_sha256)`` for every row.
 
     Texts are equal when identical after each run of ASCII white space became one space; a null
@@ -93,7 +97,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     null; of repeated rows with that id, exactly one. An empty table gives no rows.
     """
     docs = texts(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    local = docs.mapInArrow(_local, LOCAL).select(
+    local = docs.mapInArrow(_combine_locally(stretch_rows), LOCAL).select(
         "digest",
         "content",
         "members",

@@ -3,8 +3,8 @@
 Documents become pieces of at most ``LENGTH`` tokens. Pieces are dealt to parts of bounded size and
 packed there by best-fit decreasing. Dual feasible functions give a lower bound on the sequences a
 part needs. A part that meets its bound is certified and stays. The other parts give up their
-sequences that are not full: these pieces are exchanged, that is dealt to new parts, and packed
-again. A repacking counts only where it needs fewer sequences.
+sequences that are not full: these pieces are exchanged, that is dealt to new, larger parts, and
+packed again. A repacking counts only where it needs fewer sequences.
 """
 
 import zlib
@@ -22,9 +22,12 @@ from flowloop.llm.common import rows_of, texts, written
 from flowloop.llm.word_bpe import WordBpe
 
 LENGTH = 2048
-# Pieces of one part, about.
+# Pieces of one part in the first round, about; each round's parts are twice as large.
 PART = 4096
 ROUNDS = 4
+# A part is certified if it uses no more than this above its need. Whole sequences would be too
+# coarse: the half sequence that each part wastes by rounding adds up over many parts.
+GAP = 0.05
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -57,11 +60,11 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     return docs.mapInArrow(run, PIECES)
 
 
-def lower_bound(sizes: np.ndarray, length: int = LENGTH) -> int:
-    """The largest bound that the dual feasible functions of every threshold give.
+def need(sizes: np.ndarray, length: int = LENGTH) -> float:
+    """The sequences that sizes need, as the dual feasible functions of every threshold bound it.
 
     For a threshold ``t`` up to half the length: sizes above ``length - t`` count as whole
-    sequences, sizes below ``t`` as nothing, the rest as they are.
+    sequences, sizes below ``t`` as nothing, the rest as their share of one.
     """
     counts = np.bincount(sizes, minlength=length + 1).astype(np.int64)
     volume = np.cumsum(counts * np.arange(length + 1))
@@ -69,7 +72,12 @@ def lower_bound(sizes: np.ndarray, length: int = LENGTH) -> int:
     t = np.arange(0, length // 2 + 1)
     large = number[length] - number[length - t]
     below = np.where(t > 0, volume[np.maximum(t - 1, 0)], 0)
-    return int((large + -(-(volume[length - t] - below) // length)).max())
+    return float((large + (volume[length - t] - below) / length).max())
+
+
+def lower_bound(sizes: np.ndarray, length: int = LENGTH) -> int:
+    """No packing of ``sizes`` has fewer sequences."""
+    return int(np.ceil(need(sizes, length) - 1e-9))
 
 
 def best_fit_decreasing(sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +119,7 @@ def _repacked(length: int, final: bool):
             names = np.zeros(bins.max() + 1, dtype=np.int64)
             names[bins[offsets == 0]] = part["uid"].to_numpy()[offsets == 0]
             part["bin"], part["offset"] = names[bins], offsets
-        gap = part["bin"].nunique() > lower_bound(sizes, length)
+        gap = part["bin"].nunique() - need(sizes, length) > GAP
         filled = part.groupby("bin")["length"].transform("sum")
         part["moves"] = (filled < length) & (gap and not final)
         return part.drop(columns="part")
@@ -132,7 +140,7 @@ def packed(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         left = moving.count()
         if not left:
             break
-        parts = max(1, round(left / PART))
+        parts = max(1, round(left / (PART << attempt)))
         final = attempt == ROUNDS - 1 or parts == 1
         # A first deal is by piece, a later one by sequence, which moves as a whole.
         key = F.when(F.col("bin") < 0, F.xxhash64("uid", F.lit(attempt))).otherwise(

@@ -88,7 +88,7 @@ class WordBpe:
         """Remember the ids of ``words``, none of which holds white space."""
         split = {}
         for word in words:
-            if any(token in word for token in self.special):
+            if max(word) > _SIMPLE or any(token in word for token in self.special):
                 ids = self.library.encode(word, add_special_tokens=False).ids
                 self.words[word] = np.array(ids, dtype="<u4").tobytes()
             else:
@@ -112,6 +112,10 @@ class WordBpe:
         return [b"".join(map(known, words)) for words in split]
 
 
+# Words of Latin letters alone are split here. Beyond them, Unicode versions differ in what is a
+# letter or composes, and the library itself encodes the word.
+_SIMPLE = "\u024f"
+
 # The tokenizer's white space is Unicode's; str.split() also cuts at these four controls.
 _NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 _SPACES = regex.compile(r"\s+")

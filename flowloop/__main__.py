@@ -10,21 +10,33 @@ Tables are named by path; with ``--servers`` a job uses the topics instead.
 """
 
 import argparse
+import hashlib
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowloop.functions import ADDRESS_FORMS
 from flowloop.operators import candidates as cand
 from flowloop.operators import labelling
-from flowloop.operators.normalize import COALESCE, DOTTED_QUAD, LAST_WINS
+from flowloop.operators.decode import decode
+from flowloop.operators.normalize import COALESCE, DOTTED_QUAD, LAST_WINS, flow_rejects
 from flowloop.operators.scoring import PREDICTIONS_TOPIC
 from flowloop.operators.training import LABEL_LOOKBACK
 from flowloop.plans.label import park_candidates, parked_candidates, record_answers
 from flowloop.plans.score import score_table
 from flowloop.plans.train import train_all
-from flowloop.schemas import MESSAGE, SCORED_MESSAGE, SUBMISSION, label_record
+from flowloop.schemas import (
+    BEATS,
+    FEATURES,
+    MESSAGE,
+    SCORED_MESSAGE,
+    SUBMISSION,
+    label_record,
+    load_columns,
+    load_schema,
+)
 from flowloop.session import get_session
 from flowloop.sources.messages import (
     kafka_messages,
@@ -32,8 +44,8 @@ from flowloop.sources.messages import (
     topic_window,
     write_kafka,
 )
-from flowloop.sources.models import USER, VALIDATED, ModelStore
-from flowloop.sources.tables import read_window, replace_batch
+from flowloop.sources.models import KEPT_VERSIONS, USER, VALIDATED, ModelStore
+from flowloop.sources.tables import RUN, read_window, replace_batch
 from flowloop.streaming.registry import ModelRegistry
 from flowloop.streaming.scoring import file_sink, kafka_sink, start_scoring
 
@@ -41,6 +53,16 @@ LABELLED_AT = T.StructField("labelled_at", T.TimestampType())
 
 
 def train(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Ends with a status other than 0 when no user pair was published."""
+    if not args.user_labels and not args.servers:
+        raise SystemExit("train: give --user-labels or --servers")
+    if args.servers and (args.user_labels or args.validated_labels):
+        raise SystemExit("train: give label tables or --servers, not both")
+    if args.columns:
+        _, features = load_columns(spark, args.columns)
+        if features != FEATURES:
+            raise SystemExit(f"train: flows are scored by {FEATURES}, not by {features}")
+
     def labels(path: str | None, topic: str) -> DataFrame | None:
         if path:
             label = label_record(labelling.LABEL_COLUMNS[topic])
@@ -54,11 +76,13 @@ def train(spark: SparkSession, args: argparse.Namespace) -> None:
     results = train_all(
         labels(args.user_labels, labelling.USER_TOPIC),
         labels(args.validated_labels, labelling.VALIDATED_TOPIC),
-        ModelStore(spark, args.models),
+        ModelStore(spark, args.models, args.keep_models),
         args.as_of,
     )
     for name, result in results.items():
         print(name, result.reason or f"version {result.version}")
+    if results[USER].version is None:
+        raise SystemExit(1)
 
 
 def stream(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -70,6 +94,9 @@ def stream(spark: SparkSession, args: argparse.Namespace) -> None:
         sink = file_sink(args.out)
     else:
         sink = kafka_sink(args.servers, **dict(args.sink_option))
+    trigger = {"processingTime": args.interval}
+    if args.available_now:
+        trigger = {"availableNow": True}
     start_scoring(
         messages,
         ModelRegistry(ModelStore(spark, args.models)),
@@ -78,20 +105,30 @@ def stream(spark: SparkSession, args: argparse.Namespace) -> None:
         mode=args.addresses,
         strong_scorer=args.strong_scorer,
         form=args.address_form,
-        trigger={"availableNow": True} if args.available_now else None,
+        trigger=trigger,
+        rejects=file_sink(args.rejects) if args.rejects else None,
+        schema=_record_schema(spark, args),
     ).awaitTermination()
 
 
+def _record_schema(spark: SparkSession, args: argparse.Namespace) -> T.StructType:
+    return load_schema(spark, args.schema) if args.schema else BEATS
+
+
 def score(spark: SparkSession, args: argparse.Namespace) -> None:
     store = ModelStore(spark, args.models)
     user, validated = store.load(USER), store.load(VALIDATED)
     if user is None:
         raise SystemExit(f"no user models under {args.models}")
     messages = table_messages(spark, args.messages)
+    schema = _record_schema(spark, args)
     scored = score_table(
-        messages, user, validated, args.addresses, args.strong_scorer, args.address_form
+        messages, user, validated, args.addresses, args.strong_scorer, args.address_form, schema
     )
     replace_batch(scored, args.out, "ts", args.batch, backfill=args.backfill)
+    if args.rejects:
+        rejected = flow_rejects(decode(messages, schema), args.addresses, args.address_form)
+        replace_batch(rejected.select("key", "ts", "reason"), args.rejects, "ts", args.batch)
 
 
 def park(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -107,21 +144,41 @@ def park(spark: SparkSession, args: argparse.Namespace) -> None:
         rows = cand.live_candidates(recent, args.as_of, lookback, args.limit, args.address_form)
     else:
         rows = cand.prediction_candidates(recent, args.as_of, lookback, args.limit)
-    park_candidates(rows, args.candidates, args.as_of)
+    park_candidates(rows, args.candidates, args.as_of, _run_id(args, args.kind))
+
+
+def _run_id(args: argparse.Namespace, *parts: str) -> str:
+    """The same for a repeated run, which then replaces its rows instead of doubling them."""
+    if args.run_id:
+        return args.run_id
+    text = "|".join([args.as_of.isoformat(), *parts])
+    return hashlib.sha256(text.encode()).hexdigest()[:16]
 
 
 def answer(spark: SparkSession, args: argparse.Namespace) -> None:
     topic = labelling.USER_TOPIC if args.kind == "user" else labelling.VALIDATED_TOPIC
     submissions = spark.read.schema(SUBMISSION).json(args.submissions)
     since = timedelta(hours=args.parked_hours) if args.parked_hours else None
-    parked = parked_candidates(spark, args.candidates, as_of=args.as_of, lookback=since)
-    record_answers(submissions, parked, topic, args.labels, labelled_at=args.as_of)
+    # The page was parked before now, and this reads up to the end of the moment.
+    until = args.as_of + timedelta(microseconds=1)
+    parked = parked_candidates(spark, args.candidates, as_of=until, lookback=since)
+    if args.default_answer:
+        submissions = labelling.with_default_answers(submissions, parked, args.default_answer)
+    run = _run_id(args, args.kind, args.submissions)
+    unknown = record_answers(submissions, parked, topic, args.labels, args.as_of, run)
     if args.servers:
-        labels = labelling.resolve_answers(submissions, parked, labelling.LABEL_COLUMNS[topic])
-        write_kafka(labelling.label_messages(labels, topic), args.servers)
-    unknown = labelling.unknown_submissions(submissions, parked).count()
-    if unknown:
-        print(f"{unknown} answers for unknown candidates")
+        label = label_record(labelling.LABEL_COLUMNS[topic])
+        schema = T.StructType([*label.fields, LABELLED_AT, T.StructField(RUN, T.StringType())])
+        window = read_window(
+            spark, args.labels, schema, "labelled_at", until, timedelta(microseconds=2)
+        )
+        sent = window.filter(F.col(RUN) == run).select(*label.names)
+        write_kafka(labelling.label_messages(sent, topic), args.servers)
+    if args.rejects:
+        unknown.write.mode("overwrite").json(f"{args.rejects}/{RUN}={run}")
+    count = unknown.count()
+    if count:
+        print(f"{count} answers for unknown candidates")
 
 
 def _moment(text: str) -> datetime:
@@ -153,7 +210,16 @@ def parser() -> argparse.ArgumentParser:
         "addresses": {"choices": [LAST_WINS, COALESCE], "default": LAST_WINS},
         "strong_scorer": {"choices": ["validated", "user"], "default": "validated"},
     }
-    job(train, "models", user_labels={}, validated_labels={}, servers={})
+    run_id = {"help": "name of this run; by default from its time and input"}
+    job(
+        train,
+        "models",
+        user_labels={},
+        validated_labels={},
+        servers={},
+        columns={"help": "training-set description to check against"},
+        keep_models={"type": int, "default": KEPT_VERSIONS},
+    )
     job(
         stream,
         "models",
@@ -163,6 +229,9 @@ def parser() -> argparse.ArgumentParser:
         messages={},
         out={},
         available_now={"action": "store_true"},
+        interval={"default": "10 seconds"},
+        rejects={},
+        schema={},
         source_option={"type": _option, "action": "append", "default": []},
         sink_option={"type": _option, "action": "append", "default": []},
         **scoring,
@@ -174,6 +243,8 @@ def parser() -> argparse.ArgumentParser:
         "out",
         batch={"type": int, "default": 0},
         backfill={"action": "store_true"},
+        rejects={},
+        schema={},
         **scoring,
     )
     job(
@@ -185,6 +256,7 @@ def parser() -> argparse.ArgumentParser:
         address_form=form,
         kind={"choices": ["live", "predictions"], "default": "live"},
         limit={"type": int, "default": cand.PAGE_SIZE},
+        run_id=run_id,
     )
     job(
         answer,
@@ -192,8 +264,11 @@ def parser() -> argparse.ArgumentParser:
         "candidates",
         "labels",
         kind={"choices": ["user", "validated"], "default": "user"},
-        parked_hours={"type": int},
+        parked_hours={"type": int, "default": 24, "help": "0 reads the whole table"},
         servers={},
+        default_answer={"choices": ["true", "false"]},
+        rejects={},
+        run_id=run_id,
     )
     return root
 

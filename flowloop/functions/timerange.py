@@ -24,8 +24,12 @@ def _literal(moment: datetime, dtype: T.DataType) -> Column:
     return F.lit(moment.isoformat()).cast(dtype)
 
 
-def in_window(df: DataFrame, ts_col: str, as_of: datetime, lookback: timedelta) -> Column:
-    """``as_of - lookback <= ts < as_of``."""
+def in_window(
+    df: DataFrame, ts_col: str, as_of: datetime | None, lookback: timedelta | None
+) -> Column:
+    """``as_of - lookback <= ts < as_of``; without ``lookback`` every row."""
+    if lookback is None:
+        return F.lit(True)
     dtype = df.schema[ts_col].dataType
     ts, as_of = F.col(ts_col), as_utc(as_of)
     return (ts >= _literal(as_of - lookback, dtype)) & (ts < _literal(as_of, dtype))

@@ -29,15 +29,16 @@ def _newest(df: DataFrame, limit: int | None) -> DataFrame:
 
 def live_candidates(
     messages: DataFrame,
-    as_of: datetime,
-    lookback: timedelta = LIVE_LOOKBACK,
+    as_of: datetime | None = None,
+    lookback: timedelta | None = LIVE_LOOKBACK,
     limit: int | None = PAGE_SIZE,
     form: str = DOTTED_QUAD,
 ) -> DataFrame:
     """The newest raw flows that name a source address and port.
 
     Returns ``key, ts`` and the candidate columns without ``id``. The
-    destination is not checked, so its columns may be null.
+    destination is not checked, so its columns may be null. Without ``lookback``
+    the whole table is looked at.
     """
     recent = messages.filter(in_window(messages, "ts", as_of, lookback))
     flows = decode(recent.select("key", "ts", "value"), _LIVE_FIELDS).filter(
@@ -60,8 +61,8 @@ def live_candidates(
 
 def prediction_candidates(
     scored: DataFrame,
-    as_of: datetime,
-    lookback: timedelta = PREDICTION_LOOKBACK,
+    as_of: datetime | None = None,
+    lookback: timedelta | None = PREDICTION_LOOKBACK,
     limit: int | None = PAGE_SIZE,
 ) -> DataFrame:
     """The newest forest predictions, as ``key, ts`` and the candidate columns.

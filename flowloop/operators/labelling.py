@@ -14,60 +14,59 @@ USER_TOPIC = "user_predictions"
 VALIDATED_TOPIC = "validated_predictions"
 LABEL_COLUMNS = {USER_TOPIC: "label", VALIDATED_TOPIC: "validated_label"}
 
-# Ids with more submissions than HOT_ROWS are spread over SALTS tasks. At most
-# HOT_IDS of them are, so an id beyond those holds less than 1/HOT_IDS of all rows.
-HOT_ROWS = 100_000
-HOT_IDS = 1_000
-SALTS = 32
+# Equal answers for one id travel as one row with their number. Where they become rows again, a
+# task makes at most so many of one id.
+CHUNK = 10_000
 
 
-def _salted(
-    submissions: DataFrame, candidates: DataFrame, hot_rows: int
-) -> tuple[DataFrame, DataFrame]:
-    """Add ``salt`` to both sides: 0, but for hot ids any of ``SALTS`` numbers.
+def match_answers(submissions: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``(id, answer, known)`` and the candidate's columns for every submission.
 
-    A submission gets one salt and a candidate a copy for each, so every pair still
-    meets exactly once. The counts are combined before their shuffle, and the
-    broadcast set of hot ids has at most ``HOT_IDS`` rows.
+    Equal submissions are counted before any shuffle, so an id answered millions of times is a row
+    or two until the end, where its copies are dealt to tasks in chunks. Candidates that nobody
+    answered go before anything is sorted or shuffled: for a page of answers, the ids are
+    broadcast to the scan. Of an id parked several times the last candidate counts, and of several
+    parked at once the largest by its fields.
     """
-    counts = submissions.groupBy("id").count().filter(F.col("count") > hot_rows)
-    hottest = counts.orderBy(F.desc("count"), "id").limit(HOT_IDS)
-    hot = F.broadcast(hottest.select("id", F.lit(True).alias("hot")))
-    spread = F.when(F.col("hot"), F.monotonically_increasing_id() % SALTS).otherwise(0)
-    every = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
-    copies = F.when(F.col("hot"), every).otherwise(F.array(F.lit(0).cast("bigint")))
-    return (
-        submissions.join(hot, "id", "left").withColumn("salt", spread).drop("hot"),
-        candidates.join(hot, "id", "left").withColumn("salt", F.explode(copies)).drop("hot"),
-    )
+    counted = submissions.groupBy("id", "answer").agg(F.count("*").alias("n"))
+    wanted = candidates.join(submissions.select("id").distinct(), "id", "left_semi")
+    fields = [name for name in CANDIDATE.names if name != "id"]
+    last = F.max(F.struct("parked_at", *fields)).alias("last")
+    by_id = wanted.groupBy("id").agg(last).select("id", "last.*", F.lit(True).alias("known"))
+    met = counted.join(by_id, "id", "left")
+    chunks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / CHUNK).cast("bigint"))
+    spread = met.withColumn("chunk", F.explode(chunks)).repartition(_partitions(met), "id", "answer", "chunk")
+    copies = F.least(F.lit(CHUNK), F.col("n") - F.col("chunk") * CHUNK).cast("int")
+    rows = spread.withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies)))
+    return rows.select("id", "answer", F.col("known").isNotNull().alias("known"), *fields)
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def known_labels(matched: DataFrame, label_col: str) -> DataFrame:
+    labels = matched.filter("known").withColumn(label_col, answer_to_bit(F.col("answer")))
+    return labels.select(*label_record(label_col).names)
+
+
+def unknown_answers(matched: DataFrame) -> DataFrame:
+    return matched.filter(~F.col("known")).select("id", "answer")
 
 
 def resolve_answers(
-    submissions: DataFrame,
-    candidates: DataFrame,
-    label_col: str = "label",
-    hot_rows: int = HOT_ROWS,
+    submissions: DataFrame, candidates: DataFrame, label_col: str = "label"
 ) -> DataFrame:
     """The label record of every submission whose id is known.
 
-    An id submitted several times gives as many labels. Of an id parked several
-    times the last candidate counts; tasks reduce those before the shuffle, which
-    the join then reuses.
+    An id submitted several times gives as many labels.
     """
-    answers, parked = _salted(submissions, candidates, hot_rows)
-    fields = [name for name in CANDIDATE.names if name != "id"]
-    last = F.max_by(F.struct(*fields), F.col("parked_at")).alias("last")
-    by_id = parked.groupBy("id", "salt").agg(last).select("id", "salt", "last.*")
-    labels = answers.withColumn(label_col, answer_to_bit(F.col("answer")))
-    return labels.join(by_id, ["id", "salt"]).select(*label_record(label_col).names)
+    return known_labels(match_answers(submissions, candidates), label_col)
 
 
-def unknown_submissions(
-    submissions: DataFrame, candidates: DataFrame, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def unknown_submissions(submissions: DataFrame, candidates: DataFrame) -> DataFrame:
     """The submissions whose id was never parked."""
-    answers, parked = _salted(submissions, candidates.select("id"), hot_rows)
-    return answers.join(parked.distinct(), ["id", "salt"], "left_anti").drop("salt")
+    return unknown_answers(match_answers(submissions, candidates))
 
 
 def with_default_answers(

@@ -24,34 +24,27 @@ SEED = 1
 
 def training_set(
     labels: DataFrame,
-    as_of: datetime,
-    lookback: timedelta = LABEL_LOOKBACK,
+    as_of: datetime | None = None,
+    lookback: timedelta | None = LABEL_LOOKBACK,
     label_col: str = "label",
     ts_col: str = "labelled_at",
     feature_cols: Sequence[str] = FEATURES,
 ) -> DataFrame:
     """Labelled rows of ``[as_of - lookback, as_of)`` as features and ``label``.
 
-    Rows without a label, or whose label or feature is no number, are left out.
+    Without ``lookback`` all rows count. Rows whose label is not 0 or 1, or whose
+    feature is no number, are left out.
     """
     rows = labels.filter(in_window(labels, ts_col, as_of, lookback)).select(
         *[F.col(c).try_cast("bigint").alias(c) for c in feature_cols],
         F.col(label_col).try_cast("int").alias("label"),
     )
-    return assemble(rows.dropna(), feature_cols)
+    return assemble(rows.dropna().filter(F.col("label").isin(0, 1)), feature_cols)
 
 
-def enough_points(data: DataFrame, k: int = CLUSTERS, glance: int = 1000) -> bool:
-    """Whether there are at least ``k`` distinct feature rows.
-
-    The first ``glance`` rows nearly always tell; only if they are repetitive and
-    there are more does the exact count run.
-    """
-    features = data.select("features")
-    first = features.head(glance)
-    if len(set(first)) >= k or len(first) < glance:
-        return len(set(first)) >= k
-    return features.distinct().limit(k).count() >= k
+def enough_points(data: DataFrame, k: int = CLUSTERS) -> bool:
+    """Whether there are at least ``k`` distinct feature rows."""
+    return data.select("features").distinct().limit(k).count() >= k
 
 
 def fit_kmeans(data: DataFrame, k: int = CLUSTERS, seed: int = SEED) -> KMeansModel:

@@ -17,12 +17,30 @@ _TEXT = """
 # Every event as a flow, before any field is left out.
 _ALL = f"SELECT event_id, ts, event_type, {_TEXT} FROM events"
 
-# The messages that are whole flows, and those that only name their source.
-_WHOLE = f"SELECT * FROM ({_ALL}) WHERE event_id % 97 <> 0 AND event_id % 10 NOT IN (0, 1)"
+# Every message's fields as they are written, and their numbers where they are addresses.
+_FIELDS = f"""
+SELECT event_id, ts, event_type, event_id % 97 <> 0 AS readable, event_id % 13 <> 5 AS is_flow,
+    CASE WHEN event_id % 20 IN (0, 10) THEN NULL WHEN event_id % 101 = 7 THEN '10.0.0.300'
+        ELSE source_ipv4 END AS source_ipv4,
+    CASE WHEN event_id % 20 NOT IN (0, 10) AND event_id % 101 <> 7 THEN source_ip END AS source_ip,
+    CASE WHEN event_id % 20 <> 10 AND event_id % 109 <> 13 THEN source_port END AS source_port,
+    CASE WHEN event_id % 107 = 11 THEN NULL WHEN event_id % 103 = 9 THEN 'fe80::1'
+        ELSE dest_ipv4 END AS dest_ipv4,
+    CASE WHEN event_id % 107 <> 11 AND event_id % 103 <> 9 THEN dest_ip END AS dest_ip,
+    CASE WHEN event_id % 10 <> 1 THEN dest_port END AS dest_port
+FROM ({_ALL})
+"""
+
+# The messages that are whole flows, and those of type flow that name their source.
+_WHOLE = f"""
+SELECT * FROM ({_FIELDS}) WHERE readable AND source_ip IS NOT NULL AND source_port IS NOT NULL
+    AND dest_ip IS NOT NULL AND dest_port IS NOT NULL
+"""
 _NAMED = f"""
 SELECT event_id, ts, source_ipv4, source_ip, source_port::INTEGER AS source_port, dest_ipv4,
-    dest_ip, CASE WHEN event_id % 10 <> 1 THEN dest_port::INTEGER END AS dest_port
-FROM ({_ALL}) WHERE event_id % 97 <> 0 AND event_id % 10 <> 0
+    dest_ip, dest_port::INTEGER AS dest_port
+FROM ({_FIELDS})
+WHERE readable AND is_flow AND source_ipv4 IS NOT NULL AND source_port IS NOT NULL
 """
 
 _SUBMISSIONS = """
@@ -50,6 +68,27 @@ FROM ({_SUBMISSIONS}) s JOIN ({_WHOLE}) c ON s.id = c.event_id
 """
 
 
+_DECODED = f"""
+SELECT event_id, CASE WHEN readable THEN source_ipv4 END AS source_ipv4,
+    CASE WHEN readable THEN source_port::INTEGER END AS source_port,
+    CASE WHEN readable THEN dest_ipv4 END AS dest_ipv4,
+    CASE WHEN readable THEN dest_port::INTEGER END AS dest_port
+FROM ({_FIELDS})
+"""
+_REJECTS = f"""
+SELECT event_id, reason FROM (
+    SELECT event_id, CASE WHEN NOT readable THEN 'undecodable'
+        WHEN source_ipv4 IS NULL THEN 'missing source_ip'
+        WHEN dest_ipv4 IS NULL THEN 'missing dest_ip'
+        WHEN source_port IS NULL THEN 'missing source_port'
+        WHEN dest_port IS NULL THEN 'missing dest_port'
+        WHEN source_ip IS NULL THEN 'invalid source_ip'
+        WHEN dest_ip IS NULL THEN 'invalid dest_ip' END AS reason
+    FROM ({_FIELDS})
+) WHERE reason IS NOT NULL
+"""
+
+
 def _training(skipped: int) -> str:
     return f"""
 SELECT {_FEATURES}, (event_type = 'error')::INTEGER AS label
@@ -67,19 +106,8 @@ FROM ({_WHOLE}), (VALUES ('kmeans'), ('rf')) AS algos (algo)
 _PREDICTED = f"SELECT event_id, {_PORT_LABEL} AS \"predictedLabel\" FROM ({_WHOLE})"
 
 ORACLES = {
-    "beats_decode": """
-SELECT event_id,
-    CASE WHEN event_id % 97 <> 0 AND event_id % 10 <> 0 THEN
-        '10.' || ((user_id // 256) % 256) || '.' || (user_id % 256) || '.' || (event_id % 256)
-    END AS source_ipv4,
-    CASE WHEN event_id % 97 <> 0 AND event_id % 20 <> 10 THEN
-        (1024 + event_id % 60000)::INTEGER END AS source_port,
-    CASE WHEN event_id % 97 <> 0 THEN
-        (192 + event_id % 8) || '.168.' || (user_id % 256) || '.1' END AS dest_ipv4,
-    CASE WHEN event_id % 97 <> 0 AND event_id % 10 <> 1 THEN
-        [53, 80, 443, 8080][1 + event_id % 4]::INTEGER END AS dest_port
-FROM events
-""",
+    "beats_decode": _DECODED,
+    "schema_file_decode": _DECODED,
     "ip_to_long": f"""
 SELECT event_id, CASE WHEN event_id % 16 >= 11 THEN source_ip END AS source_ip, dest_ip
 FROM ({_ALL})
@@ -95,17 +123,20 @@ FROM (SELECT a.*, user_id FROM ({_ALL}) a JOIN events e ON a.event_id = e.event_
 """,
     "flow_normalize": f"SELECT event_id, {_FEATURES} FROM ({_WHOLE})",
     "flow_normalize_coalesce": f"""
-SELECT event_id,
-    CASE WHEN event_id % 20 = 0 THEN 172::BIGINT * 16777216 + 16 * 65536 + event_id % 256
-        ELSE source_ip END AS source_ip,
-    source_port, dest_ip, dest_port
-FROM ({_ALL}) WHERE event_id % 97 <> 0 AND event_id % 20 <> 10 AND event_id % 10 <> 1
-""",
-    "flow_rejects": """
-SELECT event_id, CASE WHEN event_id % 97 = 0 THEN 'undecodable'
-    WHEN event_id % 10 = 0 THEN 'missing source_ip' ELSE 'missing dest_port' END AS reason
-FROM events WHERE event_id % 97 = 0 OR event_id % 10 IN (0, 1)
+SELECT event_id, source_ip, source_port, dest_ip, dest_port
+FROM (
+    SELECT event_id, readable, source_port, dest_port,
+        CASE WHEN event_id % 20 = 0 THEN 172::BIGINT * 16777216 + 16 * 65536 + event_id % 256
+            ELSE source_ip END AS source_ip,
+        CASE WHEN event_id % 20 = 0 AND dest_ipv4 IS NULL THEN 8 * 16843009
+            ELSE dest_ip END AS dest_ip
+    FROM ({_FIELDS})
+)
+WHERE readable AND source_ip IS NOT NULL AND source_port IS NOT NULL AND dest_ip IS NOT NULL
+    AND dest_port IS NOT NULL
 """,
+    "flow_rejects": _REJECTS,
+    "stream_rejects": _REJECTS,
     "feature_vector": f"""
 SELECT event_id, source_ip::DOUBLE AS f0, source_port::DOUBLE AS f1, dest_ip::DOUBLE AS f2,
     dest_port::DOUBLE AS f3
@@ -134,7 +165,9 @@ WHERE event_id NOT IN (SELECT id FROM ({_SUBMISSIONS}))
 """,
     "label_messages": f"SELECT id, label FROM ({_USER_LABELS})",
     "validated_label_messages": f"SELECT id, validated_label FROM ({_VALIDATED_LABELS})",
-    "candidate_parking": f"SELECT true AS id_fits, {_CANDIDATE} FROM ({_NAMED})",
+    "candidate_parking": f"""
+SELECT true AS id_fits, true AS ids_differ, {_CANDIDATE} FROM ({_NAMED})
+""",
     "training_set_user": _training(0),
     "training_set_validated": _training(1),
     "label_index": f"""
@@ -158,16 +191,37 @@ QUALIFY count(*) OVER (PARTITION BY feature) <= 4
     "rf_probability": f"""
 SELECT event_id, true AS sums_to_one, true AS is_largest FROM ({_WHOLE})
 """,
-    "kmeans_nearest": f"SELECT event_id, true AS is_nearest FROM ({_WHOLE})",
+    "kmeans_score": f"""
+SELECT event_id, min(event_id) OVER (PARTITION BY dest_port = 53) AS group_id FROM ({_WHOLE})
+""",
+    "kmeans_nearest": f"""
+SELECT event_id, true AS is_nearest, 10::BIGINT AS centres_used FROM ({_WHOLE})
+""",
     "model_roundtrip": _PREDICTED,
     "score_envelope": _messages("model_predictions"),
     "message_body": f"""
 SELECT event_id, algo, source_ipv4, dest_ipv4, {_FEATURES}, source_ip::DOUBLE AS f0,
     source_port::DOUBLE AS f1, dest_ip::DOUBLE AS f2, dest_port::DOUBLE AS f3,
-    CASE WHEN algo = 'rf' THEN {_PORT_LABEL} END AS "predictedLabel"
+    CASE WHEN algo = 'rf' THEN {_PORT_LABEL} END AS "predictedLabel",
+    CASE WHEN algo = 'rf' THEN (dest_port = 53)::DOUBLE END AS prediction,
+    CASE WHEN algo = 'rf' THEN 4 END AS indexed, CASE WHEN algo = 'rf' THEN 2 END AS raw,
+    CASE WHEN algo = 'rf' THEN true END AS sums_to_one
 FROM ({_WHOLE}), (VALUES ('kmeans'), ('rf')) AS algos (algo)
 """,
-    "strong_envelope": _messages("strong_predictions"),
+    "strong_envelope": f"""
+SELECT event_id, algo, topic, key, CASE WHEN algo = 'rf' THEN
+    CASE WHEN dest_port = 53 THEN '0' ELSE '1' END END AS "predictedLabel"
+FROM ({_messages("strong_predictions")}) JOIN (SELECT event_id, dest_port FROM ({_WHOLE}))
+    USING (event_id)
+""",
+    "stream_strong": f"""
+SELECT event_id, algo FROM ({_messages('strong_predictions')}) WHERE event_id % 4 >= 2
+""",
+    "stream_refresh": f"""
+SELECT event_id, CASE WHEN (dest_port = 53) = (event_id % 4 < 2) THEN '1' ELSE '0' END
+    AS "predictedLabel"
+FROM ({_WHOLE})
+""",
     "stream_score": f"SELECT event_id, algo FROM ({_messages('model_predictions')})",
     "active_loop": _PREDICTED,
 }

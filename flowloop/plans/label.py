@@ -2,30 +2,37 @@
 
 from datetime import datetime, timedelta
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowloop.functions import as_utc
 from flowloop.operators.candidates import with_ids
-from flowloop.operators.labelling import LABEL_COLUMNS, resolve_answers, stamp
+from flowloop.operators.labelling import (
+    LABEL_COLUMNS,
+    known_labels,
+    match_answers,
+    stamp,
+    unknown_answers,
+)
 from flowloop.schemas import CANDIDATE, PREDICTION_CANDIDATE
 from flowloop.sources.tables import append_periods, read_window
 
 
 def park_candidates(
-    candidates: DataFrame, path: str, parked_at: datetime | None = None
+    candidates: DataFrame, path: str, parked_at: datetime | None = None, run: str | None = None
 ) -> None:
     """Give candidates their ids and append them to the candidate table.
 
     The page shows rows read back from the table: ids are drawn by the write, and
-    recomputing the DataFrame would draw others.
+    recomputing the DataFrame would draw others. A repeated ``run`` replaces its rows.
     """
     parked_at = F.current_timestamp() if parked_at is None else F.lit(as_utc(parked_at))
     rows = with_ids(candidates).drop("ts").withColumn("parked_at", parked_at)
     if "predictedLabel" not in rows.columns:
         rows = rows.withColumn("predictedLabel", F.lit(None).cast("string"))
-    append_periods(rows, path, "parked_at")
+    append_periods(rows, path, "parked_at", run=run)
 
 
 def parked_candidates(
@@ -52,8 +59,16 @@ def record_answers(
     topic: str,
     path: str,
     labelled_at: datetime | Column | None = None,
-) -> None:
-    """Append the labels of one set of submissions to that topic's label table."""
-    labels = resolve_answers(submissions, candidates, LABEL_COLUMNS[topic])
+    run: str | None = None,
+) -> DataFrame:
+    """Append the labels of one set of submissions to that topic's label table.
+
+    Returns the answers for unknown ids. They are matched once: the result is kept with
+    spilling until the session ends or the caller unpersists it. A repeated ``run``
+    replaces its labels.
+    """
+    matched = match_answers(submissions, candidates).persist(StorageLevel.MEMORY_AND_DISK)
     moment = F.current_timestamp() if labelled_at is None else labelled_at
-    append_periods(stamp(labels, moment), path, "labelled_at")
+    labels = stamp(known_labels(matched, LABEL_COLUMNS[topic]), moment)
+    append_periods(labels, path, "labelled_at", run=run)
+    return unknown_answers(matched)

@@ -1,10 +1,12 @@
 """Scoring a stored table of messages in one batch."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from flowloop.operators.decode import decode
 from flowloop.operators.normalize import DOTTED_QUAD, LAST_WINS, normalize_flows
 from flowloop.operators.scoring import score_messages
+from flowloop.schemas import BEATS
 from flowloop.sources.models import ModelPair
 
 
@@ -15,7 +17,8 @@ def score_table(
     mode: str = LAST_WINS,
     strong_scorer: str = "validated",
     form: str = DOTTED_QUAD,
+    schema: T.StructType = BEATS,
 ) -> DataFrame:
     """Raw messages to scored messages; narrow from scan to output, no shuffle."""
-    flows = normalize_flows(decode(messages), mode, form)
+    flows = normalize_flows(decode(messages, schema), mode, form)
     return score_messages(flows, user, validated, strong_scorer)

@@ -1,12 +1,11 @@
 """The training job: both label sets to published model pairs."""
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 from multiprocessing.pool import ThreadPool
 
-from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
 from flowloop.operators.training import (
@@ -17,6 +16,7 @@ from flowloop.operators.training import (
     fit_kmeans,
     training_set,
 )
+from flowloop.schemas import FEATURES
 from flowloop.sources.models import USER, VALIDATED, ModelPair, ModelStore
 
 
@@ -37,16 +37,12 @@ def fit_pair(data: DataFrame) -> ModelPair:
 
 
 def train_pair(data: DataFrame, store: ModelStore, name: str) -> TrainResult:
-    """Fit and publish one pair; too little data or a failed fit publishes nothing."""
+    """Fit and publish one pair; too little data publishes nothing, a failed fit raises."""
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if not enough_points(data):
             return TrainResult(reason=f"fewer than {CLUSTERS} distinct feature rows")
-        try:
-            pair = fit_pair(data)
-        except (PySparkException, Py4JJavaError) as error:
-            return TrainResult(reason=f"fit failed: {error}")
-        return TrainResult(version=store.publish(name, pair))
+        return TrainResult(version=store.publish(name, fit_pair(data)))
     finally:
         data.unpersist()
 
@@ -55,15 +51,20 @@ def train_all(
     user_labels: DataFrame,
     validated_labels: DataFrame | None,
     store: ModelStore,
-    as_of: datetime,
-    lookback: timedelta = LABEL_LOOKBACK,
+    as_of: datetime | None = None,
+    lookback: timedelta | None = LABEL_LOOKBACK,
+    feature_cols: Sequence[str] = FEATURES,
 ) -> dict[str, TrainResult]:
     """Train the user pair and, when there are validated labels, the validated pair.
 
     Serves both the first training and the periodic one: an outside scheduler
-    calls it again, and a running stream picks the new versions up.
+    calls it again, and a running stream picks the new versions up. Without ``lookback``
+    all labels count.
     """
-    sets = {USER: training_set(user_labels, as_of, lookback, "label")}
-    if validated_labels is not None:
-        sets[VALIDATED] = training_set(validated_labels, as_of, lookback, "validated_label")
+    labels = {USER: (user_labels, "label"), VALIDATED: (validated_labels, "validated_label")}
+    sets = {
+        name: training_set(rows, as_of, lookback, label, feature_cols=feature_cols)
+        for name, (rows, label) in labels.items()
+        if rows is not None
+    }
     return {name: train_pair(data, store, name) for name, data in sets.items()}

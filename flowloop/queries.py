@@ -6,9 +6,9 @@ needs a table, a model store or a stream write them below the shared work folder
 
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from functools import partial
 
 from pyspark import StorageLevel
-from pyspark.ml.feature import StringIndexer, VectorIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,10 +30,19 @@ from flowloop.operators.scoring import (
 from flowloop.plans.label import park_candidates, parked_candidates, record_answers
 from flowloop.plans.score import score_table
 from flowloop.plans.train import fit_pair, train_all
-from flowloop.schemas import CANDIDATE, FEATURES, PREDICTION_CANDIDATE, SCORED, label_record
+from flowloop.schemas import (
+    BEATS,
+    CANDIDATE,
+    FEATURES,
+    PREDICTION_CANDIDATE,
+    SCORED,
+    label_record,
+    load_schema,
+)
 from flowloop.session import work_path
 from flowloop.sources import events as derived
-from flowloop.sources.models import USER, ModelPair, ModelStore
+from flowloop.sources.messages import table_messages
+from flowloop.sources.models import USER, VALIDATED, ModelPair, ModelStore
 from flowloop.sources.tables import append_periods, read_window
 from flowloop.streaming.registry import ModelRegistry
 from flowloop.streaming.scoring import file_sink, start_scoring
@@ -41,9 +50,6 @@ from flowloop.streaming.scoring import file_sink, start_scoring
 # The data ends on 2024-01-30; a day's look-back keeps every window filled.
 AS_OF = datetime(2024, 1, 30)
 DAY = timedelta(days=1)
-# A window that holds the whole table.
-END = datetime(2024, 2, 1)
-ALWAYS = timedelta(days=365)
 
 
 def _event_id() -> Column:
@@ -76,8 +82,11 @@ PORT_LABEL = "cast(element_at(array(53, 80, 443, 8080), cast(1 + event_id % 4 AS
 ERROR_LABEL = "cast(event_type = 'error' AS int)"
 
 
+OTHER_LABEL = f"1 - {PORT_LABEL}"
+
+
 def _training_data(spark: SparkSession, sf_dir: str, label: str = PORT_LABEL) -> DataFrame:
-    return training.training_set(_labels(spark, sf_dir, label), END, ALWAYS)
+    return training.training_set(_labels(spark, sf_dir, label), lookback=None)
 
 
 def _fitted(data: DataFrame, fit: Callable):
@@ -89,9 +98,8 @@ def _fitted(data: DataFrame, fit: Callable):
         data.unpersist()
 
 
-def _day_pair(spark: SparkSession, sf_dir: str) -> ModelPair:
-    labels = _labels(spark, sf_dir, PORT_LABEL)
-    return _fitted(training.training_set(labels, AS_OF, DAY), fit_pair)
+def _pair(spark: SparkSession, sf_dir: str, label: str = PORT_LABEL) -> ModelPair:
+    return _fitted(_training_data(spark, sf_dir, label), fit_pair)
 
 
 def _bigints(*names: str) -> list[Column]:
@@ -111,6 +119,20 @@ def beats_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def schema_file_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the record schema read from a file."""
+    path = work_path(spark, "schema")
+    text = spark.createDataFrame([(BEATS.json(),)], "value string")
+    text.coalesce(1).write.text(path)
+    return decode(_messages(spark, sf_dir), load_schema(spark, path)).select(
+        _event_id(),
+        F.col("data.source.ip").alias("source_ipv4"),
+        F.col("data.source.port").alias("source_port"),
+        F.col("data.dest.ip").alias("dest_ipv4"),
+        F.col("data.dest.port").alias("dest_port"),
+    )
+
+
 def ip_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.addresses(_events(spark, sf_dir)).select(
         "event_id",
@@ -155,7 +177,7 @@ def live_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prediction_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pair = _fitted(_training_data(spark, sf_dir), fit_pair)
+    pair = _pair(spark, sf_dir)
     # The forest's label decode blocks pushdown; over a stored table it is not needed.
     messages = _messages(spark, sf_dir)
     recent = messages.filter(in_window(messages, "ts", AS_OF, DAY))
@@ -165,14 +187,14 @@ def prediction_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _parked_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every raw flow as a candidate under its event id."""
-    rows = cand.live_candidates(_messages(spark, sf_dir), END, ALWAYS, limit=None)
+    rows = cand.live_candidates(_messages(spark, sf_dir), lookback=None, limit=None)
     return cand.with_ids(rows, F.col("key").cast("bigint")).withColumnRenamed("ts", "parked_at")
 
 
 def _parked_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every forest prediction as a candidate under its event id."""
-    scored = score_table(_messages(spark, sf_dir), _day_pair(spark, sf_dir))
-    rows = cand.prediction_candidates(scored, END, ALWAYS, limit=None)
+    scored = score_table(_messages(spark, sf_dir), _pair(spark, sf_dir))
+    rows = cand.prediction_candidates(scored, lookback=None, limit=None)
     return cand.with_ids(rows, F.col("key").cast("bigint")).withColumnRenamed("ts", "parked_at")
 
 
@@ -214,13 +236,16 @@ def validated_label_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidate_parking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Park every raw flow under a random id and read the table back."""
     path = work_path(spark, "candidates")
-    rows = cand.live_candidates(_messages(spark, sf_dir), END, ALWAYS, limit=None)
+    rows = cand.live_candidates(_messages(spark, sf_dir), lookback=None, limit=None)
     park_candidates(rows, path)
     parked = parked_candidates(spark, path)
     listed = cand.decode_parked(cand.encode_parked(parked))
-    return listed.select(
+    times = listed.groupBy("id").agg(F.count("*").alias("times"))
+    fields = [name for name in CANDIDATE.names if name != "id"]
+    return listed.join(times, "id").select(
         F.col("id").between(0, 2**48 - 1).alias("id_fits"),
-        *[name for name in CANDIDATE.names if name != "id"],
+        (F.col("times") == 1).alias("ids_differ"),
+        *fields,
     )
 
 
@@ -245,20 +270,18 @@ def training_set_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = _training_data(spark, sf_dir, ERROR_LABEL)
-    model = StringIndexer(inputCol="label", outputCol="indexedLabel").fit(data)
-    rows = [(label, idx) for idx, label in enumerate(model.labels)]
+    """The label order of the fitted pipeline; labels are 0 and 1, so this is two rows."""
+    model = _fitted(_training_data(spark, sf_dir, ERROR_LABEL), training.fit_forest)
+    rows = [(label, idx) for idx, label in enumerate(model.stages[0].labels)]
     return spark.createDataFrame(rows, "label string, idx bigint")
 
 
 def feature_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    indexer = VectorIndexer(
-        inputCol="features", outputCol="indexedFeatures", maxCategories=training.MAX_CATEGORIES
-    )
-    categories = indexer.fit(_training_data(spark, sf_dir)).categoryMaps
+    """The categories of the fitted pipeline: four values of four features at most."""
+    model = _fitted(_training_data(spark, sf_dir), training.fit_forest)
     rows = [
         (FEATURES[feature], float(value), int(idx))
-        for feature, values in categories.items()
+        for feature, values in model.stages[1].categoryMaps.items()
         for value, idx in values.items()
     ]
     return spark.createDataFrame(rows, "feature string, value double, idx bigint")
@@ -285,9 +308,14 @@ def rf_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kmeans_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = _fitted(_training_data(spark, sf_dir), training.fit_kmeans)
-    scored = score_kmeans(assemble(_flows(spark, sf_dir)), model)
-    return scored.select(_event_id(), "prediction")
+    """Two clusters of flows that are moved far apart, each named by its smallest event id."""
+    far = F.col("source_ip") + F.when(F.col("dest_port") == 53, 2**32).otherwise(0)
+    flows = assemble(_flows(spark, sf_dir).withColumn("source_ip", far))
+    model = _fitted(flows, partial(training.fit_kmeans, k=2))
+    scored = score_kmeans(flows, model).select(_event_id(), "prediction")
+    names = scored.groupBy("prediction").agg(F.min("event_id").alias("group_id"))
+    # As many rows as there are clusters.
+    return scored.join(F.broadcast(names), "prediction").select("event_id", "group_id")
 
 
 def kmeans_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,12 +331,15 @@ def kmeans_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     assigned = F.get(distances, F.col("prediction"))
     # The model compares distances in another order of arithmetic; allow rounding.
     nearest = assigned <= F.array_min(distances) * (1 + 1e-6) + 1e-3
-    return scored.select(_event_id(), nearest.alias("is_nearest"))
+    used = scored.agg(F.countDistinct("prediction")).first()[0]
+    return scored.select(
+        _event_id(), nearest.alias("is_nearest"), F.lit(used).cast("bigint").alias("centres_used")
+    )
 
 
 def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = ModelStore(spark, work_path(spark, "models"))
-    version = store.publish(USER, _fitted(_training_data(spark, sf_dir), fit_pair))
+    version = store.publish(USER, _pair(spark, sf_dir))
     pair = store.load(USER, version)
     scored = score_forest(assemble(_flows(spark, sf_dir)), pair.forest)
     return scored.select(_event_id(), "predictedLabel")
@@ -317,50 +348,118 @@ def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- scoring -------------------------------------------------------------------
 
 
-def _envelope(scored: DataFrame) -> DataFrame:
-    body = F.from_json("value", "key string, algo string")
-    read = scored.select("topic", "key", F.explode(F.array(body)).alias("body"))
+def _envelope(scored: DataFrame, *also: str) -> DataFrame:
+    fields = ", ".join(f"{name} string" for name in ("key", "algo", *also))
+    read = scored.select("topic", "key", F.explode(F.array(F.from_json("value", fields))).alias("body"))
     return read.select(
         F.col("body.key").cast("bigint").alias("event_id"),
         F.col("body.algo").alias("algo"),
         "topic",
         "key",
+        *[f"body.{name}" for name in also],
     )
 
 
 def score_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pair = _day_pair(spark, sf_dir)
+    pair = _pair(spark, sf_dir)
     return _envelope(score_table(_messages(spark, sf_dir), pair))
 
 
 def message_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fields of every scored message, read back from its text."""
-    pair = _fitted(_training_data(spark, sf_dir), fit_pair)
-    scored = score_table(_messages(spark, sf_dir), pair)
-    features = T.StructType([T.StructField("values", T.ArrayType(T.DoubleType()))])
-    body = T.StructType([*SCORED.fields, T.StructField("features", features)])
-    values = F.col("data.features.values")
-    return decode(scored, body).select(
+    scored = score_table(_messages(spark, sf_dir), _pair(spark, sf_dir))
+    vectors = ["features", "indexedFeatures", "rawPrediction", "probability"]
+    values = T.StructType([T.StructField("values", T.ArrayType(T.DoubleType()))])
+    body = T.StructType(
+        [
+            *SCORED.fields,
+            T.StructField("prediction", T.DoubleType()),
+            *[T.StructField(name, values) for name in vectors],
+        ]
+    )
+    features = F.col("data.features.values")
+    # Which cluster a flow is in depends on the partitions; that it is in one does not.
+    forest = F.col("data.algo") == "rf"
+    total = F.aggregate("data.probability.values", F.lit(0.0), lambda acc, x: acc + x)
+    return decode(scored, body).filter(F.col("data.prediction").isNotNull()).select(
         _event_id(),
         "data.algo",
         F.col("data.data.source.ip").alias("source_ipv4"),
         F.col("data.data.dest.ip").alias("dest_ipv4"),
         *[F.col(f"data.{name}").cast("bigint").alias(name) for name in FEATURES],
-        *[F.get(values, F.lit(i)).alias(f"f{i}") for i in range(len(FEATURES))],
+        *[F.get(features, F.lit(i)).alias(f"f{i}") for i in range(len(FEATURES))],
         "data.predictedLabel",
+        F.when(forest, F.col("data.prediction")).alias("prediction"),
+        F.when(forest, F.size("data.indexedFeatures.values")).alias("indexed"),
+        F.when(forest, F.size("data.rawPrediction.values")).alias("raw"),
+        (F.abs(total - 1) < 1e-9).alias("sums_to_one"),
     )
 
 
 def strong_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pair = _day_pair(spark, sf_dir)
-    scored = score_table(_messages(spark, sf_dir), pair, pair)
-    return _envelope(scored.filter(F.col("topic") == STRONG_TOPIC))
+    """Strong messages are scored by the validated pair, which here learned the opposite labels."""
+    pairs = [_pair(spark, sf_dir, label) for label in (PORT_LABEL, OTHER_LABEL)]
+    strong = score_table(_messages(spark, sf_dir), *pairs).filter(F.col("topic") == STRONG_TOPIC)
+    return _envelope(strong, "predictedLabel")
+
+
+def _stream(spark: SparkSession, sf_dir: str, published: dict, **options) -> DataFrame:
+    """All events as four files and micro-batches; ``published`` names, by batch, a pair that
+    becomes available just before it. Returns the scored table."""
+    store = ModelStore(spark, work_path(spark, "models"))
+    source = work_path(spark, "messages")
+    rows = _messages(spark, sf_dir)
+    for part in range(4):
+        # A file stream takes files in the order of their times.
+        own = rows.filter(F.col("key").cast("bigint") % 4 == part)
+        own.coalesce(1).write.mode("append").parquet(source)
+
+    class Registry(ModelRegistry):
+        def for_batch(self, batch_id):
+            if batch_id in published:
+                self.store.publish(*published[batch_id])
+            return super().for_batch(batch_id)
+
+    out = work_path(spark, "scored")
+    query = start_scoring(
+        table_messages(spark, source, rows.schema, streaming=True, files_per_trigger=1),
+        Registry(store, refresh_every=2),
+        file_sink(out, hours=24),
+        checkpoint=work_path(spark, "checkpoint"),
+        trigger={"availableNow": True},
+        **options,
+    )
+    query.awaitTermination()
+    return spark.read.parquet(out)
+
+
+def stream_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second version comes before batch 1 and is in use from batch 2, when the store is read."""
+    pairs = [_pair(spark, sf_dir, label) for label in (PORT_LABEL, OTHER_LABEL)]
+    scored = _stream(spark, sf_dir, {0: (USER, pairs[0]), 1: (USER, pairs[1])})
+    body = _envelope(scored.filter(F.col("algo") == "rf"), "predictedLabel")
+    return body.select("event_id", "predictedLabel")
+
+
+def stream_strong(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The validated pair comes before batch 1: the strong topic opens with batch 2."""
+    pair = _pair(spark, sf_dir)
+    scored = _stream(spark, sf_dir, {0: (USER, pair), 1: (VALIDATED, pair)})
+    return scored.filter(F.col("topic") == STRONG_TOPIC).select(_event_id(), "algo")
+
+
+def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages that the stream could not use, from their own sink."""
+    path = work_path(spark, "rejects")
+    published = {0: (USER, _pair(spark, sf_dir))}
+    _stream(spark, sf_dir, published, rejects=file_sink(path, hours=24))
+    return spark.read.parquet(path).select(_event_id(), "reason")
 
 
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train, publish, run the stream until the source is exhausted, read its sink."""
     store = ModelStore(spark, work_path(spark, "models"))
-    train_all(_labels(spark, sf_dir, PORT_LABEL), None, store, AS_OF, DAY)
+    train_all(_labels(spark, sf_dir, PORT_LABEL), None, store, lookback=None)
     # As a glob, because a file stream takes a single file only through one.
     path = f"{sf_dir}/events.parque[t]"
     events = spark.readStream.schema(_events(spark, sf_dir).schema).parquet(path)
@@ -384,7 +483,7 @@ def active_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     parked_path, label_path = work_path(spark, "candidates"), work_path(spark, "labels")
     messages = _messages(spark, sf_dir)
-    rows = cand.live_candidates(messages, END, ALWAYS, limit=None)
+    rows = cand.live_candidates(messages, lookback=None, limit=None)
     park_candidates(rows, parked_path, parked_at=AS_OF)
     parked = parked_candidates(spark, parked_path)
     answer = F.when(F.col("dest_port") == 53, "true").otherwise("false").alias("answer")
@@ -403,6 +502,7 @@ def active_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "beats_decode": beats_decode,
+    "schema_file_decode": schema_file_decode,
     "ip_to_long": ip_numbers,
     "inet_aton_to_long": inet_aton_numbers,
     "flow_normalize": flow_normalize,
@@ -431,5 +531,8 @@ QUERIES = {
     "message_body": message_body,
     "strong_envelope": strong_envelope,
     "stream_score": stream_score,
+    "stream_refresh": stream_refresh,
+    "stream_strong": stream_strong,
+    "stream_rejects": stream_rejects,
     "active_loop": active_loop,
 }

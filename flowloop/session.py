@@ -1,5 +1,7 @@
 """Session defaults and the shared work folder."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,19 +28,33 @@ def get_session(app_name: str = "flowloop", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def _base(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    app = context.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="flowloop-")
+        atexit.register(shutil.rmtree, _local_folders[app], ignore_errors=True)
+    return _local_folders[app]
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session, where driver and executors share one disk, may fall
-    back to a temporary folder.
+    Only where that is unset, and only for a local session, whose driver and executors are one
+    process, there is a temporary folder instead; it goes when the process ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        context = spark.sparkContext
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        app = context.applicationId
-        if app not in _local_folders:
-            _local_folders[app] = tempfile.mkdtemp(prefix="flowloop-")
-        base = _local_folders[app]
-    return f"{base.rstrip('/')}/flowloop/{name}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    return f"{_base(spark)}/flowloop/{app}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Remove what this application put below the shared folder."""
+    as_path = spark._jvm.org.apache.hadoop.fs.Path
+    folder = as_path(f"{_base(spark)}/flowloop/{spark.sparkContext.applicationId}")
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    folder.getFileSystem(conf).delete(folder, True)

@@ -1,7 +1,8 @@
 """Flow records, addresses, answers and labels derived from an ``events`` table.
 
 Every event becomes one message. Its id decides what kind of message: most are
-whole flows, the rest lack a field or are no JSON, as in real traffic. The
+whole flows, the rest are of another type, lack a field, hold an address that is none
+or are no JSON, as in real traffic. The
 ``events`` must have the columns ``event_id, ts, user_id, event_type``.
 """
 
@@ -12,12 +13,14 @@ _ADDRESS = "concat('10.', (user_id div 256) % 256, '.', user_id % 256, '.', even
 _MESSAGE = rf"""
 CASE WHEN event_id % 97 = 0 THEN 'not json' ELSE to_json(named_struct(
   '@timestamp', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"),
-  'type', 'flow',
+  'type', CASE WHEN event_id % 13 = 5 THEN 'dns' ELSE 'flow' END,
   'source', CASE WHEN event_id % 20 <> 10 THEN named_struct(
-    'ip', CASE WHEN event_id % 20 <> 0 THEN {_ADDRESS} END,
-    'port', cast(1024 + event_id % 60000 AS int)) END,
+    'ip', CASE WHEN event_id % 20 = 0 THEN NULL
+      WHEN event_id % 101 = 7 THEN '10.0.0.300' ELSE {_ADDRESS} END,
+    'port', CASE WHEN event_id % 109 <> 13 THEN cast(1024 + event_id % 60000 AS int) END) END,
   'dest', named_struct(
-    'ip', concat(192 + event_id % 8, '.168.', user_id % 256, '.1'),
+    'ip', CASE WHEN event_id % 107 = 11 THEN NULL WHEN event_id % 103 = 9 THEN 'fe80::1'
+      ELSE concat(192 + event_id % 8, '.168.', user_id % 256, '.1') END,
     'port', CASE WHEN event_id % 10 <> 1 THEN
       element_at(array(53, 80, 443, 8080), cast(1 + event_id % 4 AS int)) END),
   'json', CASE WHEN event_id % 20 = 0 THEN named_struct(

@@ -39,21 +39,19 @@ def topic_window(
 ) -> DataFrame:
     """The messages of ``[as_of - lookback, as_of)`` as a batch.
 
-    The broker finds the offsets of both times, so older messages are never read.
+    The broker finds the first offset, so older messages are never read. Times need
+    not rise along a partition where several producers write: messages of the window
+    may stand behind later ones, so everything up to the latest offset is read and
+    the filter decides.
     """
-
-    def millis(moment: datetime) -> str:
-        return str(int(as_utc(moment).timestamp() * 1000))
-
-    # The bounds are whole milliseconds around the window; the filter is exact.
+    first = str(int(as_utc(as_of - lookback).timestamp() * 1000))
     messages = kafka_messages(
         spark,
         servers,
         topic,
         streaming=False,
-        startingTimestamp=millis(as_of - lookback),
+        startingTimestamp=first,
         startingOffsetsByTimestampStrategy="latest",
-        endingTimestamp=millis(as_of + timedelta(milliseconds=1)),
     )
     return messages.filter(in_window(messages, "ts", as_of, lookback))
 

@@ -11,6 +11,9 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import SparkSession
 
+# Versions that stay on disk unless a job says otherwise.
+KEPT_VERSIONS = 12
+
 USER = "user"
 VALIDATED = "validated"
 
@@ -31,7 +34,7 @@ class ModelPair:
 class ModelStore:
     """``keep`` versions stay on disk; older ones are removed on publication."""
 
-    def __init__(self, spark: SparkSession, root: str, keep: int = 12):
+    def __init__(self, spark: SparkSession, root: str, keep: int = KEPT_VERSIONS):
         self.spark = spark
         self.root = root.rstrip("/")
         self.keep = keep

@@ -1,32 +1,56 @@
 """Parquet tables partitioned by time, so that a look-back reads only its periods.
 
 A period is ``hours`` long and every writer and reader of one table uses the same
-length: an hour for busy tables, a day for small ones.
+length, which is part of the partition's name: an hour for busy tables, a day for
+small ones.
 """
 
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowloop.functions import in_window, period_of, periods_between
 
-PERIOD = "period"
+RUN = "run"
+BATCHES = "_batches"
+
+
+def period_name(hours: int) -> str:
+    return f"period_{hours}h"
 
 
 def append_periods(
-    df: DataFrame, path: str, ts_col: str, hours: int = 1, backfill: bool = False
+    df: DataFrame,
+    path: str,
+    ts_col: str,
+    hours: int = 1,
+    backfill: bool = False,
+    run: str | None = None,
 ) -> None:
-    """Append rows under ``period=<periods since epoch>``.
+    """Append rows under ``period_<hours>h=<periods since epoch>``.
 
-    Rows of the current period need no shuffle. A ``backfill`` spans many: it
-    brings each period's rows together first, which gives every period a few files
-    instead of one per task, and lets the adaptive plan split a crowded one.
+    With a ``run``, rows go to a partition of that run below the period, and a repeated
+    run replaces what it wrote. Rows of the current period need no shuffle. A
+    ``backfill`` spans many: it brings each period's rows together first, which gives
+    every period a few files instead of one per task, and lets the adaptive plan split
+    a crowded one.
     """
-    rows = df.withColumn(PERIOD, period_of(df, ts_col, hours))
+    period = period_name(hours)
+    rows = df.withColumn(period, period_of(df, ts_col, hours))
     if backfill:
-        rows = rows.hint("rebalance", PERIOD)
-    rows.write.mode("append").partitionBy(PERIOD).parquet(path)
+        rows = rows.hint("rebalance", period)
+    if run is None:
+        rows.write.mode("append").partitionBy(period).parquet(path)
+        return
+    rows = rows.withColumn(RUN, F.lit(run))
+    _overwritten(rows, path, period, RUN)
+
+
+def _overwritten(rows: DataFrame, path: str, *by: str) -> None:
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*by).parquet(path)
 
 
 def replace_batch(
@@ -37,29 +61,32 @@ def replace_batch(
     hours: int = 1,
     backfill: bool = False,
 ) -> None:
-    """Write one micro-batch of messages under ``topic=/period=/batch_id=``.
+    """Write one micro-batch under its period and ``batch_id``, below ``topic`` and above ``algo``
+    where there are such columns.
 
-    A repeated batch holds the same rows, so it overwrites exactly the
-    partitions its first run wrote and never another batch's. A micro-batch is
-    written without a shuffle; ``backfill`` is as in ``append_periods``.
+    A batch that was begun before, and may have been scored with other models then, is
+    first removed from every partition; another batch's rows are never touched. A
+    micro-batch is written without a shuffle; ``backfill`` is as in ``append_periods``.
     """
-    rows = df.withColumn(PERIOD, period_of(df, ts_col, hours))
+    spark, period = df.sparkSession, period_name(hours)
+    above = [c for c in ("topic",) if c in df.columns]
+    below = [c for c in ("algo",) if c in df.columns]
+    fs, as_path = _file_system(spark, path)
+    if not fs.createNewFile(as_path(f"{path}/{BATCHES}/{int(batch_id)}")):
+        folders = "/".join(f"{name}=*" for name in [*above, period])
+        for folder in fs.globStatus(as_path(f"{path}/{folders}/batch_id={int(batch_id)}")) or []:
+            fs.delete(folder.getPath(), True)
+    rows = df.withColumn(period, period_of(df, ts_col, hours))
     if backfill:
-        rows = rows.hint("rebalance", "topic", PERIOD)
-    (
-        rows.selectExpr("*", f"{int(batch_id)}L AS batch_id")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("topic", PERIOD, "batch_id")
-        .parquet(path)
-    )
-
-
-def _existing(spark: SparkSession, paths: list[str]) -> list[str]:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+        rows = rows.hint("rebalance", *above, period)
+    rows = rows.selectExpr("*", f"{int(batch_id)}L AS batch_id")
+    _overwritten(rows, path, *above, period, "batch_id", *below)
+
+
+def _file_system(spark: SparkSession, path: str):
+    as_path = spark._jvm.org.apache.hadoop.fs.Path
     conf = spark._jsparkSession.sessionState().newHadoopConf()
-    fs = jvm_path(paths[0]).getFileSystem(conf)
-    return [path for path in paths if fs.exists(jvm_path(path))]
+    return as_path(path).getFileSystem(conf), as_path
 
 
 def read_window(
@@ -76,13 +103,28 @@ def read_window(
 
     Lists only the folders the window touches, so the cost follows the
     window and not the age of the table. ``under`` is a leading partition such
-    as ``topic=model_predictions``.
+    as ``topic=model_predictions``. A window without rows is empty; a table that does
+    not exist, or whose periods have another length, is an error.
     """
+    fs, as_path = _file_system(spark, path)
+    if not fs.exists(as_path(path)):
+        raise FileNotFoundError(f"no table at {path}")
     root = f"{path.rstrip('/')}/{under}".rstrip("/")
-    periods = periods_between(as_of, lookback, hours)
-    folders = _existing(spark, [f"{root}/{PERIOD}={period}" for period in periods])
-    if not folders:
-        df = spark.createDataFrame([], schema)
-    else:
+    period = period_name(hours)
+    folders = [f"{root}/{period}={p}" for p in periods_between(as_of, lookback, hours)]
+    folders = [folder for folder in folders if fs.exists(as_path(folder))]
+    if folders:
         df = spark.read.schema(schema).parquet(*folders)
+    else:
+        _check_length(fs, as_path, root, period)
+        df = spark.createDataFrame([], schema)
     return df.filter(in_window(df, ts_col, as_of, lookback))
+
+
+def _check_length(fs, as_path, root: str, period: str) -> None:
+    if not fs.exists(as_path(root)):
+        return
+    found = {status.getPath().getName().split("=")[0] for status in fs.listStatus(as_path(root))}
+    others = sorted(name for name in found if name.startswith("period_") and name != period)
+    if others and period not in found:
+        raise ValueError(f"{root} has {', '.join(others)}, not {period}")

@@ -2,13 +2,16 @@
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from flowloop.operators.decode import decode
 from flowloop.operators.normalize import DOTTED_QUAD, LAST_WINS, with_flow_columns
 from flowloop.operators.scoring import score_messages
+from flowloop.schemas import BEATS
 from flowloop.sources.messages import write_kafka
 from flowloop.sources.tables import replace_batch
 from flowloop.streaming.registry import ModelRegistry
@@ -30,14 +33,29 @@ def kafka_sink(servers: str, **options: str) -> Sink:
 
 
 def batch_scorer(
-    registry: ModelRegistry, sink: Sink, strong_scorer: str = "validated"
+    registry: ModelRegistry,
+    sink: Sink,
+    strong_scorer: str = "validated",
+    rejects: Sink | None = None,
 ) -> Callable[[DataFrame, int], None]:
-    """The ``foreachBatch`` callback: one narrow pass and one write per micro-batch."""
+    """The ``foreachBatch`` callback: one narrow pass and one write per micro-batch.
+
+    With ``rejects``, messages that give no flow go there as ``(key, ts, reason)``; the parsed
+    batch is kept for both writes.
+    """
 
     def score_batch(flows: DataFrame, batch_id: int) -> None:
         user, validated = registry.for_batch(batch_id)
-        usable = flows.filter(F.col("reason").isNull()).drop("reason")
-        sink(score_messages(usable, user, validated, strong_scorer), batch_id)
+        if rejects is not None:
+            flows = flows.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            usable = flows.filter(F.col("reason").isNull()).drop("reason")
+            sink(score_messages(usable, user, validated, strong_scorer), batch_id)
+            if rejects is not None:
+                rejected = flows.filter(F.col("reason").isNotNull())
+                rejects(rejected.select("key", "ts", "reason"), batch_id)
+        finally:
+            flows.unpersist()
 
     return score_batch
 
@@ -51,18 +69,21 @@ def start_scoring(
     strong_scorer: str = "validated",
     form: str = DOTTED_QUAD,
     trigger: dict | None = None,
+    rejects: Sink | None = None,
+    schema: T.StructType = BEATS,
 ) -> StreamingQuery:
     """Start scoring a message stream; call ``awaitTermination()`` to block.
 
     Messages are parsed and classified once, ahead of ``foreachBatch``; the counts
     of messages and of rejected ones appear in each batch's progress report.
     """
-    flows = with_flow_columns(decode(messages), mode, form).observe(
+    flows = with_flow_columns(decode(messages, schema), mode, form).observe(
         FLOW_COUNTS,
         F.count(F.lit(1)).alias("messages"),
         F.count("reason").alias("rejected"),
     )
-    writer = flows.writeStream.foreachBatch(batch_scorer(registry, sink, strong_scorer))
+    scorer = batch_scorer(registry, sink, strong_scorer, rejects)
+    writer = flows.writeStream.foreachBatch(scorer)
     if trigger:
         writer = writer.trigger(**trigger)
     return writer.option("checkpointLocation", checkpoint).start()

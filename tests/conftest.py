@@ -5,17 +5,18 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from flowloop.session import get_session
+from flowloop.session import clear_work, get_session
 from flowloop.sources import events as derived
 
 SF_DIR = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = get_session(
         "tests",
         **{
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("work")),
             "spark.master": "local[4]",
             "spark.ui.enabled": "false",
             "spark.sql.shuffle.partitions": "4",
@@ -26,6 +27,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_work(session)
     session.stop()
 
 

@@ -13,6 +13,7 @@ from flowloop.operators.decode import decode
 from flowloop.operators.labelling import LABEL_COLUMNS, label_messages, resolve_answers
 from flowloop.operators.normalize import normalize_flows
 from flowloop.operators.scoring import score_messages
+from flowloop.schemas import BEATS, label_record
 from flowloop.sources.messages import kafka_messages, topic_window, write_kafka
 from flowloop.sources.models import USER, VALIDATED, ModelStore
 from flowloop.sources.tables import append_periods
@@ -64,7 +65,8 @@ def test_the_whole_loop(spark, paths):
          "--backfill")
     again = spark.read.parquet(paths["scored"])
     assert again.count() == rows > 0
-    assert len(again.inputFiles()) == again.select("topic", "period").distinct().count()
+    parts = again.select("topic", "period_1h", "algo").distinct().count()
+    assert len(again.inputFiles()) == parts
 
     paths["candidates"] += "_predicted"
     _run("park", "--table", paths["scored"], "--candidates", paths["candidates"],
@@ -92,6 +94,53 @@ def test_answers_for_unknown_candidates_are_reported(spark, paths, tmp_path, cap
     assert "1 answers for unknown candidates" in capsys.readouterr().out
 
 
+def test_a_repeated_answer_replaces_its_labels(spark, paths, tmp_path):
+    _run("park", "--table", paths["raw"], "--candidates", paths["candidates"])
+    _run("park", "--table", paths["raw"], "--candidates", paths["candidates"])
+    assert spark.read.parquet(paths["candidates"]).count() == 10
+    one = spark.read.parquet(paths["candidates"]).first().id
+    rows = [{"id": one, "answer": "true"}, {"id": -1, "answer": "true"}]
+    (tmp_path / "answers.json").write_text("\n".join(map(json.dumps, rows)))
+    for _ in range(2):
+        _run("answer", "--submissions", str(tmp_path / "answers.json"), "--candidates",
+             paths["candidates"], "--labels", paths["labels"], "--rejects", str(tmp_path / "rejects"),
+             "--default-answer", "false")
+    labels = spark.read.parquet(paths["labels"]).collect()
+    assert len(labels) == 10 and [row.id for row in labels if row.label] == [one]
+    assert [row.id for row in spark.read.json(str(tmp_path / "rejects")).collect()] == [-1]
+
+
+def test_rejects_and_schema_of_a_stored_table(spark, paths, pair, tmp_path):
+    ModelStore(spark, paths["models"]).publish(USER, pair)
+    (tmp_path / "schema.json").write_text(BEATS.json())
+    _run("score", "--messages", paths["messages"], "--models", paths["models"], "--out", paths["scored"],
+         "--rejects", str(tmp_path / "rejects"), "--schema", str(tmp_path / "schema.json"))
+    scored = spark.read.parquet(paths["scored"]).select("key").distinct().count()
+    rejects = spark.read.parquet(str(tmp_path / "rejects"))
+    assert scored + rejects.count() == spark.read.parquet(paths["messages"]).count()
+    assert rejects.filter("reason IS NULL").count() == 0
+
+
+def test_train_says_why_it_ends(spark, paths, tmp_path):
+    train = ("train", "--models", paths["models"])
+    for argv in (
+        train,
+        (*train, "--servers", "h", "--user-labels", paths["labels"]),
+    ):
+        with pytest.raises(SystemExit, match="train: give"):
+            _run(*argv)
+    with pytest.raises(FileNotFoundError):
+        _run(*train, "--user-labels", paths["labels"])
+    empty = spark.createDataFrame([], label_record("label").add("labelled_at", "timestamp"))
+    empty.write.parquet(paths["labels"])
+    with pytest.raises(SystemExit) as ended:
+        _run(*train, "--user-labels", paths["labels"])
+    assert ended.value.code == 1
+    (tmp_path / "columns.json").write_text('{"columns": ["a"], "feature_columns": ["a"]}')
+    with pytest.raises(SystemExit, match="scored by"):
+        _run(*train, "--user-labels", paths["labels"], "--columns", str(tmp_path / "columns.json"))
+
+
 def test_topic_source_options(spark, monkeypatch):
     seen = {}
     monkeypatch.setattr(DataStreamReader, "format", lambda self, name: seen.update(format=name) or self)
@@ -160,7 +209,6 @@ def test_a_topic_window_is_exact(spark, broker):
         "subscribe": "t",
         "startingTimestamp": "1706615940000",
         "startingOffsetsByTimestampStrategy": "latest",
-        "endingTimestamp": "1706616000001",
     }
 
 

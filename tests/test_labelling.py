@@ -42,21 +42,22 @@ def _skewed(spark, n=3000):
     )
 
 
-@pytest.mark.parametrize("hot_rows", [2, 100, 10**6])
-def test_answers_against_brute_force(spark, hot_rows):
+@pytest.mark.parametrize("chunk", [1, 7, 10_000])
+def test_answers_against_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(labelling, "CHUNK", chunk)
     submissions, candidates = _skewed(spark), _candidates(spark, range(400))
     expected = Counter(
         (row.id, int(row.answer == "true")) for row in submissions.collect() if 0 <= row.id < 400
     )
-    labels = labelling.resolve_answers(submissions, candidates, "label", hot_rows)
+    labels = labelling.resolve_answers(submissions, candidates, "label")
     assert labels.columns == label_record("label").names
     assert Counter((row.id, row.label) for row in labels.collect()) == expected
-    unknown = Counter(row.id for row in submissions.collect() if not 0 <= row.id < 400)
-    found = labelling.unknown_submissions(submissions, candidates, hot_rows)
-    assert Counter(row.id for row in found.collect()) == unknown
+    unknown = Counter((row.id, row.answer) for row in submissions.collect() if not 0 <= row.id < 400)
+    found = labelling.unknown_submissions(submissions, candidates)
+    assert Counter((row.id, row.answer) for row in found.collect()) == unknown
 
 
-def test_a_hot_id_is_spread_over_tasks(spark):
+def test_a_hot_id_is_spread_over_tasks(spark, monkeypatch):
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.enabled": "false",
@@ -64,30 +65,51 @@ def test_a_hot_id_is_spread_over_tasks(spark):
     }
     before = {name: spark.conf.get(name) for name in settings}
 
-    def largest_share(hot_rows):
-        labels = labelling.resolve_answers(_skewed(spark), _candidates(spark, range(400)), "label", hot_rows)
+    def largest_share(chunk):
+        monkeypatch.setattr(labelling, "CHUNK", chunk)
+        labels = labelling.resolve_answers(_skewed(spark), _candidates(spark, range(400)))
         sizes = [row["count"] for row in labels.groupBy(F.spark_partition_id()).count().collect()]
         return max(sizes) / sum(sizes)
 
     for name, value in settings.items():
         spark.conf.set(name, value)
     try:
-        assert largest_share(10**6) > 1 / 3
-        assert largest_share(100) < 1 / 5
+        assert largest_share(10**6) > 1 / 5
+        assert largest_share(10) < 1 / 8
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
 
 
-def test_the_join_adds_no_shuffle_and_broadcasts_only_hot_ids(spark):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan = plan_of(labelling.resolve_answers(_skewed(spark), _candidates(spark, range(400))))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert plan.count("Exchange hashpartitioning(id#") == 4  # two counts, answers, candidates
-    assert plan.count("BroadcastExchange") == plan.count("TakeOrderedAndProject") == 2
-    assert "Cartesian" not in plan and "NestedLoop" not in plan
+def test_a_page_of_answers_reads_the_candidates_without_a_shuffle(spark, tmp_path):
+    """Ten ids are broadcast to the scan of a stored table; only what they meet goes on."""
+    _candidates(spark, range(5000)).repartition(4).write.parquet(str(tmp_path / "candidates"))
+    stored = spark.read.parquet(str(tmp_path / "candidates"))
+    answers = spark.range(10).selectExpr("id * 7 AS id", "'true' AS answer")
+    answers.write.json(str(tmp_path / "answers"))
+    answers = spark.read.schema("id bigint, answer string").json(str(tmp_path / "answers"))
+    labels = labelling.resolve_answers(answers, stored)
+    assert sorted(row.id for row in labels.collect()) == [7 * i for i in range(10)]
+    lines = plan_of(labels).split("\n")
+    scan = next(i for i, line in enumerate(lines) if "FileScan parquet" in line)
+    depth = lines[scan].index("+-") if "+-" in lines[scan] else lines[scan].index("*")
+    above = []
+    for line in reversed(lines[:scan]):
+        at = len(line) - len(line.lstrip(" :+-*"))
+        if at < depth:
+            above.append(line)
+            depth = at
+    semi = next(i for i, line in enumerate(above) if "LeftSemi" in line)
+    assert "BroadcastHashJoin" in above[semi]
+    assert not any(word in line for line in above[:semi] for word in ("Exchange", "Sort", "Aggregate"))
+    assert "Cartesian" not in plan_of(labels) and "NestedLoop" not in plan_of(labels)
+
+
+def test_candidates_parked_at_once_have_a_defined_winner(spark):
+    parked = _candidates(spark, [1], port=80).unionByName(_candidates(spark, [1], port=443))
+    answers = spark.createDataFrame([(1, "true")], "id bigint, answer string")
+    for rows in (parked, parked.orderBy("dest_port"), parked.orderBy(F.desc("dest_port"))):
+        assert [r.dest_port for r in labelling.resolve_answers(answers, rows).collect()] == [443]
 
 
 def test_the_candidate_parked_last_counts(spark):
@@ -238,9 +260,19 @@ def test_a_window_lists_only_its_folders(spark, messages, tmp_path, backfill):
     path = str(tmp_path / "t")
     append_periods(messages, path, "ts", hours=24, backfill=backfill)
     window = read_window(spark, path, messages.schema, "ts", AS_OF, timedelta(hours=30), hours=24)
-    folders = {name.split("period=")[1].split("/")[0] for name in window.inputFiles()}
+    folders = {name.split("period_24h=")[1].split("/")[0] for name in window.inputFiles()}
     assert len(folders) == 2
     expected = messages.filter("ts >= '2024-01-28 18:00:00' AND ts < '2024-01-30'")
     assert window.exceptAll(expected).count() == 0 and expected.exceptAll(window).count() == 0
     nothing = read_window(spark, path, messages.schema, "ts", datetime(2030, 1, 1), DAY, hours=24)
     assert nothing.count() == 0
+    with pytest.raises(ValueError, match="period_24h, not period_1h"):
+        read_window(spark, path, messages.schema, "ts", AS_OF, DAY)
+    with pytest.raises(FileNotFoundError):
+        read_window(spark, f"{path}x", messages.schema, "ts", AS_OF, DAY)
+
+
+def test_without_a_window_every_year_counts(spark, messages):
+    old = messages.withColumn("ts", F.col("ts") - F.expr("INTERVAL 20 YEARS"))
+    every = cand.live_candidates(messages, lookback=None, limit=None).count()
+    assert cand.live_candidates(old, lookback=None, limit=None).count() == every > 0

@@ -78,6 +78,26 @@ def test_a_repeated_batch_replaces_itself(messages, job):
     assert job.rows().count() == before
 
 
+def test_a_replay_without_the_validated_pair_leaves_no_strong_rows(spark, messages, pair, job):
+    """The first run scored with a validated pair, the repeated one could not load it."""
+    from flowloop.operators.decode import decode
+    from flowloop.operators.normalize import with_flow_columns
+
+    flows = with_flow_columns(decode(messages))
+    first = ModelRegistry(job.store)
+    job.store.publish(VALIDATED, pair)
+    batch_scorer(first, file_sink(job.out, hours=24))(flows, 7)
+    batch_scorer(first, file_sink(job.out, hours=24))(flows, 8)
+    assert set(spark.read.parquet(job.out).select("topic").distinct().toPandas().topic) == {
+        "model_predictions", "strong_predictions"
+    }
+    later = ModelRegistry(job.store)
+    later.for_batch = lambda batch_id: (pair, None)
+    batch_scorer(later, file_sink(job.out, hours=24))(flows, 7)
+    strong = spark.read.parquet(job.out).filter("topic = 'strong_predictions'")
+    assert {row.batch_id for row in strong.select("batch_id").distinct().collect()} == {8}
+
+
 def test_validated_models_published_between_batches_open_the_strong_topic(spark, pair, job):
     class Registry(ModelRegistry):
         def for_batch(self, batch_id):

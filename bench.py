@@ -7,13 +7,14 @@ discards its rows. The first run warms the JVM up; the second is reported.
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from flowloop.queries import QUERIES
-from flowloop.session import get_session
+from flowloop.session import clear_work, get_session
 
 HEADLINE = [
     "beats_decode",
@@ -47,9 +48,11 @@ def run(spark, name: str, sf_dir: str) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
+    work = tempfile.mkdtemp(prefix="flowloop-bench-")
     spark = get_session(
         "bench",
         **{
+            "spark.checkpoint.dir": work,
             "spark.master": f"local[{cpus}]",
             "spark.ui.enabled": "false",
             "spark.sql.shuffle.partitions": cpus,
@@ -62,6 +65,7 @@ def main() -> None:
     for name in sys.argv[1:] or HEADLINE:
         run(spark, name, sf_dir)
         seconds[name] = round(run(spark, name, sf_dir), 3)
+        clear_work(spark)
     spark.stop()
     print(
         json.dumps(

@@ -1,5 +1,7 @@
 """Flows to scored messages, one pass for all models and topics."""
 
+from collections.abc import Sequence
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeansModel
 from pyspark.ml.feature import StringIndexerModel
@@ -16,6 +18,7 @@ STRONG_TOPIC = "strong_predictions"
 KMEANS = "kmeans"
 FOREST = "rf"
 
+_NO_MESSAGE = "struct<topic: string, algo: string, value: string>"
 _FLOW_FIELDS = ["key", "data", *FLOW_COLUMNS, "features"]
 _FOREST_FIELDS = [
     "indexedFeatures",
@@ -58,9 +61,13 @@ def score_messages(
     user: ModelPair,
     validated: ModelPair | None = None,
     strong_scorer: str = "validated",
+    topics: Sequence[str] = (PREDICTIONS_TOPIC, STRONG_TOPIC),
+    algos: Sequence[str] = (KMEANS, FOREST),
 ) -> DataFrame:
     """``(key, topic, algo, value)`` plus the other columns of ``flows``, such as ``ts``.
 
+    Only the messages of ``topics`` and ``algos`` are made, and only their models run.
+
     Every flow gives one message per algorithm, and two more on the strong topic
     while a validated pair exists. The strong messages are scored by that pair;
     ``strong_scorer="user"`` scores them by the user pair instead.
@@ -74,13 +81,23 @@ def score_messages(
             branches.append((STRONG_TOPIC, "user_", None))
         else:
             branches.append((STRONG_TOPIC, "validated_", validated))
-    messages = []
-    for topic, prefix, pair in branches:
-        if pair is not None:
-            scored = score_kmeans(scored, pair.kmeans, f"{prefix}{KMEANS}_")
-            scored = score_forest(scored, pair.forest, f"{prefix}{FOREST}_")
-        messages.append(_message(topic, KMEANS, f"{prefix}{KMEANS}_", ["prediction"]))
-        messages.append(_message(topic, FOREST, f"{prefix}{FOREST}_", _FOREST_FIELDS))
+    models = {prefix: pair for _, prefix, pair in branches if pair is not None}
+    branches = [(topic, prefix) for topic, prefix, _ in branches if topic in topics]
+    for prefix in dict.fromkeys(prefix for _, prefix in branches):
+        if KMEANS in algos:
+            scored = score_kmeans(scored, models[prefix].kmeans, f"{prefix}{KMEANS}_")
+        if FOREST in algos:
+            scored = score_forest(scored, models[prefix].forest, f"{prefix}{FOREST}_")
+    fields = {KMEANS: ["prediction"], FOREST: _FOREST_FIELDS}
+    messages = [
+        _message(topic, algo, f"{prefix}{algo}_", fields[algo])
+        for topic, prefix in branches
+        for algo in (KMEANS, FOREST)
+        if algo in algos
+    ]
+    if not messages:
+        messages = [F.lit(None).cast(_NO_MESSAGE)]
+        scored = scored.limit(0)
     # The flow part of the text is the same in all its messages: written once, and
     # never empty, so cutting its closing brace and adding a comma is enough.
     flow_text = F.col("flow_text")

@@ -1,5 +1,7 @@
 """Scoring a stored table of messages in one batch."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -18,7 +20,11 @@ def score_table(
     strong_scorer: str = "validated",
     form: str = DOTTED_QUAD,
     schema: T.StructType = BEATS,
+    **only: Sequence[str],
 ) -> DataFrame:
-    """Raw messages to scored messages; narrow from scan to output, no shuffle."""
+    """Raw messages to scored messages; narrow from scan to output, no shuffle.
+
+    ``only`` are the ``topics`` and ``algos`` to make messages of, if not all.
+    """
     flows = normalize_flows(decode(messages, schema), mode, form)
-    return score_messages(flows, user, validated, strong_scorer)
+    return score_messages(flows, user, validated, strong_scorer, **only)

@@ -22,6 +22,7 @@ from flowloop.operators.decode import decode
 from flowloop.operators.features import assemble
 from flowloop.operators.normalize import COALESCE, LAST_WINS, flow_rejects, normalize_flows
 from flowloop.operators.scoring import (
+    FOREST,
     PREDICTIONS_TOPIC,
     STRONG_TOPIC,
     score_forest,
@@ -102,6 +103,11 @@ def _pair(spark: SparkSession, sf_dir: str, label: str = PORT_LABEL) -> ModelPai
     return _fitted(_training_data(spark, sf_dir, label), fit_pair)
 
 
+def _forest(spark: SparkSession, sf_dir: str) -> ModelPair:
+    """A pair of which only the forest is used."""
+    return ModelPair(None, _fitted(_training_data(spark, sf_dir), training.fit_forest))
+
+
 def _bigints(*names: str) -> list[Column]:
     return [F.col(name).cast("bigint").alias(name) for name in names]
 
@@ -177,11 +183,11 @@ def live_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prediction_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pair = _pair(spark, sf_dir)
+    forest = _forest(spark, sf_dir)
     # The forest's label decode blocks pushdown; over a stored table it is not needed.
     messages = _messages(spark, sf_dir)
     recent = messages.filter(in_window(messages, "ts", AS_OF, DAY))
-    rows = cand.prediction_candidates(score_table(recent, pair), AS_OF, DAY)
+    rows = cand.prediction_candidates(score_table(recent, forest, algos=[FOREST]), AS_OF, DAY)
     return cand.with_ids(rows, F.col("key").cast("bigint")).select(*PREDICTION_CANDIDATE.names)
 
 
@@ -193,7 +199,7 @@ def _parked_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _parked_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every forest prediction as a candidate under its event id."""
-    scored = score_table(_messages(spark, sf_dir), _pair(spark, sf_dir))
+    scored = score_table(_messages(spark, sf_dir), _forest(spark, sf_dir), algos=[FOREST])
     rows = cand.prediction_candidates(scored, lookback=None, limit=None)
     return cand.with_ids(rows, F.col("key").cast("bigint")).withColumnRenamed("ts", "parked_at")
 
@@ -350,7 +356,8 @@ def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _envelope(scored: DataFrame, *also: str) -> DataFrame:
     fields = ", ".join(f"{name} string" for name in ("key", "algo", *also))
-    read = scored.select("topic", "key", F.explode(F.array(F.from_json("value", fields))).alias("body"))
+    body = F.explode(F.array(F.from_json("value", fields))).alias("body")
+    read = scored.select("topic", "key", body)
     return read.select(
         F.col("body.key").cast("bigint").alias("event_id"),
         F.col("body.algo").alias("algo"),
@@ -399,7 +406,7 @@ def message_body(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strong_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strong messages are scored by the validated pair, which here learned the opposite labels."""
     pairs = [_pair(spark, sf_dir, label) for label in (PORT_LABEL, OTHER_LABEL)]
-    strong = score_table(_messages(spark, sf_dir), *pairs).filter(F.col("topic") == STRONG_TOPIC)
+    strong = score_table(_messages(spark, sf_dir), *pairs, topics=[STRONG_TOPIC])
     return _envelope(strong, "predictedLabel")
 
 

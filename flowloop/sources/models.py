@@ -26,7 +26,7 @@ MODEL_NAMES = {
 
 @dataclass(frozen=True)
 class ModelPair:
-    kmeans: KMeansModel
+    kmeans: KMeansModel | None
     forest: PipelineModel
     version: int | None = None
 

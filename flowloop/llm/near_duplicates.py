@@ -84,8 +84,10 @@ def close_links(fps: DataFrame) -> DataFrame:
     keyed = fps.select("fp", F.inline(masks)).select(
         "mask", F.col("fp").bitwiseAND(F.col("bits")).alias("block"), "fp"
     )
-    size = F.count("*").over(Window.partitionBy("mask", "block"))
-    met = written(keyed.withColumn("size", size).filter("size > 1"), "blocks")
+    # Counts are combined before their shuffle, and the join can split a block that is hot.
+    sizes = keyed.groupBy("mask", "block").agg(F.count("*").alias("size")).filter("size > 1")
+    sizes = written(sizes, "block_sizes")
+    met = written(keyed.join(sizes, ["mask", "block"]), "blocks")
 
     few = met.filter(F.col("size") <= BUCKET)
     left = few.select("mask", "block", F.col("fp").alias("u"))
@@ -120,7 +122,8 @@ def components(docs: DataFrame) -> DataFrame:
     # Only linked fingerprints are in a component of more than one.
     linked = fps.join(nodes, fps.fp == nodes.node, "left")
     homes = linked.select("fp", F.coalesce("component", "fp").alias("home"), "least")
-    named = homes.groupBy("home").agg(F.min("least").alias("component_id"))
+    homes = written(homes, "component_homes")
+    named = written(homes.groupBy("home").agg(F.min("least").alias("component_id")), "component_ids")
     names = written(homes.select("fp", "home").join(named, "home"), "component_names")
     return prints.join(names, "fp").select("doc_id", "hash", "fp", "home", "component_id")
 

@@ -84,8 +84,8 @@ def _min_hashes(shingles: Column) -> Column:
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     """``(license, shingles, class)``; a template needs ``WORDS`` words at least."""
-    rows = spark.createDataFrame(list(templates.items()), "license string, text string")
-    rows = _with_shingles(rows, F.col("text"))
+    pairs = [F.struct(F.lit(k).alias("license"), F.lit(v).alias("text")) for k, v in templates.items()]
+    rows = _with_shingles(spark.range(1).select(F.inline(F.array(*pairs))), F.col("text"))
     rows = rows.select("license", F.array_distinct("shingles").alias("shingles"))
     size = F.size("shingles")
     return rows.select(

@@ -59,7 +59,8 @@ _ONE = f"""
             SELECT w, min((m::BIGINT << 32) | pos) AS b, arg_min(q, (m::BIGINT << 32) | pos) AS q
             FROM state WHERE m IS NOT NULL AND it < {ROUNDS} GROUP BY w
         ), change AS (
-            SELECT b.w, (b & 4294967295)::INT AS head, (b >> 32)::INT AS merged, t.pos AS gone, t.q, t.nxt
+            SELECT b.w, (b & 4294967295)::INT AS head, (b >> 32)::INT AS merged,
+                   t.pos AS gone, t.q, t.nxt
             FROM best b JOIN state t ON t.w = b.w AND t.pos = b.q
         )
         SELECT s.w, s.pos, s.it + 1 AS it,
@@ -79,11 +80,13 @@ _ALL = f"""
             SELECT w, pos, it + 1 AS it, CASE WHEN hit THEN m ELSE tok END AS tok,
                    lag(hit) OVER (PARTITION BY w ORDER BY pos) AS gone
             FROM (
-                SELECT *, m = least AND (NOT twin OR (i - max(CASE WHEN prv IS DISTINCT FROM tok THEN i END)
-                    OVER (PARTITION BY w ORDER BY pos)) % 2 = 0) AS hit
+                SELECT *, m = least AND (NOT twin
+                    OR (i - max(CASE WHEN prv IS DISTINCT FROM tok THEN i END)
+                        OVER (PARTITION BY w ORDER BY pos)) % 2 = 0) AS hit
                 FROM (
                     SELECT *, min(m) OVER (PARTITION BY w) AS least, lag(tok) OVER win AS prv,
-                           coalesce(lead(tok) OVER win = tok, false) AS twin, row_number() OVER win AS i
+                           coalesce(lead(tok) OVER win = tok, false) AS twin,
+                           row_number() OVER win AS i
                     FROM state WHERE it < {ROUNDS} WINDOW win AS (PARTITION BY w ORDER BY pos)
                 ) WHERE least IS NOT NULL
             )
@@ -137,7 +140,8 @@ class ByteBpe:
         for token in ranks:
             for a, b in zip(token, token[1:]):
                 self.crossed[a, b] = True
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
+        config = {"threads": 1, "memory_limit": MEMORY, "temp_directory": ""}
+        self.db = duckdb.connect(config=config)
         columns = [pa.array(c, pa.int32()) for c in zip(*merges)]
         self._table("merges", pa.table(columns, names=["l", "r", "merged"]))
         vocab = {"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]}
@@ -171,7 +175,9 @@ class ByteBpe:
                 "CREATE OR REPLACE TEMP TABLE unfinished AS "
                 "SELECT DISTINCT w FROM step WHERE m IS NOT NULL"
             )
-            self.db.execute("INSERT INTO rows_out SELECT w, pos, tok FROM step ANTI JOIN unfinished USING (w)")
+            self.db.execute(
+                "INSERT INTO rows_out SELECT w, pos, tok FROM step ANTI JOIN unfinished USING (w)"
+            )
             self.db.execute(
                 "CREATE OR REPLACE TEMP TABLE rows_in AS "
                 "SELECT w, pos, tok FROM step SEMI JOIN unfinished USING (w)"
@@ -257,7 +263,8 @@ def round_trips(docs: DataFrame, ranks: str, pattern: str, with_ids: bool = Fals
     """
     schema = RESULT
     if with_ids:
-        schema = T.StructType([*RESULT.fields[:2], T.StructField("ids", T.StringType()), T.StructField("decoded", T.BinaryType())])
+        whole = [T.StructField("ids", T.StringType()), T.StructField("decoded", T.BinaryType())]
+        schema = T.StructType([*RESULT.fields[:2], *whole])
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary() if with_ids else pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -165,7 +165,10 @@ RESULT = T.StructType(
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Each own row of a range with the row after it; a range ends with a copy of the next's first."""
+    """Each own row of a range with the row after it.
+
+    A range ends with a copy of the first row of the next.
+    """
     held = first = None
     ended = False
     for bucket, copy, doc_id, text in rows_of(batches, "range", "copy", "doc_id", "text"):

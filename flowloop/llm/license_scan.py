@@ -84,13 +84,14 @@ def _min_hashes(shingles: Column) -> Column:
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     """``(license, shingles, class)``; a template needs ``WORDS`` words at least."""
-    pairs = [F.struct(F.lit(k).alias("license"), F.lit(v).alias("text")) for k, v in templates.items()]
+    pairs = [
+        F.struct(F.lit(name).alias("license"), F.lit(text).alias("text"))
+        for name, text in templates.items()
+    ]
     rows = _with_shingles(spark.range(1).select(F.inline(F.array(*pairs))), F.col("text"))
     rows = rows.select("license", F.array_distinct("shingles").alias("shingles"))
-    size = F.size("shingles")
-    return rows.select(
-        "license", "shingles", F.pow(F.lit(2), F.ceil(F.log2(size.cast("double")))).cast("int").alias("class")
-    )
+    power = F.ceil(F.log2(F.size("shingles").cast("double")))
+    return rows.select("license", "shingles", F.pow(F.lit(2), power).cast("int").alias("class"))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
@@ -125,24 +126,20 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
         "doc_id", "row", "shingles", "hits", F.explode(F.array(*map(F.lit, classes))).alias("class")
     )
     at_window = F.transform("hits", lambda h: F.floor(h.at / F.col("class")).cast("int"))
-    both = F.array_union(at_window, F.filter(F.transform(at_window, lambda w: w - 1), lambda w: w >= 0))
-    windows = windows.select("doc_id", "row", "shingles", "class", F.explode(F.array_distinct(both)).alias("window"))
-    windows = windows.select(
-        "doc_id",
-        "row",
-        "class",
-        "window",
-        F.array_distinct(
-            F.slice("shingles", F.col("window") * F.col("class") + 1, 2 * F.col("class"))
-        ).alias("held"),
-    )
+    before = F.filter(F.transform(at_window, lambda w: w - 1), lambda w: w >= 0)
+    window = F.explode(F.array_union(at_window, before)).alias("window")
+    windows = windows.select("doc_id", "row", "shingles", "class", window)
+    held = F.slice("shingles", F.col("window") * F.col("class") + 1, 2 * F.col("class"))
+    windows = windows.select("doc_id", "row", "class", "window", F.array_distinct(held).alias("held"))
     bands = F.posexplode(_min_hashes(F.col("held"))).alias("band", "value")
     keyed = windows.select("*", bands)
 
     table = template_table(spark, templates or TEMPLATES)
-    marks = table.select("license", "class", F.posexplode(_min_hashes(F.col("shingles"))).alias("band", "value"))
+    bands = F.posexplode(_min_hashes(F.col("shingles"))).alias("band", "value")
+    marks = table.select("license", "class", bands)
     found = keyed.join(F.broadcast(marks), ["class", "band", "value"])
-    found = found.groupBy("doc_id", "row", "license", "class", "window").agg(F.first("held").alias("held"))
+    same = found.groupBy("doc_id", "row", "license", "class", "window")
+    found = same.agg(F.first("held").alias("held"))
     shared = F.size(F.array_intersect("held", "shingles")) / F.size("shingles")
     checked = found.join(F.broadcast(table.select("license", "shingles")), "license")
     checked = checked.withColumn("share", shared).filter(F.col("share") >= CONTAINMENT)
@@ -155,7 +152,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
 
 def oracle(templates: dict[str, str] = TEMPLATES) -> str:
     """DuckDB's answer over ``documents``: every window is held against every template."""
-    values = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in t)) for t in templates.items())
+    quoted = [[x.replace("'", "''") for x in pair] for pair in templates.items()]
+    values = ", ".join("('{}', '{}')".format(*pair) for pair in quoted)
     return f"""
         WITH template(license, body) AS (VALUES {values}),
         split AS (

@@ -80,8 +80,10 @@ def _distance(a: str, b: str) -> Column:
 
 def close_links(fps: DataFrame) -> DataFrame:
     """Links ``(u, v)`` that connect all of the distinct ``fp`` within ``DISTANCE`` bits."""
-    masks = F.array(*[F.struct(F.lit(i).alias("mask"), F.lit(m).alias("bits")) for i, m in enumerate(_masks())])
-    keyed = fps.select("fp", F.inline(masks)).select(
+    masks = [
+        F.struct(F.lit(i).alias("mask"), F.lit(m).alias("bits")) for i, m in enumerate(_masks())
+    ]
+    keyed = fps.select("fp", F.inline(F.array(*masks))).select(
         "mask", F.col("fp").bitwiseAND(F.col("bits")).alias("block"), "fp"
     )
     # Counts are combined before their shuffle, and the join can split a block that is hot.
@@ -97,9 +99,8 @@ def close_links(fps: DataFrame) -> DataFrame:
 
     many = met.filter(F.col("size") > BUCKET)
     free = F.element_at(F.array(*[F.array(*_flips(m)) for m in _masks()]), F.col("mask") + 1)
-    named = many.select(
-        "mask", "fp", F.explode(F.transform(free, lambda bit: bit.bitwiseXOR(F.col("fp")))).alias("value")
-    )
+    values = F.transform(free, lambda bit: bit.bitwiseXOR(F.col("fp")))
+    named = many.select("mask", "fp", F.explode(values).alias("value"))
     least = F.min("fp").over(Window.partitionBy("mask", "value"))
     stars = named.select(F.col("fp").alias("u"), least.alias("v")).filter("u != v")
     return pairs.union(stars).distinct()
@@ -123,7 +124,8 @@ def components(docs: DataFrame) -> DataFrame:
     linked = fps.join(nodes, fps.fp == nodes.node, "left")
     homes = linked.select("fp", F.coalesce("component", "fp").alias("home"), "least")
     homes = written(homes, "component_homes")
-    named = written(homes.groupBy("home").agg(F.min("least").alias("component_id")), "component_ids")
+    named = homes.groupBy("home").agg(F.min("least").alias("component_id"))
+    named = written(named, "component_ids")
     names = written(homes.select("fp", "home").join(named, "home"), "component_names")
     return prints.join(names, "fp").select("doc_id", "hash", "fp", "home", "component_id")
 

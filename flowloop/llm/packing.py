@@ -158,9 +158,8 @@ def packed(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     out = settled[0]
     for more in settled[1:]:
         out = out.union(more)
-    return out.select(
-        "doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset"
-    )
+    named = F.col("bin").alias("sequence_id")
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", named, "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:

@@ -105,9 +105,13 @@ def _signed(number: int) -> int:
 
 def blanked(text: str, spans: list[tuple[str, int, int]]) -> str:
     """The text with its base spans as spaces, so that their parts are no terms."""
-    for _, start, end in spans:
-        text = text[:start] + " " * (end - start) + text[end:]
-    return text
+    out, end = [], 0
+    for start, stop in sorted((start, stop) for _, start, stop in spans):
+        if stop > end:
+            start = max(start, end)
+            out += [text[end:start], " " * (stop - start)]
+            end = stop
+    return "".join(out) + text[end:]
 
 
 def contexts(text: str) -> list[tuple[int, list[int], int]]:
@@ -153,7 +157,8 @@ class TermFilter:
         found = self.memo.get(word, 0)
         if found == 0:
             found = term(word)
-            if not self.bits[found % FILTER_WORDS] >> np.uint64(found // FILTER_WORDS % 64) & np.uint64(1):
+            bit = np.uint64(found // FILTER_WORDS % 64)
+            if not self.bits[found % FILTER_WORDS] >> bit & np.uint64(1):
                 found = None
             if len(self.memo) > REMEMBERED:
                 self.memo.clear()
@@ -173,7 +178,8 @@ class TermFilter:
 def term_filter(terms: DataFrame) -> TermFilter:
     """The filter of a table's ``term``; at most ``FILTER_WORDS`` rows come to the driver."""
     word = F.pmod("term", F.lit(FILTER_WORDS))
-    bit = F.pmod(F.expr(f"shiftright(term, {FILTER_WORDS.bit_length() - 1})"), F.lit(64)).cast("int")
+    above = F.expr(f"shiftright(term, {FILTER_WORDS.bit_length() - 1})")
+    bit = F.pmod(above, F.lit(64)).cast("int")
     rows = terms.select(word.cast("int").alias("word"), bit.alias("bit")).distinct()
     bits = np.zeros(FILTER_WORDS, dtype=np.uint64)
     ored = rows.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit)) AS bits"))
@@ -186,7 +192,8 @@ def revealing_terms(docs: DataFrame) -> DataFrame:
     """``(term, disclosure)`` of the terms that disclose some entity; ``docs`` has text alone."""
     n = docs.count()
     numbered = docs.select(F.xxhash64("text").alias("doc"), "text")
-    seen = numbered.mapInArrow(_contexts, "doc bigint, entity bigint, terms array<bigint>, signature bigint")
+    schema = "doc bigint, entity bigint, terms array<bigint>, signature bigint"
+    seen = numbered.mapInArrow(_contexts, schema)
     seen = written(seen, "contexts")
     met = seen.select("entity", "doc", "signature", F.explode("terms").alias("term")).distinct()
     different = met.select("entity", "term", "signature").distinct().groupBy("entity", "term").count()
@@ -276,7 +283,9 @@ def find_spans(docs: DataFrame) -> DataFrame:
     rows = rows.mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id())
     rows = written(rows, "spans")
     places = rows.select("uid", F.inline("places")).join(terms, "term")
-    found = places.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
+    # As many as the terms of one text at most.
+    told = F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms")
+    found = places.groupBy("uid").agg(told)
     return rows.drop("places").join(found, "uid", "left").drop("uid")
 
 
@@ -288,7 +297,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """
     rows = find_spans(docs)
     told = F.transform("terms", lambda t: F.concat_ws(":", F.lit(TERM), t.start, t.end))
-    spans = F.array_join(F.concat(F.when(F.col("base") != "", F.array("base")).otherwise(F.array().cast("array<string>")), F.coalesce(told, F.array().cast("array<string>"))), ",")
+    none = F.array().cast("array<string>")
+    base = F.when(F.col("base") != "", F.array("base")).otherwise(none)
+    spans = F.array_join(F.concat(base, F.coalesce(told, none)), ",")
     return rows.select(
         "doc_id",
         *[f"n_{kind}" for kind in KINDS],
@@ -299,8 +310,10 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def _sanitised(text: str, base: str, terms: list) -> str:
     """Base spans as their kind, terms as ``[TERM]`` or gone; overlapping spans are one."""
-    marks = [(int(a), int(b), f"[{kind.upper()}]") for kind, a, b in (s.split(":") for s in base.split(",") if s)]
-    marks += [(t["start"], t["end"], "" if t["disclosure"] >= REMOVE else "[TERM]") for t in terms or []]
+    spans = [s.split(":") for s in base.split(",") if s]
+    marks = [(int(start), int(end), f"[{kind.upper()}]") for kind, start, end in spans]
+    for t in terms or []:
+        marks.append((t["start"], t["end"], "" if t["disclosure"] >= REMOVE else "[TERM]"))
     out, end = [], 0
     for start, stop, sign in sorted(marks):
         if start >= end:
@@ -317,7 +330,9 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """
     rows = find_spans(docs).filter((F.col("base") != "") | F.col("terms").isNotNull())
     marks = rows.select(
-        F.col("doc_id").alias("__doc"), F.col("hash").alias("__hash"), F.struct("base", "terms").alias("__marks")
+        F.col("doc_id").alias("__doc"),
+        F.col("hash").alias("__hash"),
+        F.struct("base", "terms").alias("__marks"),
     ).dropDuplicates(["__doc", "__hash"])
     same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__doc"))
     same &= F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash")

@@ -32,11 +32,15 @@ STEPS = 800
 BATCH = 64
 REMEMBERED = 200_000
 
-_CLASSES = [(re.compile("[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[^\W\d_A]+"), "a"), (re.compile(r"\d+"), "0")]
+_CLASSES = [
+    (re.compile("[A-ZÀ-ÖØ-Þ]+"), "A"),
+    (re.compile(r"[^\W\d_A]+"), "a"),
+    (re.compile(r"\d+"), "0"),
+]
 
 
 def shape(word: str) -> str:
-    """Runs of capitals, other letters and digits as one sign each; other signs stay, twice at most."""
+    """Runs of capitals, other letters and digits as one sign each; others stay, twice at most."""
     for pattern, sign in _CLASSES:
         word = pattern.sub(sign, word)
     return re.sub(r"(.)\1+", r"\1\1", word)[:8]
@@ -86,7 +90,8 @@ def passages(text: str, table: WordTable) -> np.ndarray:
     mine = figures[ids]
     out = np.zeros((count, WIDTH), dtype=np.float32)
     cells = at * SHAPES + mine[:, 0].astype(np.int64)
-    out[:, :SHAPES] = np.bincount(cells, minlength=count * SHAPES).reshape(count, SHAPES) / sizes[:, None]
+    shapes = np.bincount(cells, minlength=count * SHAPES).reshape(count, SHAPES)
+    out[:, :SHAPES] = shapes / sizes[:, None]
     sums = np.stack([np.bincount(at, mine[:, k], count) for k in range(1, 5)], axis=1)
     chars = np.maximum(sums[:, 0], 1)
     distinct = np.unique(at * (len(figures) + 1) + ids) // (len(figures) + 1)

@@ -1,4 +1,4 @@
-"""One query per operator, over the whole ``documents`` table, and DuckDB answers where SQL has one."""
+"""One query per operator, over the whole ``documents`` table; DuckDB answers where SQL has one."""
 
 from pyspark.sql import DataFrame, SparkSession
 

@@ -37,7 +37,8 @@ class PieceCounter:
 
     def boundaries(self, text: str) -> list[int]:
         """The offset at which each token of ``text`` begins."""
-        return [begin for begin, _ in self.library.encode(text, return_type="offset_mapping")["offsets"]]
+        offsets = self.library.encode(text, return_type="offset_mapping")["offsets"]
+        return [begin for begin, _ in offsets]
 
     def count(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
         n = len(text)
@@ -62,7 +63,9 @@ class PieceCounter:
             total += sum(counted <= start + b < splice for b in begins)
             start, counted, begins = stop, splice, None
 
-    def _splice(self, text: str, start: int, left: list[int], stop: int, right: list[int]) -> int | None:
+    def _splice(
+        self, text: str, start: int, left: list[int], stop: int, right: list[int]
+    ) -> int | None:
         """The first common boundary of two encodings that is proven stable."""
         shared = {start + b for b in left}.intersection(stop + b for b in right if b)
         return min((at for at in shared if self.stable(text, at)), default=None)

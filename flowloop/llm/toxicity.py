@@ -85,9 +85,8 @@ def fit(terms: np.ndarray, x: np.ndarray, y: np.ndarray) -> FactorizationMachine
     rng = np.random.default_rng(1)
     n, d = x.shape
     share = y.sum() / (n + 1)
-    machine = FactorizationMachine(
-        terms, float(np.log((share + 1e-4) / (1 - share + 1e-4))), np.zeros(d), np.zeros((d, FACTORS))
-    )
+    bias = float(np.log((share + 1e-4) / (1 - share + 1e-4)))
+    machine = FactorizationMachine(terms, bias, np.zeros(d), np.zeros((d, FACTORS)))
     if not n or not d:
         return machine
     params = [np.array([machine.bias]), np.zeros(d), rng.normal(0, 0.05, (d, FACTORS))]
@@ -132,9 +131,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> FactorizationMachine:
         memo: dict[str, tuple] = {}
         for batch in batches:
             found = [list(text_terms(t, memo)) for (t,) in rows_of(iter([batch]), "text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), pa.array(found, pa.list_(pa.int32()))], names=["label", "terms"]
-            )
+            columns = [batch.column("label"), pa.array(found, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["label", "terms"])
 
     rows = written(sample.mapInArrow(hashed, "label int, terms array<int>"), "toxic_terms")
     counts = dict(rows.groupBy("label").count().collect())
@@ -142,8 +140,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> FactorizationMachine:
     none = np.zeros(0, dtype=np.int64)
     if not pos or not neg:
         return fit(none, np.zeros((pos + neg, 0)), np.repeat([1.0, 0.0], [pos, neg]))
-    seen = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(
-        F.sum("label").cast("double").alias("pos"), F.sum(1 - F.col("label")).cast("double").alias("neg")
+    terms = rows.select("label", F.explode("terms").alias("term"))
+    seen = terms.groupBy("term").agg(
+        F.sum("label").cast("double").alias("pos"),
+        F.sum(1 - F.col("label")).cast("double").alias("neg"),
     )
     g2 = seen.withColumn("g2", _g2("pos", "neg", pos, neg)).filter(F.col("g2") >= LEAST_G2)
     best = [r.term for r in g2.orderBy(F.desc("g2"), "term").limit(TERMS).collect()]

@@ -103,9 +103,9 @@ def _pair(spark: SparkSession, sf_dir: str, label: str = PORT_LABEL) -> ModelPai
     return _fitted(_training_data(spark, sf_dir, label), fit_pair)
 
 
-def _forest(spark: SparkSession, sf_dir: str) -> ModelPair:
+def _forest(spark: SparkSession, sf_dir: str, label: str = PORT_LABEL) -> ModelPair:
     """A pair of which only the forest is used."""
-    return ModelPair(None, _fitted(_training_data(spark, sf_dir), training.fit_forest))
+    return ModelPair(None, _fitted(_training_data(spark, sf_dir, label), training.fit_forest))
 
 
 def _bigints(*names: str) -> list[Column]:
@@ -405,7 +405,7 @@ def message_body(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def strong_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strong messages are scored by the validated pair, which here learned the opposite labels."""
-    pairs = [_pair(spark, sf_dir, label) for label in (PORT_LABEL, OTHER_LABEL)]
+    pairs = [_forest(spark, sf_dir), _pair(spark, sf_dir, OTHER_LABEL)]
     strong = score_table(_messages(spark, sf_dir), *pairs, topics=[STRONG_TOPIC])
     return _envelope(strong, "predictedLabel")
 

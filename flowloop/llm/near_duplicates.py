@@ -11,7 +11,7 @@ differ in two bits at most name one value. At most 23 fingerprints can name a va
 linked to the smallest of them: as many rows as fingerprints, with the same components.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -117,9 +117,13 @@ def components(docs: DataFrame) -> DataFrame:
 
     ``home`` is the fingerprint that stands for the component, ``component_id`` its smallest id.
     """
-    prints = written(simhashes(docs), "simhashes")
+    return named(written(simhashes(docs), "simhashes"), close_links)
+
+
+def named(prints: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``prints(doc_id, hash, fp)`` with the components that ``links`` makes of distinct ``fp``."""
     fps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
-    nodes = connected_components(close_links(fps.select("fp")))
+    nodes = connected_components(links(fps.select("fp")))
     # Only linked fingerprints are in a component of more than one.
     linked = fps.join(nodes, fps.fp == nodes.node, "left")
     homes = linked.select("fp", F.coalesce("component", "fp").alias("home"), "least")
@@ -147,5 +151,9 @@ def representatives(docs: DataFrame) -> DataFrame:
 
     Where an id repeats within a component, the row with the smallest ``hash`` of its text.
     """
-    first = components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return first_rows(components(docs))
+
+
+def first_rows(grouped: DataFrame) -> DataFrame:
+    first = grouped.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     return first.groupBy("doc_id", "home").agg(F.min("hash").alias("hash")).select("doc_id", "hash")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloop.llm.common import rows_of, texts, written
+from flowloop.llm.common import free_name, rows_of, texts, written
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -329,20 +329,23 @@ def sanitise(docs: DataFrame) -> DataFrame:
     ``n_chars``, it follows the text.
     """
     rows = find_spans(docs).filter((F.col("base") != "") | F.col("terms").isNotNull())
+    marked_id, marked_hash, found = (
+        free_name(docs, name) for name in ("marked_id", "marked_hash", "found")
+    )
     marks = rows.select(
-        F.col("doc_id").alias("__doc"),
-        F.col("hash").alias("__hash"),
-        F.struct("base", "terms").alias("__marks"),
-    ).dropDuplicates(["__doc", "__hash"])
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__doc"))
-    same &= F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash")
+        F.col("doc_id").alias(marked_id),
+        F.col("hash").alias(marked_hash),
+        F.struct("base", "terms").alias(found),
+    ).dropDuplicates([marked_id, marked_hash])
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(marked_id))
+    same &= F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(marked_hash)
     met = docs.join(marks, same, "left")
-    others = [c for c in met.columns if not c.startswith("__")]
-    schema = T.StructType([docs.schema[c] for c in others])
+    others = docs.columns
+    schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marked = batch.column("__marks").to_pylist()
+            marked = batch.column(found).to_pylist()
             clear = [
                 text if text is None or mark is None else _sanitised(text, mark["base"], mark["terms"])
                 for text, mark in zip(batch.column("text").to_pylist(), marked)

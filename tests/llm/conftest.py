@@ -26,6 +26,7 @@ def documents(spark, rows):
     full = [(i, t, "en", "src0", len(t) if t is not None else None) for i, t in rows]
     docs = spark.createDataFrame(full, SCHEMA)
     names = ["hash", "score", "part", "range", "copy", "uid", "members", "words", "base", "bin"]
+    names += ["__origin", "__mark", "marked_id", "found", "Kept_Id", "own_mark", "place"]
     return docs.withColumns({name: F.lit("mine") for name in names})
 
 

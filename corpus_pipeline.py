@@ -7,9 +7,9 @@ folder and read again as the next stage's ``docs``. All but the last return the
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowloop.llm.common import documents, written
+from flowloop.llm.common import documents, free_name, written
 from flowloop.llm.exact_duplicates import exact_duplicates
-from flowloop.llm.jaccard_duplicates import representatives
+from flowloop.llm.near_duplicates import representatives
 from flowloop.llm.packing import pack_documents
 from flowloop.llm.personal_data import sanitise
 from flowloop.llm.quality import fit_quality, good_rows
@@ -18,12 +18,15 @@ from flowloop.llm.queries import labels, tokenizer_file
 
 def _chosen(docs: DataFrame, mark: Column, kept: DataFrame) -> DataFrame:
     """The rows whose id and ``mark`` are in ``kept(doc_id, mark)``; of repeated ones, one each."""
-    kept = kept.select(F.col("doc_id").alias("__kept"), F.col("mark").alias("__kept_mark"))
-    marked = docs.withColumn("__mark", mark)
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__kept"))
-    met = marked.join(kept, same & (F.col("__mark") == F.col("__kept_mark")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id", "__mark").orderBy("text"))
-    return met.withColumn("__first", first).filter("__first = 1").select(*docs.columns)
+    kept_id, kept_mark, own_mark, place = (
+        free_name(docs, name) for name in ("kept_id", "kept_mark", "own_mark", "place")
+    )
+    kept = kept.select(F.col("doc_id").alias(kept_id), F.col("mark").alias(kept_mark))
+    marked = docs.withColumn(own_mark, mark)
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(kept_id))
+    met = marked.join(kept, same & (F.col(own_mark) == F.col(kept_mark)), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", own_mark).orderBy("text"))
+    return met.withColumn(place, first).filter(F.col(place) == 1).select(*docs.columns)
 
 
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +42,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares 0.8 of its 5-word shingles, that with the smallest id."""
+    """One document of each group linked by close fingerprints, that with the smallest id."""
     kept = representatives(docs).withColumnRenamed("hash", "mark")
     return _chosen(docs, F.xxhash64(F.coalesce("text", F.lit(""))), kept)
 

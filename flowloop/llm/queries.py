@@ -9,6 +9,7 @@ from flowloop.llm.exact_duplicates import exact_duplicates
 from flowloop.llm.fingerprints import fingerprints
 from flowloop.llm.near_duplicates import near_duplicates
 from flowloop.llm.packing import pack_documents
+from flowloop.llm.periodic_runs import periodic_runs, repeated_tail, run_digests
 from flowloop.llm.personal_data import personal_data
 from flowloop.llm.quality import fit_quality, quality
 from flowloop.llm.token_counts import token_counts
@@ -71,6 +72,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(documents(spark, sf_dir), repeated_tail))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_simhash": op2_simhash,
@@ -82,6 +87,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES = {

@@ -9,7 +9,6 @@ packed again. A repacking counts only where it needs fewer sequences.
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowloop.llm.common import rows_of, texts, written
-from flowloop.llm.word_bpe import WordBpe
+from flowloop.llm.word_bpe import loaded
 
 LENGTH = 2048
 # Pieces of one part in the first round, about; each round's parts are twice as large.
@@ -32,16 +31,11 @@ GAP = 0.05
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str) -> WordBpe:
-    return WordBpe(path)
-
-
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     """The pieces of every text's ids, an id 0 after them. An empty text is the piece of that 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _tokenizer(tokenizer)
+        bpe = loaded(tokenizer)
         for batch in batches:
             rows = list(rows_of(iter([batch]), "doc_id", "text"))
             out = []

@@ -13,6 +13,7 @@ from flowloop.llm.periodic_runs import periodic_runs, repeated_tail, run_digests
 from flowloop.llm.personal_data import personal_data
 from flowloop.llm.quality import fit_quality, quality
 from flowloop.llm.token_counts import token_counts
+from flowloop.llm.token_files import token_files
 from flowloop.llm.toxicity import fit_toxicity, toxicity
 
 
@@ -72,6 +73,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(documents(spark, sf_dir), repeated_tail))
 
@@ -87,6 +92,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
+    "op11_token_files": op11_token_files,
     "op13_periodic_runs": op13_periodic_runs,
 }
 

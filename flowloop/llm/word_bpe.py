@@ -2,18 +2,23 @@
 
 White space separates words and is dropped, so a text's ids are its words' ids one after the other.
 Words repeat, so each worker remembers the ids of many. New words are split by the file's own rules
-and merged together: every round contracts one pair of each unfinished word.
+and merged together: every round contracts one pair of each unfinished word. Words of more than
+``LONG`` characters would take as many rounds and go to the library, whose time grows with their
+length alone.
 """
 
 import json
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-# Words and parts whose ids a worker remembers; it starts anew beyond them.
+# Words and parts whose ids a worker remembers; it starts anew beyond them. Longer words than LONG
+# are never remembered, so this bounds the bytes as well.
 REMEMBERED = 400_000
+LONG = 256
 _NONE = np.int64(1 << 40)
 
 
@@ -85,20 +90,27 @@ class WordBpe:
         return [ids[a:b] for a, b in zip([0, *stops], stops)]
 
     def learn(self, words: list[str]) -> None:
-        """Remember the ids of ``words``, none of which holds white space."""
+        """Remember the ids of ``words`` of at most ``LONG`` characters, without white space."""
         split = {}
         for word in words:
-            if max(word) > _SIMPLE or any(token in word for token in self.special):
-                ids = self.library.encode(word, add_special_tokens=False).ids
-                self.words[word] = np.array(ids, dtype="<u4").tobytes()
+            if word.isascii() and word.isalpha():
+                split[word] = (word.lower(),)
+            elif max(word) > _SIMPLE or any(token in word for token in self.special):
+                self.words[word] = self._by_library(word)
             else:
                 split[word] = self.split.findall(normalised(word))
-        fresh = list({part for parts in split.values() for part in parts}.difference(self.parts))
+        fresh = {part for parts in split.values() for part in parts}.difference(self.parts)
+        fresh = list(fresh)
         for at in range(0, len(fresh), 100_000):
             some = fresh[at : at + 100_000]
             self.parts.update(zip(some, self.merge(some)))
+        known = self.parts.__getitem__
         for word, parts in split.items():
-            self.words[word] = b"".join(map(self.parts.__getitem__, parts))
+            self.words[word] = known(parts[0]) if len(parts) == 1 else b"".join(map(known, parts))
+
+    def _by_library(self, word: str) -> bytes:
+        ids = self.library.encode(word, add_special_tokens=False).ids
+        return np.array(ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > REMEMBERED or len(self.parts) > REMEMBERED:
@@ -106,12 +118,26 @@ class WordBpe:
             self.parts.clear()
         split = [words_of(text) for text in texts]
         fresh = set().union(*split).difference(self.words) if split else set()
+        long = {word for word in fresh if len(word) > LONG}
         if fresh:
-            self.learn(list(fresh))
-        known = self.words.__getitem__
+            self.learn(list(fresh - long))
+        if not long:
+            known = self.words.__getitem__
+        else:
+            own = {word: self._by_library(word) for word in long}
+
+            def known(word: str) -> bytes:
+                return own[word] if word in own else self.words[word]
+
         return [b"".join(map(known, words)) for words in split]
 
 
+@lru_cache(maxsize=2)
+def loaded(path: str) -> WordBpe:
+    """The tokenizer of a file, once a worker."""
+    return WordBpe(path)
+
+
 # Words of Latin letters alone are split here. Beyond them, Unicode versions differ in what is a
 # letter or composes, and the library itself encodes the word.
 _SIMPLE = "\u024f"

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowloop.llm import license_scan
+from flowloop.llm import hard_negatives, license_scan
 from flowloop.llm.byte_bpe import round_trips
 from flowloop.llm.common import documents
 from flowloop.llm.exact_duplicates import exact_duplicates
@@ -77,6 +77,12 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = hard_negatives.vectors(embeddings, changed=hard_negatives.changed_label())
+    return hard_negatives.hard_negatives(rows)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(documents(spark, sf_dir), repeated_tail))
 
@@ -93,6 +99,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
     "op11_token_files": op11_token_files,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -109,4 +116,5 @@ ORACLES = {
         FROM norm n JOIN best b ON n.body = b.body
     """,
     "op8_license_scan": license_scan.oracle(),
+    "op12_hard_negatives": hard_negatives.ORACLE,
 }

@@ -7,6 +7,8 @@ Tables are named by path; with ``--servers`` a job uses the topics instead.
 ``score``    score a stored table of messages once
 ``park``     choose labelling candidates and append them to the candidate table
 ``answer``   turn submitted answers into label rows, and label messages if asked
+``answers``  the same as a stream over a folder of submissions
+``compact``  fold the small files of a scored table's closed periods
 """
 
 import argparse
@@ -16,6 +18,7 @@ from datetime import UTC, datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from flowloop.functions import ADDRESS_FORMS
 from flowloop.operators import candidates as cand
@@ -38,6 +41,8 @@ from flowloop.schemas import (
     load_schema,
 )
 from flowloop.session import get_session
+from flowloop.sources import tables
+from flowloop.sources.files import Files
 from flowloop.sources.messages import (
     kafka_messages,
     table_messages,
@@ -45,7 +50,9 @@ from flowloop.sources.messages import (
     write_kafka,
 )
 from flowloop.sources.models import KEPT_VERSIONS, USER, VALIDATED, ModelStore
-from flowloop.sources.tables import RUN, read_window, replace_batch
+from flowloop.sources.tables import WRITER, Batch, read_window, replace_batch
+from flowloop.streaming.answers import start_answers, submission_files
+from flowloop.streaming.drain import drained
 from flowloop.streaming.registry import ModelRegistry
 from flowloop.streaming.scoring import file_sink, kafka_sink, start_scoring
 
@@ -94,10 +101,7 @@ def stream(spark: SparkSession, args: argparse.Namespace) -> None:
         sink = file_sink(args.out)
     else:
         sink = kafka_sink(args.servers, **dict(args.sink_option))
-    trigger = {"processingTime": args.interval}
-    if args.available_now:
-        trigger = {"availableNow": True}
-    start_scoring(
+    query = start_scoring(
         messages,
         ModelRegistry(ModelStore(spark, args.models)),
         sink,
@@ -105,10 +109,12 @@ def stream(spark: SparkSession, args: argparse.Namespace) -> None:
         mode=args.addresses,
         strong_scorer=args.strong_scorer,
         form=args.address_form,
-        trigger=trigger,
+        trigger=_trigger(args),
         rejects=file_sink(args.rejects) if args.rejects else None,
         schema=_record_schema(spark, args),
-    ).awaitTermination()
+        stop_marker=args.stop_marker,
+    )
+    _wait(query, args)
 
 
 def _record_schema(spark: SparkSession, args: argparse.Namespace) -> T.StructType:
@@ -116,6 +122,7 @@ def _record_schema(spark: SparkSession, args: argparse.Namespace) -> T.StructTyp
 
 
 def score(spark: SparkSession, args: argparse.Namespace) -> None:
+    """The input names the writer, so tables scored into one folder keep each other's rows."""
     store = ModelStore(spark, args.models)
     user, validated = store.load(USER), store.load(VALIDATED)
     if user is None:
@@ -125,10 +132,28 @@ def score(spark: SparkSession, args: argparse.Namespace) -> None:
     scored = score_table(
         messages, user, validated, args.addresses, args.strong_scorer, args.address_form, schema
     )
-    replace_batch(scored, args.out, "ts", args.batch, backfill=args.backfill)
+    batch = Batch(args.writer or _name(args.messages.rstrip("/")), args.batch)
+    replace_batch(scored, args.out, "ts", batch, backfill=args.backfill)
     if args.rejects:
         rejected = flow_rejects(decode(messages, schema), args.addresses, args.address_form)
-        replace_batch(rejected.select("key", "ts", "reason"), args.rejects, "ts", args.batch)
+        replace_batch(rejected.select("key", "ts", "reason"), args.rejects, "ts", batch)
+
+
+def compact(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Fold the batches of a scored table's closed periods; streams may write meanwhile."""
+    files = Files(spark, args.table)
+    topics = [name for name in files.names(args.table) if name.startswith("topic=")]
+    for topic in topics:
+        changed = tables.compact(
+            spark,
+            args.table,
+            SCORED_MESSAGE,
+            args.as_of,
+            timedelta(hours=args.closed_hours),
+            under=topic,
+            kept=timedelta(minutes=args.keep_minutes),
+        )
+        print(topic, f"{len(changed)} periods compacted")
 
 
 def park(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -136,7 +161,7 @@ def park(spark: SparkSession, args: argparse.Namespace) -> None:
     lookback = cand.LIVE_LOOKBACK if live else cand.PREDICTION_LOOKBACK
     if args.servers:
         topic = args.topic if live else PREDICTIONS_TOPIC
-        recent = topic_window(spark, args.servers, topic, args.as_of, lookback)
+        recent = topic_window(spark, args.servers, topic, args.as_of, lookback, distinct=not live)
     else:
         schema, under = (MESSAGE, "") if live else (SCORED_MESSAGE, f"topic={PREDICTIONS_TOPIC}")
         recent = read_window(spark, args.table, schema, "ts", args.as_of, lookback, under=under)
@@ -144,43 +169,82 @@ def park(spark: SparkSession, args: argparse.Namespace) -> None:
         rows = cand.live_candidates(recent, args.as_of, lookback, args.limit, args.address_form)
     else:
         rows = cand.prediction_candidates(recent, args.as_of, lookback, args.limit)
-    park_candidates(rows, args.candidates, args.as_of, _run_id(args, args.kind))
+    run = _run_id(args, args.kind)
+    size = args.page_size or args.limit
+    park_candidates(rows, args.candidates, args.as_of, run, size, bulk=args.limit > size)
 
 
 def _run_id(args: argparse.Namespace, *parts: str) -> str:
-    """The same for a repeated run, which then replaces its rows instead of doubling them."""
+    """The same for a repeated run, which then replaces its rows instead of doubling them.
+
+    The time belongs to it only where it was given: a plain retry has another one.
+    """
     if args.run_id:
         return args.run_id
-    text = "|".join([args.as_of.isoformat(), *parts])
-    return hashlib.sha256(text.encode()).hexdigest()[:16]
+    if args.run is answer:
+        return _name(*parts)
+    return _name(args.as_of.isoformat(), *parts)
+
+
+def _name(*parts: str) -> str:
+    return hashlib.sha256("|".join(parts).encode()).hexdigest()[:16]
 
 
 def answer(spark: SparkSession, args: argparse.Namespace) -> None:
+    """A set of submissions is labelled once: the input names the run, and a retry replaces it."""
     topic = labelling.USER_TOPIC if args.kind == "user" else labelling.VALIDATED_TOPIC
     submissions = spark.read.schema(SUBMISSION).json(args.submissions)
-    since = timedelta(hours=args.parked_hours) if args.parked_hours else None
-    # The page was parked before now, and this reads up to the end of the moment.
-    until = args.as_of + timedelta(microseconds=1)
-    parked = parked_candidates(spark, args.candidates, as_of=until, lookback=since)
+    parked = parked_candidates(spark, args.candidates, wanted=submissions)
     if args.default_answer:
         submissions = labelling.with_default_answers(submissions, parked, args.default_answer)
     run = _run_id(args, args.kind, args.submissions)
     unknown = record_answers(submissions, parked, topic, args.labels, args.as_of, run)
     if args.servers:
         label = label_record(labelling.LABEL_COLUMNS[topic])
-        schema = T.StructType([*label.fields, LABELLED_AT, T.StructField(RUN, T.StringType())])
+        schema = T.StructType([*label.fields, LABELLED_AT, T.StructField(WRITER, T.StringType())])
+        # The labels have this one time, and this reads up to the end of the moment.
+        until = args.as_of + timedelta(microseconds=1)
         window = read_window(
             spark, args.labels, schema, "labelled_at", until, timedelta(microseconds=2)
         )
-        sent = window.filter(F.col(RUN) == run).select(*label.names)
+        sent = window.filter(F.col(WRITER) == run).select(*label.names)
         write_kafka(labelling.label_messages(sent, topic), args.servers)
     if args.rejects:
-        unknown.write.mode("overwrite").json(f"{args.rejects}/{RUN}={run}")
+        unknown.write.mode("overwrite").json(f"{args.rejects}/run={run}")
     count = unknown.count()
     if count:
         print(f"{count} answers for unknown candidates")
 
 
+def answers(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Label submissions as they come, until stopped."""
+    query = start_answers(
+        submission_files(spark, args.submissions),
+        args.candidates,
+        labelling.USER_TOPIC if args.kind == "user" else labelling.VALIDATED_TOPIC,
+        args.labels,
+        args.checkpoint,
+        rejects=args.rejects,
+        default_answer=args.default_answer,
+        late_after=timedelta(hours=args.late_hours) if args.late_hours else None,
+        servers=args.servers,
+        trigger=_trigger(args),
+        stop_marker=args.stop_marker,
+    )
+    _wait(query, args)
+
+
+def _trigger(args: argparse.Namespace) -> dict:
+    return {"availableNow": True} if args.available_now else {"processingTime": args.interval}
+
+
+def _wait(query: StreamingQuery, args: argparse.Namespace) -> None:
+    if args.stop_marker:
+        drained(query, args.stop_marker)
+    else:
+        query.awaitTermination()
+
+
 def _moment(text: str) -> datetime:
     moment = datetime.fromisoformat(text)
     return moment.replace(tzinfo=UTC) if moment.tzinfo is None else moment
@@ -210,6 +274,11 @@ def parser() -> argparse.ArgumentParser:
         "addresses": {"choices": [LAST_WINS, COALESCE], "default": LAST_WINS},
         "strong_scorer": {"choices": ["validated", "user"], "default": "validated"},
     }
+    streaming = {
+        "available_now": {"action": "store_true"},
+        "interval": {"default": "10 seconds"},
+        "stop_marker": {"help": "path; once it exists, the stream ends with a whole batch"},
+    }
     run_id = {"help": "name of this run; by default from its time and input"}
     job(
         train,
@@ -228,12 +297,11 @@ def parser() -> argparse.ArgumentParser:
         topic={"default": "beats"},
         messages={},
         out={},
-        available_now={"action": "store_true"},
-        interval={"default": "10 seconds"},
         rejects={},
         schema={},
         source_option={"type": _option, "action": "append", "default": []},
         sink_option={"type": _option, "action": "append", "default": []},
+        **streaming,
         **scoring,
     )
     job(
@@ -241,6 +309,7 @@ def parser() -> argparse.ArgumentParser:
         "messages",
         "models",
         "out",
+        writer={"help": "name of this input in the table; by default from its path"},
         batch={"type": int, "default": 0},
         backfill={"action": "store_true"},
         rejects={},
@@ -256,6 +325,7 @@ def parser() -> argparse.ArgumentParser:
         address_form=form,
         kind={"choices": ["live", "predictions"], "default": "live"},
         limit={"type": int, "default": cand.PAGE_SIZE},
+        page_size={"type": int, "help": "candidates of one page; by default all of this run"},
         run_id=run_id,
     )
     job(
@@ -264,12 +334,30 @@ def parser() -> argparse.ArgumentParser:
         "candidates",
         "labels",
         kind={"choices": ["user", "validated"], "default": "user"},
-        parked_hours={"type": int, "default": 24, "help": "0 reads the whole table"},
         servers={},
         default_answer={"choices": ["true", "false"]},
         rejects={},
         run_id=run_id,
     )
+    job(
+        answers,
+        "submissions",
+        "candidates",
+        "labels",
+        "checkpoint",
+        kind={"choices": ["user", "validated"], "default": "user"},
+        servers={},
+        default_answer={"choices": ["true", "false"]},
+        late_hours={"type": float, "help": "later answers are rejected; by default none"},
+        rejects={},
+        **streaming,
+    )
+    job(
+        compact,
+        "table",
+        closed_hours={"type": float, "default": 2},
+        keep_minutes={"type": float, "default": 60, "help": "longer than any read takes"},
+    )
     return root
 
 

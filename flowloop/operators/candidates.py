@@ -103,6 +103,15 @@ def with_ids(candidates: DataFrame, id_col: Column | None = None) -> DataFrame:
     return candidates.select(new_id.alias("id"), *fields, *rest)
 
 
+def in_pages(candidates: DataFrame, run: str, size: int = PAGE_SIZE) -> DataFrame:
+    """Add ``page``, which ``size`` rows at most have in common.
+
+    Rows that were sorted and limited are one page in their order; others are dealt as they come.
+    """
+    number = F.expr(f"monotonically_increasing_id() div {int(size)}")
+    return candidates.withColumn("page", F.concat_ws("-", F.lit(run), number))
+
+
 def encode_parked(candidates: DataFrame) -> DataFrame:
     """``(id, value)`` with the candidate as a positional JSON list."""
     cells = ", ".join(f"cast(`{c}` as variant)" for c in _shape(candidates).names)

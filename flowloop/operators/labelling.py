@@ -1,5 +1,6 @@
 """Answers joined back to the candidates they are about."""
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -19,35 +20,42 @@ LABEL_COLUMNS = {USER_TOPIC: "label", VALIDATED_TOPIC: "validated_label"}
 CHUNK = 10_000
 
 
-def match_answers(submissions: DataFrame, candidates: DataFrame) -> DataFrame:
-    """``(id, answer, known)`` and the candidate's columns for every submission.
+def match_answers(
+    submissions: DataFrame, candidates: DataFrame, also: Sequence[str] = ()
+) -> DataFrame:
+    """``(id, answer, known)`` and the candidate's columns for every submission with an id.
 
+    ``also`` are columns of the submissions to carry; of the candidate, ``parked_at`` comes too.
     Equal submissions are counted before any shuffle, so an id answered millions of times is a row
     or two until the end, where its copies are dealt to tasks in chunks. Candidates that nobody
     answered go before anything is sorted or shuffled: for a page of answers, the ids are
     broadcast to the scan. Of an id parked several times the last candidate counts, and of several
     parked at once the largest by its fields.
     """
-    counted = submissions.groupBy("id", "answer").agg(F.count("*").alias("n"))
+    submissions = submissions.filter(F.col("id").isNotNull())
+    counted = submissions.groupBy("id", "answer", *also).agg(F.count("*").alias("n"))
     wanted = candidates.join(submissions.select("id").distinct(), "id", "left_semi")
     fields = [name for name in CANDIDATE.names if name != "id"]
     last = F.max(F.struct("parked_at", *fields)).alias("last")
     by_id = wanted.groupBy("id").agg(last).select("id", "last.*", F.lit(True).alias("known"))
     met = counted.join(by_id, "id", "left")
     chunks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / CHUNK).cast("bigint"))
-    spread = met.withColumn("chunk", F.explode(chunks)).repartition(_partitions(met), "id", "answer", "chunk")
+    spread = met.withColumn("chunk", F.explode(chunks)).repartition(
+        _partitions(met), "id", "answer", "chunk"
+    )
     copies = F.least(F.lit(CHUNK), F.col("n") - F.col("chunk") * CHUNK).cast("int")
     rows = spread.withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies)))
-    return rows.select("id", "answer", F.col("known").isNotNull().alias("known"), *fields)
+    known = F.col("known").isNotNull().alias("known")
+    return rows.select("id", "answer", *also, known, "parked_at", *fields)
 
 
 def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def known_labels(matched: DataFrame, label_col: str) -> DataFrame:
+def known_labels(matched: DataFrame, label_col: str, *also: str) -> DataFrame:
     labels = matched.filter("known").withColumn(label_col, answer_to_bit(F.col("answer")))
-    return labels.select(*label_record(label_col).names)
+    return labels.select(*label_record(label_col).names, *also)
 
 
 def unknown_answers(matched: DataFrame) -> DataFrame:
@@ -72,10 +80,20 @@ def unknown_submissions(submissions: DataFrame, candidates: DataFrame) -> DataFr
 def with_default_answers(
     submissions: DataFrame, shown: DataFrame, default: str = "false"
 ) -> DataFrame:
-    """Add ``default`` for shown candidates nobody answered, as a pre-checked form does."""
-    answered = submissions.select("id").distinct()
-    untouched = shown.select("id").distinct().join(answered, "id", "left_anti")
-    return submissions.select("id", "answer").unionByName(
+    """``(id, answer)``: the answers, and ``default`` for the rest of every page that was submitted,
+    as a pre-checked form sends it.
+
+    A page was submitted if one of its candidates was answered, or if a submission names it in
+    ``page``, with or without an ``id``. Candidates of other pages get no answer.
+    """
+    answered = submissions.filter(F.col("id").isNotNull())
+    ids = answered.select("id").distinct()
+    pages = shown.join(ids, "id", "left_semi").select("page")
+    if "page" in submissions.columns:
+        pages = pages.unionByName(submissions.select("page"))
+    on_page = shown.select("id", "page").join(pages.dropna().distinct(), "page", "left_semi")
+    untouched = on_page.select("id").distinct().join(ids, "id", "left_anti")
+    return answered.select("id", "answer").unionByName(
         untouched.select("id", F.lit(default).alias("answer"))
     )
 

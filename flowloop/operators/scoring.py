@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from flowloop.operators.features import assemble
 from flowloop.operators.normalize import FLOW_COLUMNS
+from flowloop.sources.messages import MESSAGE_ID
 from flowloop.sources.models import ModelPair
 
 # Topic names and algorithm tags.
@@ -63,10 +64,13 @@ def score_messages(
     strong_scorer: str = "validated",
     topics: Sequence[str] = (PREDICTIONS_TOPIC, STRONG_TOPIC),
     algos: Sequence[str] = (KMEANS, FOREST),
+    batch: str | None = None,
 ) -> DataFrame:
     """``(key, topic, algo, value)`` plus the other columns of ``flows``, such as ``ts``.
 
-    Only the messages of ``topics`` and ``algos`` are made, and only their models run.
+    With the name of a ``batch``, every message also has a ``message_id``: the same when the batch
+    is scored again, whatever models score it then. Flows of one batch that are alike in every
+    field have the same. Only the messages of ``topics`` and ``algos`` are made, and only their models run.
 
     Every flow gives one message per algorithm, and two more on the strong topic
     while a validated pair exists. The strong messages are scored by that pair;
@@ -105,4 +109,12 @@ def score_messages(
     texts = scored.withColumn("flow_text", F.to_json(F.struct(*_FLOW_FIELDS)))
     texts = texts.withColumn("flow_head", head)
     carried = [c for c in flows.columns if c not in _FLOW_FIELDS]
-    return texts.select("key", *carried, F.inline(F.array(*messages)))
+    if batch is None:
+        return texts.select("key", *carried, F.inline(F.array(*messages)))
+    flow = [F.col(c) for c in ("key", "flow_text", *carried)]
+    # 128 bits: a batch of any size has no two flows of one hash.
+    hashes = [F.hex(F.xxhash64(*flow, F.lit(salt))) for salt in (0, 1)]
+    flow_id = F.concat_ws("-", F.lit(batch), *hashes).alias("flow_id")
+    sent = texts.select("key", *carried, flow_id, F.inline(F.array(*messages)))
+    message_id = F.concat_ws("-", "flow_id", "topic", "algo")
+    return sent.withColumn(MESSAGE_ID, message_id).drop("flow_id")

@@ -158,10 +158,22 @@ ORDER BY ts DESC, event_id::VARCHAR LIMIT 10
 SELECT id FROM ({_SUBMISSIONS}) WHERE id NOT IN (SELECT event_id FROM ({_NAMED}))
 """,
     "default_answers": f"""
-SELECT id, answer FROM ({_SUBMISSIONS})
+WITH answers AS ({_SUBMISSIONS} WHERE event_id // 10 % 4 <> 3),
+shown AS (SELECT event_id, event_id // 10 AS page FROM ({_NAMED})),
+pages AS (
+    SELECT page FROM shown WHERE event_id IN (SELECT id FROM answers)
+    UNION SELECT event_id // 10 FROM events WHERE event_id // 10 % 8 = 3
+)
+SELECT id, answer FROM answers
 UNION ALL
-SELECT event_id, 'false' FROM ({_NAMED})
-WHERE event_id NOT IN (SELECT id FROM ({_SUBMISSIONS}))
+SELECT event_id, 'false' FROM shown
+WHERE event_id NOT IN (SELECT id FROM answers) AND page IN (SELECT page FROM pages)
+""",
+    "candidate_lookup": f"""
+SELECT {_CANDIDATE}, (source_port % 2 = 0)::INTEGER AS label FROM ({_NAMED}) WHERE dest_port = 53
+""",
+    "stream_answers": f"""
+SELECT {_CANDIDATE}, coalesce(dest_port = 53, false)::INTEGER AS label FROM ({_NAMED})
 """,
     "label_messages": f"SELECT id, label FROM ({_USER_LABELS})",
     "validated_label_messages": f"SELECT id, validated_label FROM ({_VALIDATED_LABELS})",
@@ -222,6 +234,9 @@ SELECT event_id, CASE WHEN (dest_port = 53) = (event_id % 4 < 2) THEN '1' ELSE '
     AS "predictedLabel"
 FROM ({_WHOLE})
 """,
+    "stream_distinct": f"SELECT event_id, algo FROM ({_messages('model_predictions')})",
+    "compacted_scores": f"SELECT event_id, algo FROM ({_messages('model_predictions')})",
+    "shared_table": f"SELECT event_id, algo FROM ({_messages('model_predictions')})",
     "stream_score": f"SELECT event_id, algo FROM ({_messages('model_predictions')})",
     "active_loop": _PREDICTED,
 }

@@ -1,14 +1,14 @@
 """The labelling loop as table jobs: park candidates, turn answers into labels."""
 
-from datetime import datetime, timedelta
+import uuid
+from datetime import datetime
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from flowloop.functions import as_utc
-from flowloop.operators.candidates import with_ids
+from flowloop.operators.candidates import PAGE_SIZE, in_pages
 from flowloop.operators.labelling import (
     LABEL_COLUMNS,
     known_labels,
@@ -17,40 +17,45 @@ from flowloop.operators.labelling import (
     unknown_answers,
 )
 from flowloop.schemas import CANDIDATE, PREDICTION_CANDIDATE
-from flowloop.sources.tables import append_periods, read_window
+from flowloop.sources.candidates import BUCKETS, CandidateTable
+from flowloop.sources.tables import append_periods
 
 
 def park_candidates(
-    candidates: DataFrame, path: str, parked_at: datetime | None = None, run: str | None = None
+    candidates: DataFrame,
+    path: str,
+    parked_at: datetime | None = None,
+    run: str | None = None,
+    page_size: int = PAGE_SIZE,
+    buckets: int = BUCKETS,
+    bulk: bool = True,
 ) -> None:
-    """Give candidates their ids and append them to the candidate table.
+    """Give candidates their pages and ids and add them to the candidate table.
 
     The page shows rows read back from the table: ids are drawn by the write, and
     recomputing the DataFrame would draw others. A repeated ``run`` replaces its rows.
+    A few pages need no ``bulk``, which shuffles once to write few files.
     """
+    run = uuid.uuid4().hex if run is None else run
     parked_at = F.current_timestamp() if parked_at is None else F.lit(as_utc(parked_at))
-    rows = with_ids(candidates).drop("ts").withColumn("parked_at", parked_at)
+    rows = in_pages(candidates, run, page_size).withColumn("parked_at", parked_at)
     if "predictedLabel" not in rows.columns:
         rows = rows.withColumn("predictedLabel", F.lit(None).cast("string"))
-    append_periods(rows, path, "parked_at", run=run)
+    rows = rows.select(*PREDICTION_CANDIDATE.names[1:], "page", "parked_at")
+    CandidateTable(rows.sparkSession, path).park(rows, run, buckets, bulk)
 
 
 def parked_candidates(
     spark: SparkSession,
     path: str,
     predictions: bool = False,
-    as_of: datetime | None = None,
-    lookback: timedelta | None = None,
+    wanted: DataFrame | None = None,
 ) -> DataFrame:
-    """The candidate table; with ``as_of`` and ``lookback`` only what was parked then."""
+    """The candidate table; of it, with ``wanted`` submissions, only what they can be about."""
     schema = PREDICTION_CANDIDATE if predictions else CANDIDATE
-    parked_at = T.StructField("parked_at", T.TimestampType())
-    stored = T.StructType([*PREDICTION_CANDIDATE.fields, parked_at])
-    if lookback is None:
-        parked = spark.read.schema(stored).parquet(path)
-    else:
-        parked = read_window(spark, path, stored, "parked_at", as_of, lookback)
-    return parked.select(*schema.names, "parked_at")
+    table = CandidateTable(spark, path)
+    parked = table.all() if wanted is None else table.holding(wanted)
+    return parked.select(*schema.names, "page", "parked_at")
 
 
 def record_answers(

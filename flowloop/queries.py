@@ -37,14 +37,23 @@ from flowloop.schemas import (
     FEATURES,
     PREDICTION_CANDIDATE,
     SCORED,
+    SCORED_MESSAGE,
     label_record,
     load_schema,
 )
 from flowloop.session import work_path
 from flowloop.sources import events as derived
-from flowloop.sources.messages import table_messages
+from flowloop.sources.messages import MESSAGE_ID, distinct_messages, table_messages
 from flowloop.sources.models import USER, VALIDATED, ModelPair, ModelStore
-from flowloop.sources.tables import append_periods, read_window
+from flowloop.sources.tables import (
+    Batch,
+    append_periods,
+    compact,
+    read_table,
+    read_window,
+    replace_batch,
+)
+from flowloop.streaming.answers import start_answers, submission_files
 from flowloop.streaming.registry import ModelRegistry
 from flowloop.streaming.scoring import file_sink, start_scoring
 
@@ -220,9 +229,56 @@ def unknown_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelling.unknown_submissions(answers, _parked_flows(spark, sf_dir)).select("id")
 
 
+# Ten events are a page. Of eight pages, six are answered, one is submitted without an answer and
+# one is never submitted.
+_PAGE = "event_id div 10"
+
+
 def default_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers = derived.submissions(_events(spark, sf_dir))
-    return labelling.with_default_answers(answers, _parked_flows(spark, sf_dir))
+    events = _events(spark, sf_dir)
+    answers = derived.submissions(events.filter(f"{_PAGE} % 4 <> 3"))
+    untouched = events.filter(f"{_PAGE} % 8 = 3").select(
+        F.lit(None).cast("bigint").alias("id"),
+        F.lit(None).cast("string").alias("answer"),
+        F.expr(f"cast({_PAGE} AS string)").alias("page"),
+    )
+    submitted = answers.withColumn("page", F.lit(None).cast("string"))
+    submitted = submitted.unionByName(untouched.distinct())
+    shown = _parked_flows(spark, sf_dir).withColumn("page", F.expr("cast(id div 10 AS string)"))
+    return labelling.with_default_answers(submitted, shown)
+
+
+def candidate_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Park every raw flow, then label the flows of one port by look-ups in the parked table."""
+    path = work_path(spark, "candidates")
+    rows = cand.live_candidates(_messages(spark, sf_dir), lookback=None, limit=None)
+    park_candidates(rows, path)
+    answers = parked_candidates(spark, path).filter("dest_port = 53").select(
+        "id", F.when(F.col("source_port") % 2 == 0, "true").otherwise("false").alias("answer")
+    )
+    found = parked_candidates(spark, path, wanted=answers)
+    return labelling.resolve_answers(answers, found).drop("id")
+
+
+def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Submissions as a stream of files over a parked table; all labels that it wrote."""
+    parked, source = work_path(spark, "candidates"), work_path(spark, "submissions")
+    park_candidates(cand.live_candidates(_messages(spark, sf_dir), lookback=None, limit=None), parked)
+    answers = parked_candidates(spark, parked).select(
+        "id", F.when(F.col("dest_port") == 53, "true").otherwise("false").alias("answer")
+    )
+    answers.repartition(FILES).write.json(source)
+    labels = work_path(spark, "labels")
+    query = start_answers(
+        submission_files(spark, source, files_per_trigger=FILES // 2),
+        parked,
+        labelling.USER_TOPIC,
+        labels,
+        work_path(spark, "checkpoint"),
+        trigger={"availableNow": True},
+    )
+    query.awaitTermination()
+    return read_table(spark, labels, label_record("label")).drop("id")
 
 
 def label_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -410,16 +466,24 @@ def strong_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _envelope(strong, "predictedLabel")
 
 
-def _stream(spark: SparkSession, sf_dir: str, published: dict, **options) -> DataFrame:
-    """All events as four files and micro-batches; ``published`` names, by batch, a pair that
-    becomes available just before it. Returns the scored table."""
+# Files that a table is written to as the source of a stream.
+FILES = 8
+
+
+def _stream(
+    spark: SparkSession, sf_dir: str, published: dict, sink: Callable | None = None, **options
+) -> str:
+    """All events as four micro-batches of many files; ``published`` names, by batch, a pair that
+    becomes available just before it. Returns the path of the scored table.
+
+    Each batch is one run of the stream, which resumes from its checkpoint.
+    """
     store = ModelStore(spark, work_path(spark, "models"))
     source = work_path(spark, "messages")
     rows = _messages(spark, sf_dir)
-    for part in range(4):
-        # A file stream takes files in the order of their times.
-        own = rows.filter(F.col("key").cast("bigint") % 4 == part)
-        own.coalesce(1).write.mode("append").parquet(source)
+    quarter = F.coalesce(F.pmod(F.col("key").cast("bigint"), F.lit(4)), F.lit(0))
+    dealt = rows.withColumn("quarter", quarter).repartition(FILES)
+    dealt.write.partitionBy("quarter").parquet(source)
 
     class Registry(ModelRegistry):
         def for_batch(self, batch_id):
@@ -427,23 +491,25 @@ def _stream(spark: SparkSession, sf_dir: str, published: dict, **options) -> Dat
                 self.store.publish(*published[batch_id])
             return super().for_batch(batch_id)
 
-    out = work_path(spark, "scored")
-    query = start_scoring(
-        table_messages(spark, source, rows.schema, streaming=True, files_per_trigger=1),
-        Registry(store, refresh_every=2),
-        file_sink(out, hours=24),
-        checkpoint=work_path(spark, "checkpoint"),
-        trigger={"availableNow": True},
-        **options,
-    )
-    query.awaitTermination()
-    return spark.read.parquet(out)
+    out, checkpoint = work_path(spark, "scored"), work_path(spark, "checkpoint")
+    registry = Registry(store, refresh_every=2)
+    for last in range(4):
+        query = start_scoring(
+            table_messages(spark, f"{source}/quarter=[0-{last}]", rows.schema, streaming=True),
+            registry,
+            sink or file_sink(out, hours=24),
+            checkpoint=checkpoint,
+            trigger={"availableNow": True},
+            **options,
+        )
+        query.awaitTermination()
+    return out
 
 
 def stream_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second version comes before batch 1 and is in use from batch 2, when the store is read."""
     pairs = [_pair(spark, sf_dir, label) for label in (PORT_LABEL, OTHER_LABEL)]
-    scored = _stream(spark, sf_dir, {0: (USER, pairs[0]), 1: (USER, pairs[1])})
+    scored = spark.read.parquet(_stream(spark, sf_dir, {0: (USER, pairs[0]), 1: (USER, pairs[1])}))
     body = _envelope(scored.filter(F.col("algo") == "rf"), "predictedLabel")
     return body.select("event_id", "predictedLabel")
 
@@ -451,7 +517,7 @@ def stream_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_strong(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The validated pair comes before batch 1: the strong topic opens with batch 2."""
     pair = _pair(spark, sf_dir)
-    scored = _stream(spark, sf_dir, {0: (USER, pair), 1: (VALIDATED, pair)})
+    scored = spark.read.parquet(_stream(spark, sf_dir, {0: (USER, pair), 1: (VALIDATED, pair)}))
     return scored.filter(F.col("topic") == STRONG_TOPIC).select(_event_id(), "algo")
 
 
@@ -463,6 +529,59 @@ def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select(_event_id(), "reason")
 
 
+def compacted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream's table whose closed periods were folded into one generation each, and whose
+    replaced files were removed; the writer's last batch stays as it is."""
+    path = _stream(spark, sf_dir, {0: (USER, _pair(spark, sf_dir))})
+    under = f"topic={PREDICTIONS_TOPIC}"
+    closed = AS_OF + timedelta(days=3650)
+    settings = {"hours": 24, "under": under, "kept": timedelta(0)}
+    for _ in range(2):
+        compact(spark, path, SCORED_MESSAGE, closed, DAY, **settings)
+    scored = read_table(spark, path, SCORED_MESSAGE, hours=24, under=under)
+    return scored.select(_event_id(), "algo")
+
+
+def shared_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two inputs scored into one table by writers of their own, one of them twice."""
+    pair, path = _pair(spark, sf_dir), work_path(spark, "scored")
+    odd = F.coalesce(F.pmod(F.col("key").cast("bigint"), F.lit(2)), F.lit(0)) == 1
+    messages = _messages(spark, sf_dir)
+    for writer, rows in (("odd", odd), ("even", ~odd), ("odd", odd)):
+        scored = score_table(messages.filter(rows), pair)
+        replace_batch(scored, path, "ts", Batch(writer), hours=24, backfill=True)
+    under = f"topic={PREDICTIONS_TOPIC}"
+    return read_table(spark, path, SCORED_MESSAGE, 24, under).select(_event_id(), "algo")
+
+
+def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of a stream whose batches were all published twice, read back as a stream that
+    drops repeats by their ids."""
+    sent = work_path(spark, "sent")
+
+    def sink(scored: DataFrame, batch: Batch) -> None:
+        for _ in range(2):
+            scored.select("key", "value", "ts", "topic", "algo", MESSAGE_ID).write.mode(
+                "append"
+            ).parquet(sent)
+
+    sink.wants_ids = True
+    _stream(spark, sf_dir, {0: (USER, _pair(spark, sf_dir))}, sink)
+    schema = spark.read.parquet(sent).schema
+    published = spark.readStream.schema(schema).parquet(sent)
+    out = work_path(spark, "distinct")
+    # The times of the table span a month, and its files are in no order of time.
+    query = (
+        distinct_messages(published, "60 days")
+        .writeStream.format("parquet")
+        .option("checkpointLocation", work_path(spark, "checkpoint"))
+        .trigger(availableNow=True)
+        .start(out)
+    )
+    query.awaitTermination()
+    return spark.read.parquet(out).select(_event_id(), "algo")
+
+
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train, publish, run the stream until the source is exhausted, read its sink."""
     store = ModelStore(spark, work_path(spark, "models"))
@@ -522,6 +641,8 @@ QUERIES = {
     "validated_labels": validated_labels,
     "unknown_submissions": unknown_submissions,
     "default_answers": default_answers,
+    "candidate_lookup": candidate_lookup,
+    "stream_answers": stream_answers,
     "label_messages": label_messages,
     "validated_label_messages": validated_label_messages,
     "candidate_parking": candidate_parking,
@@ -541,5 +662,8 @@ QUERIES = {
     "stream_refresh": stream_refresh,
     "stream_strong": stream_strong,
     "stream_rejects": stream_rejects,
+    "stream_distinct": stream_distinct,
+    "compacted_scores": compacted_scores,
+    "shared_table": shared_table,
     "active_loop": active_loop,
 }

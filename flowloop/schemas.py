@@ -49,7 +49,8 @@ CANDIDATE = _struct(
 )
 PREDICTION_CANDIDATE = T.StructType([*CANDIDATE.fields, T.StructField("predictedLabel", _STRING)])
 
-SUBMISSION = _struct(id=_LONG, answer=_STRING)
+# An answer, or with a null id the word that a page was submitted. Page and time may be missing.
+SUBMISSION = _struct(id=_LONG, answer=_STRING, page=_STRING, submitted_at=T.TimestampType())
 
 
 def label_record(label_col: str) -> T.StructType:

@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 from flowloop.functions import as_utc, in_window
 from flowloop.schemas import MESSAGE
 
+MESSAGE_ID = "message_id"
+
 # Fixed value: consumer poll timeout.
 POLL_TIMEOUT_MS = 10_000
 
@@ -18,9 +20,15 @@ def kafka_messages(
     servers: str,
     topic: str = "beats",
     streaming: bool = True,
+    with_ids: bool = False,
     **options: str,
 ) -> DataFrame:
-    """Messages of one topic; ``ts`` is the broker's message time."""
+    """Messages of one topic; ``ts`` is the broker's message time.
+
+    ``with_ids`` adds the ``message_id`` that the sink put into a header, null where there is none.
+    """
+    if with_ids:
+        options = {**options, "includeHeaders": "true"}
     reader = (spark.readStream if streaming else spark.read).format("kafka")
     raw = (
         reader.option("kafka.bootstrap.servers", servers)
@@ -29,15 +37,39 @@ def kafka_messages(
         .options(**options)
         .load()
     )
-    return raw.select(
+    columns = [
         F.col("key").cast("string"), F.col("value").cast("string"), F.col("timestamp").alias("ts")
-    )
+    ]
+    if with_ids:
+        own = F.filter("headers", lambda header: header["key"] == MESSAGE_ID)
+        columns.append(F.get(own, F.lit(0))["value"].cast("string").alias(MESSAGE_ID))
+    return raw.select(*columns)
+
+
+def distinct_messages(messages: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Messages of a stream or batch, each ``message_id`` once.
+
+    A stream keeps the ids of the last ``delay`` of message time, so its state is bounded; a repeat
+    that comes later than that is not known any more. Messages without an id are told apart by key,
+    time and text.
+    """
+    told = F.concat_ws("-", "key", F.unix_micros(F.col("ts").cast("timestamp")), F.sha2("value", 256))
+    named = messages.withColumn("ts", F.col("ts").cast("timestamp"))
+    named = named.withColumn(MESSAGE_ID, F.coalesce(MESSAGE_ID, told))
+    if not messages.isStreaming:
+        return named.dropDuplicates([MESSAGE_ID])
+    return named.withWatermark("ts", delay).dropDuplicatesWithinWatermark([MESSAGE_ID])
 
 
 def topic_window(
-    spark: SparkSession, servers: str, topic: str, as_of: datetime, lookback: timedelta
+    spark: SparkSession,
+    servers: str,
+    topic: str,
+    as_of: datetime,
+    lookback: timedelta,
+    distinct: bool = False,
 ) -> DataFrame:
-    """The messages of ``[as_of - lookback, as_of)`` as a batch.
+    """The messages of ``[as_of - lookback, as_of)`` as a batch; ``distinct`` drops repeats.
 
     The broker finds the first offset, so older messages are never read. Times need
     not rise along a partition where several producers write: messages of the window
@@ -52,8 +84,10 @@ def topic_window(
         streaming=False,
         startingTimestamp=first,
         startingOffsetsByTimestampStrategy="latest",
+        with_ids=distinct,
     )
-    return messages.filter(in_window(messages, "ts", as_of, lookback))
+    window = messages.filter(in_window(messages, "ts", as_of, lookback))
+    return distinct_messages(window).drop(MESSAGE_ID) if distinct else window
 
 
 def table_messages(
@@ -73,9 +107,17 @@ def table_messages(
 
 
 def write_kafka(messages: DataFrame, servers: str, **options: str) -> None:
-    """Publish ``(key, value, topic)`` rows; each row names its own topic."""
+    """Publish ``(key, value, topic)`` rows; each row names its own topic.
+
+    A ``message_id`` goes with them as a header.
+    """
+    columns = ["key", "value", "topic"]
+    if MESSAGE_ID in messages.columns:
+        own = F.struct(F.lit(MESSAGE_ID).alias("key"), F.col(MESSAGE_ID).cast("binary").alias("value"))
+        messages = messages.withColumn("headers", F.array(own))
+        columns.append("headers")
     (
-        messages.select("key", "value", "topic")
+        messages.select(*columns)
         .write.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .options(**options)

@@ -13,47 +13,63 @@ from flowloop.operators.normalize import DOTTED_QUAD, LAST_WINS, with_flow_colum
 from flowloop.operators.scoring import score_messages
 from flowloop.schemas import BEATS
 from flowloop.sources.messages import write_kafka
-from flowloop.sources.tables import replace_batch
+from flowloop.sources.tables import Batch, replace_batch, writer_of
+from flowloop.streaming.drain import check_drain
 from flowloop.streaming.registry import ModelRegistry
 
-Sink = Callable[[DataFrame, int], None]
+Sink = Callable[[DataFrame, Batch], None]
 
 # Name of the per-batch counts in the query's progress reports.
 FLOW_COUNTS = "flow_counts"
 
 
 def file_sink(path: str, hours: int = 1) -> Sink:
-    """Scored messages as a table; a repeated batch replaces itself."""
-    return lambda scored, batch_id: replace_batch(scored, path, "ts", batch_id, hours)
+    """Scored messages as a table; a repeated batch replaces itself, and no other writer's."""
+    return lambda scored, batch: replace_batch(scored, path, "ts", batch, hours)
 
 
 def kafka_sink(servers: str, **options: str) -> Sink:
-    """Scored messages to their topics; a repeated batch is published again."""
-    return lambda scored, batch_id: write_kafka(scored, servers, **options)
+    """Scored messages to their topics; a repeated batch is published again, under the same ids.
+
+    ``distinct_messages`` drops the repeats on the reading side.
+    """
+
+    def sink(scored: DataFrame, batch: Batch) -> None:
+        write_kafka(scored, servers, **options)
+
+    sink.wants_ids = True
+    return sink
 
 
 def batch_scorer(
     registry: ModelRegistry,
     sink: Sink,
+    writer: str,
     strong_scorer: str = "validated",
     rejects: Sink | None = None,
+    stop_marker: str | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """The ``foreachBatch`` callback: one narrow pass and one write per micro-batch.
 
-    With ``rejects``, messages that give no flow go there as ``(key, ts, reason)``; the parsed
+    ``writer`` names the stream in its sinks. A batch that finds ``stop_marker`` does nothing and
+    ends the stream: it is not committed, and the next start begins with it. With ``rejects``, messages that give no flow go there as ``(key, ts, reason)``; the parsed
     batch is kept for both writes.
     """
 
     def score_batch(flows: DataFrame, batch_id: int) -> None:
+        if stop_marker is not None:
+            check_drain(flows.sparkSession, stop_marker)
         user, validated = registry.for_batch(batch_id)
+        batch = Batch(writer, batch_id)
         if rejects is not None:
             flows = flows.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             usable = flows.filter(F.col("reason").isNull()).drop("reason")
-            sink(score_messages(usable, user, validated, strong_scorer), batch_id)
+            name = f"{writer}-{batch_id}" if getattr(sink, "wants_ids", False) else None
+            sink(score_messages(usable, user, validated, strong_scorer, batch=name), batch)
             if rejects is not None:
                 rejected = flows.filter(F.col("reason").isNotNull())
-                rejects(rejected.select("key", "ts", "reason"), batch_id)
+                rejects(rejected.select("key", "ts", "reason"), batch)
         finally:
             flows.unpersist()
 
@@ -71,10 +87,12 @@ def start_scoring(
     trigger: dict | None = None,
     rejects: Sink | None = None,
     schema: T.StructType = BEATS,
+    stop_marker: str | None = None,
 ) -> StreamingQuery:
-    """Start scoring a message stream; call ``awaitTermination()`` to block.
+    """Start scoring a message stream; call ``awaitTermination()`` to block, or ``drained`` to
+    end it with a whole batch when ``stop_marker`` appears.
 
-    Messages are parsed and classified once, ahead of ``foreachBatch``; the counts
+    The checkpoint stands for the writer that the sinks know the stream by. Messages are parsed and classified once, ahead of ``foreachBatch``; the counts
     of messages and of rejected ones appear in each batch's progress report.
     """
     flows = with_flow_columns(decode(messages, schema), mode, form).observe(
@@ -82,7 +100,8 @@ def start_scoring(
         F.count(F.lit(1)).alias("messages"),
         F.count("reason").alias("rejected"),
     )
-    scorer = batch_scorer(registry, sink, strong_scorer, rejects)
+    writer_id = writer_of(messages.sparkSession, checkpoint)
+    scorer = batch_scorer(registry, sink, writer_id, strong_scorer, rejects, stop_marker)
     writer = flows.writeStream.foreachBatch(scorer)
     if trigger:
         writer = writer.trigger(**trigger)

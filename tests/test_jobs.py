@@ -75,7 +75,7 @@ def test_the_whole_loop(spark, paths):
     assert parked.count() == 300
     assert parked.filter("predictedLabel <> cast(cast(dest_port = 53 AS int) AS string)").count() == 0
     _run("answer", "--submissions", answers("validated"), "--candidates", paths["candidates"],
-         "--labels", paths["validated"], "--kind", "validated", "--parked-hours", "2", minute=1)
+         "--labels", paths["validated"], "--kind", "validated", minute=1)
     _run("train", "--user-labels", paths["labels"], "--validated-labels", paths["validated"],
          "--models", paths["models"], minute=2)
     assert store.latest(USER) == 2 and store.latest(VALIDATED) == 1
@@ -110,6 +110,78 @@ def test_a_repeated_answer_replaces_its_labels(spark, paths, tmp_path):
     assert [row.id for row in spark.read.json(str(tmp_path / "rejects")).collect()] == [-1]
 
 
+def test_default_answers_stay_on_their_page(spark, paths, tmp_path):
+    """Of two parked pages one is answered; the other's candidates get no label. A retry, at
+    another time, replaces the labels, also where it has fewer."""
+    for run in ("one", "two"):
+        _run("park", "--table", paths["raw"], "--candidates", paths["candidates"], "--run-id", run)
+    parked = spark.read.parquet(paths["candidates"])
+    pages = {r.page: r["count"] for r in parked.groupBy("page").count().collect()}
+    assert sorted(pages.values()) == [10, 10]
+    two = max(pages)
+    one = parked.filter(F.col("page") == two).first().id
+    answers = tmp_path / "answers.json"
+    argv = ("answer", "--submissions", str(answers), "--candidates", paths["candidates"],
+            "--labels", paths["labels"])
+    for minute in (1, 200):
+        answers.write_text(json.dumps({"id": one, "answer": "true"}))
+        _run(*argv, "--default-answer", "false", minute=minute)
+        labels = spark.read.parquet(paths["labels"]).collect()
+        on_page = {r.id for r in parked.filter(F.col("page") == two).collect()}
+        assert {r.id for r in labels} == on_page and len(labels) == 10
+        assert [r.id for r in labels if r.label] == [one]
+    answers.write_text("")
+    _run(*argv, minute=400)
+    assert spark.read.schema("id bigint").parquet(paths["labels"]).count() == 0
+
+
+def test_two_inputs_share_a_table(spark, paths, pair, tmp_path):
+    ModelStore(spark, paths["models"]).publish(USER, pair)
+    other = str(tmp_path / "other")
+    spark.read.parquet(paths["messages"]).filter("key < '5'").write.parquet(other)
+    counts = []
+    for source in (paths["messages"], other, paths["messages"], other):
+        _run("score", "--messages", source, "--models", paths["models"], "--out", paths["scored"])
+        counts.append(spark.read.parquet(paths["scored"]).count())
+    assert counts[0] < counts[1] == counts[2] == counts[3]
+
+
+def test_answers_as_a_stream(spark, paths, tmp_path):
+    """Labels, unknown and late answers; a restart adds what is new and a page's defaults."""
+    _run("park", "--table", paths["raw"], "--candidates", paths["candidates"], "--limit", "30",
+         "--page-size", "10")
+    parked = spark.read.parquet(paths["candidates"]).orderBy("page", "id").collect()
+    assert len({r.page for r in parked}) == 3
+    folder, rejects = tmp_path / "submissions", str(tmp_path / "rejects")
+    folder.mkdir()
+
+    def submit(name, *rows):
+        (folder / name).write_text("\n".join(json.dumps(row) for row in rows))
+
+    def label(**more):
+        _run("answers", "--submissions", str(folder), "--candidates", paths["candidates"],
+             "--labels", paths["labels"], "--checkpoint", paths["checkpoint"], "--available-now",
+             "--rejects", rejects, "--late-hours", "24", "--default-answer", "false")
+
+    soon, late = "2024-01-30T13:00:00Z", "2024-02-02T00:00:00Z"
+    submit("a.json", {"id": parked[0].id, "answer": "true", "submitted_at": soon},
+           {"id": -1, "answer": "true", "submitted_at": soon},
+           {"id": parked[10].id, "answer": "true", "submitted_at": late})
+    label()
+    labels = spark.read.parquet(paths["labels"])
+    # The defaults of a page have the time of the batch, which is years after parking.
+    assert [(r.id, r.label) for r in labels.collect()] == [(parked[0].id, 1)]
+    assert labels.first().labelled_at == datetime(2024, 1, 30, 13)
+    told = spark.read.parquet(rejects).groupBy("reason").count().collect()
+    assert {r.reason: r["count"] for r in told} == {"unknown": 1, "late": 1 + 9 + 9}
+    label()
+    submit("b.json", {"id": parked[1].id, "answer": "no", "submitted_at": soon})
+    label()
+    assert {r.id: r.label for r in spark.read.parquet(paths["labels"]).collect()} == {
+        parked[0].id: 1, parked[1].id: 0
+    }
+
+
 def test_rejects_and_schema_of_a_stored_table(spark, paths, pair, tmp_path):
     ModelStore(spark, paths["models"]).publish(USER, pair)
     (tmp_path / "schema.json").write_text(BEATS.json())
@@ -186,6 +258,7 @@ def broker(spark, monkeypatch):
                 F.col("key").cast("binary"),
                 F.col("value").cast("binary"),
                 F.col("ts").alias("timestamp"),
+                F.expr("cast(null AS array<struct<key: string, value: binary>>) AS headers"),
             )
 
     load = DataFrameReader.format
@@ -215,7 +288,9 @@ def test_a_topic_window_is_exact(spark, broker):
 def test_the_loop_over_topics(spark, paths, pair, broker):
     messages = spark.read.parquet(paths["messages"])
     scored = score_messages(normalize_flows(decode(messages)), pair)
-    broker["beats"], broker["model_predictions"] = messages, scored
+    broker["beats"] = messages
+    # A batch that was published twice: the candidates are the same.
+    broker["model_predictions"] = scored.unionByName(scored)
     for kind in ("live", "predictions"):
         _run("park", "--servers", "h", "--candidates", paths["candidates"], "--kind", kind, "--limit", "99")
     parked = spark.read.parquet(paths["candidates"])

@@ -1,9 +1,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from flowloop.operators.decode import decode
+from flowloop.operators.normalize import with_flow_columns
 from flowloop.plans.score import score_table
-from flowloop.sources.messages import table_messages
-from flowloop.sources.models import USER, VALIDATED, ModelStore
+from flowloop.sources.messages import distinct_messages, table_messages
+from flowloop.sources.models import USER, VALIDATED, ModelPair, ModelStore
+from flowloop.streaming.drain import drained
 from flowloop.streaming.registry import ModelRegistry
 from flowloop.streaming.scoring import FLOW_COUNTS, batch_scorer, file_sink, start_scoring
 
@@ -26,7 +29,7 @@ def job(spark, messages, pair, tmp_path):
                 stream,
                 options.pop("registry", None) or ModelRegistry(store),
                 options.pop("sink", None) or file_sink(out, hours=24),
-                str(tmp_path / "checkpoint"),
+                options.pop("checkpoint", None) or str(tmp_path / "checkpoint"),
                 trigger={"availableNow": True},
                 **options,
             )
@@ -65,10 +68,7 @@ def test_restart_resumes_from_the_checkpoint(messages, job):
 
 
 def test_a_repeated_batch_replaces_itself(messages, job):
-    from flowloop.operators.decode import decode
-    from flowloop.operators.normalize import with_flow_columns
-
-    score = batch_scorer(ModelRegistry(job.store), file_sink(job.out, hours=24))
+    score = batch_scorer(ModelRegistry(job.store), file_sink(job.out, hours=24), "w")
     first = with_flow_columns(decode(messages.filter("ts < '2024-01-15'")))
     second = with_flow_columns(decode(messages.filter("ts >= '2024-01-14'")))
     score(first, 0)
@@ -80,20 +80,17 @@ def test_a_repeated_batch_replaces_itself(messages, job):
 
 def test_a_replay_without_the_validated_pair_leaves_no_strong_rows(spark, messages, pair, job):
     """The first run scored with a validated pair, the repeated one could not load it."""
-    from flowloop.operators.decode import decode
-    from flowloop.operators.normalize import with_flow_columns
-
     flows = with_flow_columns(decode(messages))
     first = ModelRegistry(job.store)
     job.store.publish(VALIDATED, pair)
-    batch_scorer(first, file_sink(job.out, hours=24))(flows, 7)
-    batch_scorer(first, file_sink(job.out, hours=24))(flows, 8)
+    batch_scorer(first, file_sink(job.out, hours=24), "w")(flows, 7)
+    batch_scorer(first, file_sink(job.out, hours=24), "w")(flows, 8)
     assert set(spark.read.parquet(job.out).select("topic").distinct().toPandas().topic) == {
         "model_predictions", "strong_predictions"
     }
     later = ModelRegistry(job.store)
     later.for_batch = lambda batch_id: (pair, None)
-    batch_scorer(later, file_sink(job.out, hours=24))(flows, 7)
+    batch_scorer(later, file_sink(job.out, hours=24), "w")(flows, 7)
     strong = spark.read.parquet(job.out).filter("topic = 'strong_predictions'")
     assert {row.batch_id for row in strong.select("batch_id").distinct().collect()} == {8}
 
@@ -115,10 +112,10 @@ def test_a_batch_that_failed_after_writing_is_repeated_whole(spark, messages, pa
     attempts = []
     write = file_sink(job.out, hours=24)
 
-    def failing(scored, batch_id):
-        write(scored, batch_id)
-        attempts.append(batch_id)
-        if attempts.count(2) == 1 and batch_id == 2:
+    def failing(scored, batch):
+        write(scored, batch)
+        attempts.append(batch.number)
+        if attempts.count(2) == 1 and batch.number == 2:
             raise OSError("lost after the write")
 
     with pytest.raises(Exception, match="lost after the write"):
@@ -127,3 +124,108 @@ def test_a_batch_that_failed_after_writing_is_repeated_whole(spark, messages, pa
     assert attempts == [0, 1, 2, 2, 3]
     expected = score_table(messages, pair).select("key", "ts", "topic", "algo", "value")
     assert _same(job.rows(), expected)
+
+
+def test_two_checkpoints_write_into_one_table(spark, messages, pair, job, tmp_path):
+    """Another stream's batches of the same numbers stay; a checkpoint keeps its writer."""
+    job.run()
+    once = job.rows().count()
+    job.run(checkpoint=str(tmp_path / "other"))
+    assert job.rows().count() == 2 * once
+    job.run()
+    assert job.rows().count() == 2 * once
+    assert spark.read.parquet(job.out).select("writer").distinct().count() == 2
+    marks = [list((tmp_path / "scored" / "_writers").glob("*/*"))]
+    # One note a writer, however many batches it wrote.
+    assert [path.name for path in marks[0] if not path.name.startswith(".")] == ["3", "3"]
+
+
+def test_a_stop_marker_ends_the_stream_with_a_whole_batch(spark, messages, pair, job, tmp_path):
+    marker = tmp_path / "stop"
+    write = file_sink(job.out, hours=24)
+
+    def sink(scored, batch):
+        write(scored, batch)
+        if batch.number == 1:
+            marker.touch()
+
+    stream = table_messages(spark, job.source, messages.schema, streaming=True, files_per_trigger=1)
+    settings = {"checkpoint": str(tmp_path / "checkpoint"), "stop_marker": str(marker)}
+    query = start_scoring(stream, ModelRegistry(job.store), sink, **settings)
+    assert drained(query, str(marker), 0.2)
+    assert not query.isActive
+    numbers = {r.batch_id for r in spark.read.parquet(job.out).select("batch_id").distinct().collect()}
+    assert numbers == {0, 1}
+    # A start that still finds the marker does nothing.
+    query = start_scoring(stream, ModelRegistry(job.store), sink, **settings)
+    assert drained(query, str(marker), 0.2)
+    marker.unlink()
+    job.run()
+    expected = score_table(messages, pair).select("key", "ts", "topic", "algo", "value")
+    assert _same(job.rows(), expected)
+
+
+def test_an_idle_stream_is_drained_and_a_failed_one_is_not(spark, messages, job, tmp_path):
+    marker = tmp_path / "stop"
+    stream = table_messages(spark, job.source, messages.schema, streaming=True)
+    settings = {"checkpoint": str(tmp_path / "checkpoint"), "stop_marker": str(marker)}
+    query = start_scoring(stream, ModelRegistry(job.store), file_sink(job.out), **settings)
+    query.processAllAvailable()
+    before = job.rows().count()
+    marker.touch()
+    assert drained(query, str(marker), 0.2) and job.rows().count() == before
+
+    def failing(scored, batch):
+        raise OSError("no space")
+
+    marker.unlink()
+    settings["checkpoint"] = str(tmp_path / "another")
+    query = start_scoring(stream, ModelRegistry(job.store), failing, **settings)
+    with pytest.raises(Exception, match="no space"):
+        drained(query, str(marker), 0.2)
+
+
+def test_replayed_messages_are_read_once_with_bounded_state(spark, pair, job, messages, tmp_path):
+    """A batch published twice, the second time by other models, gives each prediction once."""
+    sent = str(tmp_path / "sent")
+    columns = ["key", "value", "ts", "topic", "algo", "message_id"]
+    flows = with_flow_columns(decode(messages))
+
+    def publish(scored, batch):
+        at = F.timestamp_seconds(F.lit(1_700_000_000 + 7200 * published["times"]))
+        rows = scored.withColumn("ts", at).select(*columns)
+        rows.coalesce(1).write.mode("append").parquet(sent)
+        published["times"] += 1
+
+    publish.wants_ids = True
+    published = {"times": 0}
+    score = batch_scorer(ModelRegistry(job.store), publish, "w")
+    score(flows, 0)
+    # The replay scores with other models: its texts differ, its ids do not.
+    other = ModelRegistry(job.store)
+    other.for_batch = lambda batch_id: (ModelPair(pair.kmeans, pair.forest, 9), pair)
+    batch_scorer(other, publish, "w")(flows, 0)
+    for batch in range(1, 5):
+        score(flows.filter(F.pmod(F.col("key").cast("bigint"), F.lit(4)) == batch - 1), batch)
+    read = (
+        spark.readStream.schema(spark.read.parquet(sent).schema)
+        .option("maxFilesPerTrigger", 1)
+        .parquet(sent)
+    )
+    once = distinct_messages(read, "3 hours")
+    out = str(tmp_path / "distinct")
+    query = (
+        once.writeStream.format("parquet")
+        .option("checkpointLocation", str(tmp_path / "distinct_checkpoint"))
+        .trigger(availableNow=True)
+        .start(out)
+    )
+    query.awaitTermination()
+    got = spark.read.parquet(out)
+    predictions = got.filter("topic = 'model_predictions'")
+    whole = score_table(messages, pair).count()
+    # Batch 0 once, and batches 1 to 4 together once more.
+    assert predictions.count() == 2 * whole
+    assert got.select("message_id").distinct().count() == got.count()
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert states[-1] < max(states) < got.count()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloop.llm.common import rows_of, short_batches, texts
+from flowloop.llm.common import rows_of, short_batches, texts, written
 from flowloop.llm.word_bpe import loaded
 from flowloop.session import work_path
 
@@ -137,7 +137,8 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: Sequence[int] | None =
     # One row a file.
     earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     first = F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("first")
-    firsts = sizes.select("file", first)
+    # Written, its size is known: the join broadcasts it while it is small, and no ids are shuffled.
+    firsts = written(sizes.select("file", first), "file_starts")
     if doc_ids is not None:
         files = files.filter(F.col("doc_id").isin(list(doc_ids)))
     start = (F.col("first") + F.col("before")).alias("start")

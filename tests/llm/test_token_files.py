@@ -112,6 +112,9 @@ def test_files(spark, sample):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
+    # No ids are shuffled to learn where a file starts.
+    assert "BroadcastHashJoin" in plan_of(files.read_tokens(spark, path))
+
     wanted = [1000 * 17 + 3, 1000 * 150, 5, 999]
     looked_up = files.read_tokens(spark, path, wanted)
     assert "PushedFilters: [In(doc_id" in plan_of(looked_up).replace("IsNotNull(doc_id), ", "")

@@ -37,7 +37,10 @@ from flowloop.streaming.scoring import file_sink, start_scoring
 def plain_flows(messages):
     @F.udf("bigint")
     def number(text):
-        return int(ipaddress.IPv4Address(text)) if text else None
+        try:
+            return int(ipaddress.IPv4Address(text))
+        except ValueError:
+            return None
 
     parsed = messages.select("key", F.from_json("value", BEATS).alias("data"))
     ends = {
@@ -49,7 +52,7 @@ def plain_flows(messages):
     for name in ends:
         flows = flows.filter(F.col(name).isNotNull())
     for name in ("source_ip", "dest_ip"):
-        flows = flows.withColumn(name, number(name))
+        flows = flows.withColumn(name, number(name)).filter(F.col(name).isNotNull())
     return flows
 
 
@@ -98,7 +101,7 @@ def main(sf_dir: str = "/root/testdata/sf0.1", copies: str = "20", cpus: str = "
     results = {"messages": messages.count(), "cpus": int(cpus)}
 
     labels = queries._labels(spark, sf_dir, queries.PORT_LABEL)
-    data = training_set(labels, queries.END, queries.ALWAYS).persist()
+    data = training_set(labels, lookback=None).persist()
     results["training_rows"] = data.count()
     results["fit_kmeans"] = timed(lambda: fit_kmeans(data))
     results["fit_forest"] = timed(lambda: fit_forest(data))

@@ -1,8 +1,10 @@
 """Training sets and model fits."""
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from datetime import datetime, timedelta
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -21,6 +23,10 @@ TREES = 10
 MAX_CATEGORIES = 4
 SEED = 1
 
+# Rows of one part of a training set, and copies of one row that stay together.
+PART_ROWS = 100_000
+CHUNK = 10_000
+
 
 def training_set(
     labels: DataFrame,
@@ -42,6 +48,40 @@ def training_set(
     return assemble(rows.dropna().filter(F.col("label").isin(0, 1)), feature_cols)
 
 
+@contextmanager
+def in_fixed_order(
+    data: DataFrame, feature_cols: Sequence[str] = FEATURES, part_rows: int = PART_ROWS
+) -> Iterator[DataFrame]:
+    """Features, and ``label`` if there is one, in a layout that depends on nothing but the rows.
+
+    Fits draw samples and initial centres by partition and place in it, so the layout decides what
+    they learn. Rows are dealt by their content to a number of parts that follows their number, and
+    sorted there: any input layout gives the same models. Equal rows travel as one with their
+    number and become rows again in chunks, so a row with most of the copies fills many parts.
+    The rows are kept, with spilling, while the context is open.
+    """
+    columns = [*feature_cols, *(c for c in ("label",) if c in data.columns)]
+    counted = data.groupBy(*columns).agg(F.count("*").alias("n"))
+    counted = counted.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        total = counted.agg(F.sum("n")).first()[0] or 0
+        parts = max(1, -(-total // part_rows))
+        last = F.floor((F.col("n") - 1) / CHUNK).cast("bigint")
+        chunks = F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("chunk")
+        spread = counted.select("*", chunks).repartition(parts, *columns, "chunk")
+        copies = F.least(F.lit(CHUNK), F.col("n") - F.col("chunk") * CHUNK).cast("int")
+        rows = spread.sortWithinPartitions(*columns, "chunk")
+        rows = rows.select(*columns, F.explode(F.array_repeat(F.lit(0), copies)))
+        laid_out = assemble(rows.select(*columns), feature_cols)
+        laid_out = laid_out.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            yield laid_out
+        finally:
+            laid_out.unpersist()
+    finally:
+        counted.unpersist()
+
+
 def enough_points(data: DataFrame, k: int = CLUSTERS) -> bool:
     """Whether there are at least ``k`` distinct feature rows."""
     return data.select("features").distinct().limit(k).count() >= k

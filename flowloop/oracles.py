@@ -208,6 +208,9 @@ SELECT event_id, min(event_id) OVER (PARTITION BY dest_port = 53) AS group_id FR
 """,
     "kmeans_nearest": f"""
 SELECT event_id, true AS is_nearest, 10::BIGINT AS centres_used FROM ({_WHOLE})
+""",
+    "model_layouts": f"""
+SELECT event_id, true AS same_cluster, true AS same_votes FROM ({_WHOLE})
 """,
     "model_roundtrip": _PREDICTED,
     "score_envelope": _messages("model_predictions"),

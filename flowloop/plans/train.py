@@ -5,7 +5,7 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta
 from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 
 from flowloop.operators.training import (
@@ -14,6 +14,7 @@ from flowloop.operators.training import (
     enough_points,
     fit_forest,
     fit_kmeans,
+    in_fixed_order,
     training_set,
 )
 from flowloop.schemas import FEATURES
@@ -36,15 +37,17 @@ def fit_pair(data: DataFrame) -> ModelPair:
     return ModelPair(kmeans, forest)
 
 
-def train_pair(data: DataFrame, store: ModelStore, name: str) -> TrainResult:
-    """Fit and publish one pair; too little data publishes nothing, a failed fit raises."""
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        if not enough_points(data):
+def train_pair(
+    data: DataFrame, store: ModelStore, name: str, feature_cols: Sequence[str] = FEATURES
+) -> TrainResult:
+    """Fit and publish one pair; too little data publishes nothing, a failed fit raises.
+
+    The same rows give the same models, however they are partitioned.
+    """
+    with in_fixed_order(data, feature_cols) as laid_out:
+        if not enough_points(laid_out):
             return TrainResult(reason=f"fewer than {CLUSTERS} distinct feature rows")
-        return TrainResult(version=store.publish(name, fit_pair(data)))
-    finally:
-        data.unpersist()
+        return TrainResult(version=store.publish(name, fit_pair(laid_out)))
 
 
 def train_all(
@@ -67,4 +70,4 @@ def train_all(
         for name, (rows, label) in labels.items()
         if rows is not None
     }
-    return {name: train_pair(data, store, name) for name, data in sets.items()}
+    return {name: train_pair(data, store, name, feature_cols) for name, data in sets.items()}

@@ -8,7 +8,6 @@ from collections.abc import Callable
 from datetime import datetime, timedelta
 from functools import partial
 
-from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,12 +99,9 @@ def _training_data(spark: SparkSession, sf_dir: str, label: str = PORT_LABEL) ->
 
 
 def _fitted(data: DataFrame, fit: Callable):
-    """``fit(data)``, with the training rows decoded once for all its passes."""
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return fit(data)
-    finally:
-        data.unpersist()
+    """``fit(data)`` in a layout of its own, with the rows decoded once for all passes."""
+    with training.in_fixed_order(data) as laid_out:
+        return fit(laid_out)
 
 
 def _pair(spark: SparkSession, sf_dir: str, label: str = PORT_LABEL) -> ModelPair:
@@ -399,6 +395,21 @@ def kmeans_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def model_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether models of two layouts of the same rows agree on every flow, with all ten clusters."""
+    data = _training_data(spark, sf_dir, ERROR_LABEL)
+    keyed = data.repartition(7, "source_port")
+    first, second = (_fitted(rows, fit_pair) for rows in (data.coalesce(1), keyed))
+    flows = assemble(_flows(spark, sf_dir))
+    scored = score_kmeans(score_kmeans(flows, first.kmeans, "a_"), second.kmeans, "b_")
+    scored = score_forest(score_forest(scored, first.forest, "c_"), second.forest, "d_")
+    return scored.select(
+        _event_id(),
+        (F.col("a_prediction") == F.col("b_prediction")).alias("same_cluster"),
+        (vector_to_array("c_probability") == vector_to_array("d_probability")).alias("same_votes"),
+    )
+
+
 def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = ModelStore(spark, work_path(spark, "models"))
     version = store.publish(USER, _pair(spark, sf_dir))
@@ -654,6 +665,7 @@ QUERIES = {
     "rf_probability": rf_probability,
     "kmeans_score": kmeans_score,
     "kmeans_nearest": kmeans_nearest,
+    "model_layouts": model_layouts,
     "model_roundtrip": model_roundtrip,
     "score_envelope": score_envelope,
     "message_body": message_body,

@@ -1,7 +1,10 @@
 """The command line jobs, end to end over tables; and the topic connector's options."""
 
 import json
+import subprocess
+import sys
 from datetime import UTC, datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import DataFrameReader, DataFrameWriter
@@ -17,6 +20,7 @@ from flowloop.schemas import BEATS, label_record
 from flowloop.sources.messages import kafka_messages, topic_window, write_kafka
 from flowloop.sources.models import USER, VALIDATED, ModelStore
 from flowloop.sources.tables import append_periods
+from tests.conftest import SF_DIR
 
 NOW = datetime(2024, 1, 30, 12, tzinfo=UTC)
 
@@ -315,3 +319,26 @@ def test_topic_sink_columns(messages, pair, monkeypatch):
         "kafka.bootstrap.servers": "host:9092",
         "columns": ["key", "value", "topic"],
     }
+
+
+def test_the_comparison_benchmark_runs(spark, monkeypatch, capsys):
+    from benchmarks import compare
+
+    monkeypatch.setattr(compare, "timed", lambda action, runs=1: (action(), 0.0)[1])
+    compare.main(SF_DIR, "1", "2")
+    told = json.loads(capsys.readouterr().out.strip().split("\n")[-1])
+    assert told["messages"] == 1000 and told["training_rows"] > 0 and told["micro_batch_rows"] > 0
+
+
+def test_the_entry_survives_a_missing_library(tmp_path):
+    """In a process where a text operator's library cannot be imported, the core queries are there."""
+    code = (
+        "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e;"
+        " print(len(e.queries()), 'rf_score' in e.queries(), 'pipeline' in e.queries())"
+    )
+    root = str(Path(__file__).resolve().parent.parent)
+    done = subprocess.run(
+        [sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True
+    )
+    count, scored, piped = done.stdout.split()[-3:]
+    assert int(count) >= 40 and scored == "True" and piped == "False"

@@ -10,8 +10,9 @@ from flowloop.operators.decode import decode
 from flowloop.operators.features import assemble
 from flowloop.operators.normalize import normalize_flows
 from flowloop.operators.scoring import score_forest, score_kmeans
-from flowloop.operators.training import enough_points, fit_forest, training_set
-from flowloop.plans.train import train_all
+from flowloop.operators import training
+from flowloop.operators.training import enough_points, fit_forest, in_fixed_order, training_set
+from flowloop.plans.train import fit_pair, train_all
 from flowloop.sources.models import USER, VALIDATED, ModelStore
 from tests.conftest import plan_of
 
@@ -104,6 +105,34 @@ def test_forest_is_repeatable(spark):
     assert first.stages[2].getNumTrees == 10
 
 
+def test_models_do_not_depend_on_the_layout(spark, messages):
+    """The same centres and trees from 1, 4 and 37 partitions, one row with a third of all copies."""
+    flows = normalize_flows(decode(messages)).limit(600)
+    label = (F.crc32(F.col("key")) % 3 == 0).cast("int").alias("label")
+    rows = flows.select("source_ip", "source_port", "dest_ip", "dest_port", label).cache()
+    hot = rows.orderBy("source_ip").limit(1).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(300))))
+    rows = assemble(rows.unionByName(hot.drop("n"))).cache()
+    seen = []
+    for parts in (rows.coalesce(1), rows.repartition(4), rows.repartition(37, "dest_port")):
+        with in_fixed_order(parts, part_rows=100) as laid_out:
+            sizes = laid_out.groupBy(F.spark_partition_id()).count().collect()
+            pair = fit_pair(laid_out)
+        assert sum(r["count"] for r in sizes) == 900 and len(sizes) > 4
+        centres = [tuple(centre) for centre in pair.kmeans.clusterCenters()]
+        seen.append((centres, pair.forest.stages[2].toDebugString.split("\n")[1:]))
+    assert seen[0] == seen[1] == seen[2] and len(seen[0][0]) == 10
+
+
+def test_copies_of_one_row_fill_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(training, "CHUNK", 10)
+    one = training_set(_many(spark, 1), AS_OF).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(999))))
+    with in_fixed_order(one.drop("n"), part_rows=100) as laid_out:
+        sizes = [r["count"] for r in laid_out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 999 and max(sizes) < 300
+    with in_fixed_order(one.limit(0)) as laid_out:
+        assert laid_out.count() == 0
+
+
 def test_labels_are_indexed_by_falling_frequency(spark):
     model = fit_forest(training_set(_many(spark, 100), AS_OF))
     assert list(model.stages[0].labels) == ["0", "1"]

@@ -8,6 +8,14 @@ words. Words repeat, so a worker remembers the ids and bytes of many.
 
 The rank file is checked when it is loaded: every token must come apart into exactly two tokens of
 lower rank. Then a contraction never brings up a pair of lower rank than its own.
+
+A query keeps the rows of all its rounds, so words go into queries by the work they make, which
+grows with the square of their length. Words of more than ``LONG`` bytes are cut into pieces, which
+are contracted like words, and spliced. Two tokens that follow each other are compatible if their
+bytes alone contract to just these two. A sequence of tokens is the word's if all neighbours are
+compatible: the first contraction across a border would also come about in the two tokens alone.
+Where a splice makes neighbours that are not, the tokens around are contracted anew, in windows that
+widen until all are.
 """
 
 import base64
@@ -26,14 +34,20 @@ from pyspark.sql import types as T
 
 from flowloop.llm.common import rows_of, texts
 
-# Texts of about this many code points are encoded together, in queries of so many words and bytes.
+# Texts of about this many code points are encoded together, in queries of so many words.
 STRETCH = 8 << 20
 QUERY_WORDS = 50_000
-QUERY_BYTES = 1 << 20
-# Words of more bytes are cut where no token crosses, and contracted everywhere at once.
+# Rows that the rounds of one query make together, a word of n bytes n * n / 2.
+QUERY_ROWS = 2_500_000
+# Words of more bytes are spliced from pieces of this length.
 LONG = 96
-# Rounds of one query; words that are not finished then go into another.
-ROUNDS = 128
+PIECE = 32
+# Long words of about this many bytes are spliced together.
+LONG_BYTES = 4 << 20
+# Tokens on both sides of a border that are contracted anew first.
+WINDOW = 2
+# Words and stretches between white space that a worker remembers, none longer than LONG; it starts
+# anew beyond them.
 REMEMBERED = 300_000
 MEMORY = "300MB"
 
@@ -57,7 +71,7 @@ _ONE = f"""
     SELECT c.w, c.pos, c.tok, c.q, c.nxt, m.merged, c.it FROM (
         WITH best AS (
             SELECT w, min((m::BIGINT << 32) | pos) AS b, arg_min(q, (m::BIGINT << 32) | pos) AS q
-            FROM state WHERE m IS NOT NULL AND it < {ROUNDS} GROUP BY w
+            FROM state WHERE m IS NOT NULL AND it < $rounds GROUP BY w
         ), change AS (
             SELECT b.w, (b & 4294967295)::INT AS head, (b >> 32)::INT AS merged,
                    t.pos AS gone, t.q, t.nxt
@@ -87,7 +101,7 @@ _ALL = f"""
                     SELECT *, min(m) OVER (PARTITION BY w) AS least, lag(tok) OVER win AS prv,
                            coalesce(lead(tok) OVER win = tok, false) AS twin,
                            row_number() OVER win AS i
-                    FROM state WHERE it < {ROUNDS} WINDOW win AS (PARTITION BY w ORDER BY pos)
+                    FROM state WHERE it < $rounds WINDOW win AS (PARTITION BY w ORDER BY pos)
                 ) WHERE least IS NOT NULL
             )
         ) WHERE gone IS DISTINCT FROM true
@@ -135,11 +149,8 @@ class ByteBpe:
                 if len(halves) != 2:
                     raise ValueError(f"{token!r} does not come apart into two tokens of {path}")
                 merges.append((ranks[halves[0]], ranks[halves[1]], rank))
-        # Bytes that follow each other within some token.
-        self.crossed = np.zeros((256, 256), dtype=bool)
-        for token in ranks:
-            for a, b in zip(token, token[1:]):
-                self.crossed[a, b] = True
+        self.tokens = {rank: token for token, rank in ranks.items()}
+        self.compatible: dict[tuple[int, int], bool] = {}
         config = {"threads": 1, "memory_limit": MEMORY, "temp_directory": ""}
         self.db = duckdb.connect(config=config)
         columns = [pa.array(c, pa.int32()) for c in zip(*merges)]
@@ -154,8 +165,8 @@ class ByteBpe:
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM fresh")
         self.db.unregister("fresh")
 
-    def merge(self, words: list[bytes]) -> list[tuple]:
-        """``(count, ids joined by commas, decoded bytes)`` of each word."""
+    def contract(self, words: list[bytes]) -> None:
+        """Leave the tokens of each word, by its number, in the table ``rows_out``."""
         sizes = np.array([len(w) for w in words])
         raw = np.frombuffer(b"".join(words), dtype=np.uint8)
         first = np.cumsum(sizes) - sizes
@@ -167,7 +178,10 @@ class ByteBpe:
             }
         )
         self._table("rows_in", rows)
+        # Long windows are contracted everywhere at once, and in queries of few rounds.
         query = _ALL if sizes.max() > LONG else _ONE
+        rounds = int(min(max(QUERY_ROWS // len(raw), 1), sizes.max()))
+        query = query.replace("$rounds", str(rounds))
         self.db.execute("CREATE OR REPLACE TEMP TABLE rows_out (w INT, pos INT, tok INT)")
         while True:
             self.db.execute(f"CREATE OR REPLACE TEMP TABLE step AS {query} {_LAST}")
@@ -184,6 +198,9 @@ class ByteBpe:
             )
             if not self.db.sql("SELECT * FROM rows_in LIMIT 1").fetchall():
                 break
+
+    def decoded(self) -> list[tuple]:
+        """``(count, ids joined by commas, bytes)`` of each word in ``rows_out``."""
         out = []
         for body in self.db.sql(_DECODED).to_arrow_table().column("body").to_pylist():
             pairs = [pair.split(":") for pair in body.split(",")]
@@ -191,33 +208,96 @@ class ByteBpe:
             out.append((len(pairs), ids, bytes.fromhex("".join([p[1] for p in pairs]))))
         return out
 
-    def _cut(self, word: bytes) -> list[bytes]:
-        """A long word at the places that no token crosses, so that its parts are independent."""
-        raw = np.frombuffer(word, dtype=np.uint8)
-        cuts = [0, *(np.flatnonzero(~self.crossed[raw[:-1], raw[1:]]) + 1).tolist(), len(word)]
-        return [word[a:b] for a, b in zip(cuts, cuts[1:])]
+    def ids(self, words: set[bytes]) -> dict[bytes, list[int]]:
+        """The ids of each word, as its contraction leaves them."""
+        out = {}
+        for some in _by_work(sorted(words)):
+            self.contract(some)
+            rows = self.db.sql("SELECT w, tok FROM rows_out ORDER BY w, pos").fetchnumpy()
+            stops = np.cumsum(np.bincount(rows["w"], minlength=len(some)))
+            for word, part in zip(some, np.split(rows["tok"], stops[:-1])):
+                out[word] = part.tolist()
+        return out
 
-    def _learn_words(self, words: list[str]) -> None:
+    def _learn_pairs(self, pairs: set[tuple[int, int]]) -> None:
+        """Know of each pair of tokens whether they are compatible."""
+        if len(self.compatible) > REMEMBERED:
+            self.compatible.clear()
+        both = {p: self.tokens[p[0]] + self.tokens[p[1]] for p in pairs.difference(self.compatible)}
+        found = self.ids(set(both.values()))
+        self.compatible.update((p, found[text] == list(p)) for p, text in both.items())
+
+    def spliced(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of long words."""
+        pieces = [[w[at : at + PIECE] for at in range(0, len(w), PIECE)] for w in words]
+        known = self.ids({piece for own in pieces for piece in own})
+        ids = [[i for piece in own for i in known[piece]] for own in pieces]
+        borders = [np.cumsum([len(known[p]) for p in own])[:-1].tolist() for own in pieces]
+        width = WINDOW
+        while any(borders):
+            self._learn_pairs({(t[i - 1], t[i]) for t, at in zip(ids, borders) for i in at})
+            windows = [self._windows(t, at, width) for t, at in zip(ids, borders)]
+            texts = [
+                [b"".join([self.tokens[i] for i in t[low:high]]) for low, high in own]
+                for t, own in zip(ids, windows)
+            ]
+            known = self.ids({text for own in texts for text in own})
+            for n, own in enumerate(windows):
+                ids[n], borders[n] = _replaced(ids[n], own, [known[text] for text in texts[n]])
+            width *= 2
+        return ids
+
+    def _windows(self, ids: list[int], borders: list[int], width: int) -> list[list[int]]:
+        """Stretches around the places where a token and the one before are not compatible."""
+        windows: list[list[int]] = []
+        for at in borders:
+            if self.compatible[ids[at - 1], ids[at]]:
+                continue
+            low, high = max(0, at - width), min(len(ids), at + width)
+            if windows and low <= windows[-1][1]:
+                windows[-1][1] = high
+            else:
+                windows.append([low, high])
+        return windows
+
+    def _learn_words(self, words: list[str], into: dict[str, tuple]) -> None:
         coded = {word: word.encode() for word in words}
         short = [w for w in words if len(coded[w]) <= LONG]
-        start = size = 0
-        for i, word in enumerate(short, 1):
+        at = 0
+        for some in _by_work([coded[w] for w in short]):
+            self.contract(some)
+            into.update(zip(short[at : at + len(some)], self.decoded()))
+            at += len(some)
+        long = [w for w in words if len(coded[w]) > LONG]
+        some: list[str] = []
+        size = 0
+        for i, word in enumerate(long, 1):
+            some.append(word)
             size += len(coded[word])
-            if i - start == QUERY_WORDS or size >= QUERY_BYTES or i == len(short):
-                some = short[start:i]
-                self.words.update(zip(some, self.merge([coded[w] for w in some])))
-                start, size = i, 0
-        for word in words:
-            if len(coded[word]) > LONG:
-                self.words[word] = joined(self.merge(self._cut(coded[word])))
-
-    def learn(self, chunks: list[str]) -> None:
+            if size >= LONG_BYTES or i == len(long):
+                found = [np.array(t, dtype=np.int32) for t in self.spliced([coded[w] for w in some])]
+                sizes = [len(t) for t in found]
+                rows = {
+                    "w": np.repeat(np.arange(len(some), dtype=np.int32), sizes),
+                    "pos": np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]),
+                    "tok": np.concatenate(found),
+                }
+                self._table("rows_out", pa.table(rows))
+                into.update(zip(some, self.decoded()))
+                some, size = [], 0
+
+    def learn(self, chunks: list[str], long: dict[str, tuple]) -> None:
+        """Remember short chunks and words; the others' results go to ``long``."""
         split = {chunk: self.pattern.findall(chunk) for chunk in chunks}
         fresh = {word for words in split.values() for word in words}.difference(self.words)
-        self._learn_words(sorted(fresh))
+        big = {word for word in fresh if len(word) > LONG}
+        self._learn_words(sorted(fresh - big), self.words)
+        own: dict[str, tuple] = {}
+        self._learn_words(sorted(big), own)
         for chunk, words in split.items():
-            known = [self.words[word] for word in words]
-            self.chunks[chunk] = known[0] if len(known) == 1 else joined(known)
+            known = [own[word] if word in own else self.words[word] for word in words]
+            told = known[0] if len(known) == 1 else joined(known)
+            (long if len(chunk) > LONG else self.chunks)[chunk] = told
 
     def encode(self, texts: list[str]) -> Iterator[tuple]:
         """``(count, ids joined by commas, decoded bytes)`` of each text."""
@@ -226,10 +306,40 @@ class ByteBpe:
             self.chunks.clear()
         split = [_COARSE.findall(text) for text in texts]
         fresh = set().union(*split).difference(self.chunks)
+        long: dict[str, tuple] = {}
         if fresh:
-            self.learn(sorted(fresh))
+            self.learn(sorted(fresh), long)
         for chunks in split:
-            yield joined([self.chunks[chunk] for chunk in chunks])
+            yield joined([self.chunks.get(chunk) or long[chunk] for chunk in chunks])
+
+
+def _replaced(ids: list[int], windows: list, new: list[list[int]]) -> tuple[list[int], list[int]]:
+    """``ids`` with windows replaced, and the windows' borders in them."""
+    out: list[int] = []
+    borders: set[int] = set()
+    done = 0
+    for (low, high), own in zip(windows, new):
+        out += ids[done:low]
+        borders.add(len(out))
+        out += own
+        borders.add(len(out))
+        done = high
+    out += ids[done:]
+    return out, sorted(at for at in borders if 0 < at < len(out))
+
+
+def _by_work(words: list[bytes]) -> Iterator[list[bytes]]:
+    """Words in lists whose queries make about ``QUERY_ROWS`` rows, in their order."""
+    some, work = [], 0
+    for word in words:
+        own = len(word) * (len(word) + 1) // 2
+        if some and (work + own > QUERY_ROWS or len(some) == QUERY_WORDS):
+            yield some
+            some, work = [], 0
+        some.append(word)
+        work += own
+    if some:
+        yield some
 
 
 def joined(parts: list[tuple]) -> tuple:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -60,6 +61,22 @@ def tiktokens():
     )
 
 
+def test_word_bpe_of_long_and_odd_words():
+    """Long words by the library, in time that follows their length; letters beyond ASCII."""
+    rng = random.Random(9)
+    texts = ["w" * 1_000_000, "x" * 256 + " " + "x" * 257, "<|endoftext|>" + "Z" * 300, "İ ŞİM ǅ ŉ ß"]
+    texts += [f"a{chr(c)} {chr(c)}b {chr(c)}{chr(c)}" for c in range(0x80, 0x250)]
+    for _ in range(300):
+        texts.append("".join(chr(rng.choice([32, rng.randrange(33, 0x250)])) for _ in range(50)))
+    start = time.perf_counter()
+    got = WordBpe(WORDS).encode(texts)
+    assert time.perf_counter() - start < 30
+    library = Tokenizer.from_file(WORDS)
+    for text, ids in zip(texts, got, strict=True):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, dtype="<u4").tolist() == want
+
+
 def test_byte_bpe(all_texts, tiktokens):
     bpe = byte_bpe.ByteBpe(RANKS, public_tokenizers.PATTERN)
     for text, (n, ids, raw) in zip(all_texts, bpe.encode(all_texts)):
@@ -77,14 +94,52 @@ def test_byte_bpe_starts_anew(monkeypatch, tiktokens):
 
 def test_byte_bpe_many_rounds(monkeypatch, tiktokens):
     """Queries of few rounds hand their unfinished words on."""
-    for name in ("_ONE", "_ALL"):
-        few = getattr(byte_bpe, name).replace(f"it < {byte_bpe.ROUNDS}", "it < 2")
-        monkeypatch.setattr(byte_bpe, name, few)
+    monkeypatch.setattr(byte_bpe, "QUERY_ROWS", 50)
     bpe = byte_bpe.ByteBpe(RANKS, public_tokenizers.PATTERN)
     for text in HARD:
         assert next(bpe.encode([text]))[1] == ",".join(map(str, tiktokens.encode_ordinary(text)))
 
 
+def as_tiktoken(bpe, tiktokens, texts):
+    for text, (n, ids, raw) in zip(texts, bpe.encode(texts), strict=True):
+        want = tiktokens.encode_ordinary(text)
+        assert (n, ids) == (len(want), ",".join(map(str, want))) and raw == text.encode()
+
+
+def test_byte_bpe_splices_long_words(monkeypatch, tiktokens):
+    """Words of every kind beyond the limit, spliced from pieces and windows of odd sizes."""
+    rng = random.Random(6)
+    texts = []
+    for _ in range(60):
+        n = rng.randrange(90, 700)
+        some = "abcdefghijklmnopqrstuvwxyz"[: rng.choice([1, 2, 3, 26])]
+        texts.append("".join(rng.choice(some) for _ in range(n)))
+        texts.append("".join(rng.choice("éäßабвг日本語a") for _ in range(n)))
+        texts.append(rng.choice(["=", "-", " ", "\n", "the", "ing", "0", "!?"]) * n)
+    as_tiktoken(byte_bpe.ByteBpe(RANKS, public_tokenizers.PATTERN), tiktokens, texts)
+    monkeypatch.setattr(byte_bpe, "LONG", 5)
+    monkeypatch.setattr(byte_bpe, "PIECE", 3)
+    monkeypatch.setattr(byte_bpe, "WINDOW", 1)
+    as_tiktoken(byte_bpe.ByteBpe(RANKS, public_tokenizers.PATTERN), tiktokens, texts[:40] + HARD)
+
+
+def test_byte_bpe_within_its_memory(tiktokens):
+    """Long words, and many of them, in a database of MEMORY and in time that follows their length."""
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def word(n):
+        return "".join(rng.choices(letters, k=n))
+
+    bpe = byte_bpe.ByteBpe(RANKS, public_tokenizers.PATTERN)
+    start = time.perf_counter()
+    as_tiktoken(bpe, tiktokens, ["a" * 2_000_000])
+    as_tiktoken(bpe, tiktokens, [word(2_000_000)])
+    as_tiktoken(bpe, tiktokens, [word(90) + " " for _ in range(11_000)])
+    assert time.perf_counter() - start < 180
+    assert max(map(len, bpe.words)) <= byte_bpe.LONG and max(map(len, bpe.chunks)) <= byte_bpe.LONG
+
+
 def test_round_trips(odd, none, tiktokens):
     got = byte_bpe.round_trips(odd, RANKS, public_tokenizers.PATTERN).collect()
     want = []

@@ -7,7 +7,9 @@ binary search over its length. Two bases under ``p = 2**31 - 1`` give 62 bits.
 
 A fingerprint is the length, the hash of the whole text and a sketch: the ``SKETCH`` smallest
 distinct (mixed) hashes of all spans of ``SPAN`` code points. Two sketches estimate which share of
-their spans two texts have in common, wherever in the texts they stand.
+their spans two texts have in common, wherever in the texts they stand. In a short text, one change
+touches most spans of that length, so texts of less than ``SHORT`` code points also have a sketch of
+spans of ``SHORT_SPAN``; two short texts are compared by these.
 """
 
 from collections.abc import Iterator
@@ -25,6 +27,8 @@ P = np.uint64((1 << 31) - 1)
 BASES = (1_000_003, 16_777_619)
 INVERSES = tuple(pow(base, -1, int(P)) for base in BASES)
 SPAN = 24
+SHORT = 256
+SHORT_SPAN = 4
 SKETCH = 64
 # Ranges of ids for each shuffle partition: ranges are dealt by hash, so several even out.
 RANGES_PER_PARTITION = 4
@@ -116,11 +120,11 @@ def _mix(hashes: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def sketch(prefix: PrefixHashes) -> np.ndarray:
+def sketch(prefix: PrefixHashes, span: int = SPAN) -> np.ndarray:
     """The smallest distinct span hashes; a text shorter than a span is one span."""
     if not prefix.n:
         return np.zeros(0, dtype=np.uint64)
-    mixed = _mix(prefix.windows(min(SPAN, prefix.n)))
+    mixed = _mix(prefix.windows(min(span, prefix.n)))
     if len(mixed) > 8 * SKETCH:
         low = np.unique(mixed[mixed < np.uint64(int(4 * SKETCH / len(mixed) * 2**64))])
         if len(low) >= SKETCH:
@@ -129,8 +133,12 @@ def sketch(prefix: PrefixHashes) -> np.ndarray:
 
 
 def fingerprint(prefix: PrefixHashes) -> str:
-    values = ",".join(map("{:x}".format, sketch(prefix).tolist()))
-    return f"{prefix.n}:{prefix.whole():x}:{values}"
+    """Length, whole hash and sketch, and the sketch of short spans if the text is short."""
+    parts = [sketch(prefix)]
+    if 0 < prefix.n < SHORT:
+        parts.append(sketch(prefix, SHORT_SPAN))
+    values = [",".join(map("{:x}".format, part.tolist())) for part in parts]
+    return ":".join([str(prefix.n), f"{prefix.whole():x}", *values])
 
 
 def likeness(a: str, b: str) -> float:
@@ -141,7 +149,10 @@ def likeness(a: str, b: str) -> float:
     """
     if a == b:
         return 1.0
-    left, right = ({int(v, 16) for v in x.split(":")[2].split(",") if v} for x in (a, b))
+    parts = [x.split(":") for x in (a, b)]
+    # Two short texts have a fourth part each.
+    which = 3 if all(len(part) > 3 for part in parts) else 2
+    left, right = ({int(v, 16) for v in part[which].split(",") if v} for part in parts)
     sample = sorted(left | right)[:SKETCH]
     if not sample:
         return 0.0

@@ -56,6 +56,23 @@ def test_likeness():
     assert likeness(mark(a), mark("an insertion " + a)) > 0.9
 
 
+def test_likeness_of_short_texts():
+    """Short texts are alike by what they share, as long ones are."""
+
+    def near(a, b):
+        return likeness(*(fingerprint(PrefixHashes(t)) for t in (a, b)))
+
+    assert near("Hello my dear world.", "Hello my dear worlds") > 0.8
+    assert 0.5 < near("the quick brown fox jumps over the dog", "the quick brown cat jumps over the dog") < 0.95
+    assert near("the quick brown fox", "zwölf Boxkämpfer jagen") < 0.1
+    half = "an opening of some words, "
+    assert 0.3 < near(half + "then this end of it", half + "and quite another") < 0.8
+    assert near("ab", "ab") == 1 and near("ab", "cd") == 0 and near("", "ab") == 0
+    # Across the limit, the longer spans count for both.
+    text = " ".join(map(str, range(100)))
+    assert len(text) > 256 and near(text, text[:255]) > 0.8
+
+
 def expected(rows):
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
     out = []

@@ -26,8 +26,9 @@ WIDTH = SHAPES + RATIOS
 HIDDEN = 16
 GATES = 8
 THRESHOLD = 0.3
-# At most so many labelled texts are fitted to.
+# At most so many labelled texts are fitted to, and of so many characters together.
 SAMPLE = 6_000
+SAMPLE_CHARS = 64 << 20
 STEPS = 800
 BATCH = 64
 REMEMBERED = 200_000
@@ -184,7 +185,7 @@ def _pack(bag: np.ndarray) -> bytes:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame) -> AttentionModel:
-    """Learn from at most ``SAMPLE`` labelled texts."""
+    """Learn from at most ``SAMPLE`` labelled texts of at most ``SAMPLE_CHARS`` characters."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordTable()
@@ -194,7 +195,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> AttentionModel:
                 [batch.column("label"), pa.array(bags, pa.binary())], names=["label", "bag"]
             )
 
-    sample = labelled_sample(docs, labels, "quality", SAMPLE)
+    sample = labelled_sample(docs, labels, "quality", SAMPLE, SAMPLE_CHARS)
     rows = sample.mapInArrow(encode, "label int, bag binary").collect()
     rows.sort(key=lambda r: bytes(r.bag))
     bags = [np.frombuffer(r.bag, dtype=np.float32).reshape(-1, WIDTH) for r in rows]

@@ -1,6 +1,10 @@
 """Toxicity and quality: gradients, held-out accuracy, and what a score may depend on."""
 
+import math
 import random
+import re
+import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -8,6 +12,8 @@ from pyspark.sql import functions as F
 
 from flowloop.llm import quality as q
 from flowloop.llm import toxicity as tox
+from flowloop.llm.labelled import labelled_sample
+from tests.conftest import SF_DIR
 from tests.llm.conftest import ODD, documents
 
 LABELS = "doc_id bigint, quality int, toxic int"
@@ -82,6 +88,76 @@ def test_attention_gradients():
             assert abs((high - low) / 2e-5 - grad[at]) < 1e-6
 
 
+def plain_quality(text, model):
+    """A text's score, passage by passage."""
+    enc, tan, gate, att, top, bias = model.params
+    words = text.split()
+    rows = []
+    count = max(1, len(words) // q.PASSAGE)
+    for i in range(count):
+        start = i * q.PASSAGE
+        own = words[start : start + q.PASSAGE] if i < count - 1 else words[start:]
+        row = np.zeros(q.WIDTH)
+        if own:
+            for word in own:
+                row[zlib.crc32(q.shape(word).encode()) % q.SHAPES] += 1 / len(own)
+            chars = "".join(own)
+            before = [None, *words][start : start + len(own)]
+            row[q.SHAPES :] = [
+                len(set(own)) / len(own),
+                sum(a == b for a, b in zip(own, before)) / len(own),
+                len(chars) / len(own) / 10,
+                sum(map(str.isupper, chars)) / len(chars),
+                sum(map(str.isalpha, chars)) / len(chars),
+                sum(map(str.isdigit, chars)) / len(chars),
+                math.log(1 + len(own)) / 5,
+                1,
+            ]
+        rows.append(row)
+    hidden = [np.tanh(row @ enc) for row in rows]
+    strength = [(np.tanh(h @ tan) / (1 + np.exp(-(h @ gate)))) @ att for h in hidden]
+    weights = np.exp(np.array(strength) - max(strength))
+    z = sum(w * h for w, h in zip(weights / weights.sum(), hidden))
+    return 1 / (1 + math.exp(-float(z @ top + bias[0])))
+
+
+def test_quality_of_a_whole_table(spark, sample):
+    model = q.fit_quality(sample, spark.read.parquet(f"{SF_DIR}/labels.parquet"))
+    want = {r.doc_id: plain_quality(r.text or "", model) for r in sample.collect()}
+    rows = q.quality(sample, model).collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        assert abs(r.score - want[r.doc_id]) < 1e-3
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert r.predicted == (r.score >= 0.3)
+
+
+def test_toxicity_of_a_whole_table(spark, sample):
+    """Every pair of a text's terms, one by one."""
+    machine = tox.fit_toxicity(sample, spark.read.parquet(f"{SF_DIR}/labels.parquet"))
+    place = {int(t): i for i, t in enumerate(machine.terms)}
+    scores = {r.doc_id: r.score for r in tox.toxicity(sample, machine).collect()}
+    for r in sample.collect():
+        found = set()
+        for word in re.findall(r"[^\W\d_]+", (r.text or "").lower()):
+            keys = ["w" + word] + ["p" + word[:k] for k in (4, 5, 6) if len(word) >= k]
+            found |= {zlib.crc32(key.encode()) % tox.BUCKETS for key in keys}
+        own = sorted(place[t] for t in found if t in place)
+        logit = machine.bias + sum(machine.weights[i] for i in own)
+        logit += sum(machine.factors[i] @ machine.factors[j] for i, j in combinations(own, 2))
+        assert abs(scores[r.doc_id] - 1 / (1 + math.exp(-max(-40, min(40, logit))))) < 1e-9
+
+
+def test_the_sample_is_bounded_in_characters(spark):
+    docs = documents(spark, [(i, "word " * (i % 40)) for i in range(400)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(400)], LABELS)
+    whole = labelled_sample(docs, labels, "quality", 1000).collect()
+    some = labelled_sample(docs, labels, "quality", 1000, 6400).collect()
+    assert 0 < len(some) < len(whole) and sum(len(r.text) for r in some) <= 6400
+    assert max(len(r.text) for r in some) <= 100
+    assert len(labelled_sample(docs, labels, "quality", 3, 6400).collect()) <= 3
+
+
 def test_held_out_labels_change_nothing(made):
     docs, labels = made
     flipped = labels.withColumn(

@@ -20,6 +20,9 @@ COLUMNS = {
     "op8_license_scan": "doc_id license containment n_places first_word",
     "op9_packing": "doc_id piece start length ids_crc32 sequence_id offset",
     "op10_token_counts": "doc_id n_bytes n_tokens over_limit",
+    "op11_token_files": "doc_id start n_tokens ids_crc32",
+    "op12_hard_negatives": "anchor_id positive_id rank negative_id positive_score negative_score",
+    "op13_periodic_runs": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
 }
 
 
@@ -37,7 +40,8 @@ def test_query(spark, name):
     assert rows
     if name in ORACLES:
         con = duckdb.connect()
-        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF_DIR}/documents.parquet'")
+        for table in ("documents", "embeddings"):
+            con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
         answer = con.sql(ORACLES[name])
         order = [answer.columns.index(c) for c in df.columns]
         want = Counter(tuple(row[i] for i in order) for row in answer.fetchall())

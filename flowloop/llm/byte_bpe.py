@@ -178,9 +178,11 @@ class ByteBpe:
             }
         )
         self._table("rows_in", rows)
-        # Long windows are contracted everywhere at once, and in queries of few rounds.
-        query = _ALL if sizes.max() > LONG else _ONE
-        rounds = int(min(max(QUERY_ROWS // len(raw), 1), sizes.max()))
+        # Long windows are contracted everywhere at once, and in queries of few rounds; what shorter
+        # words make in all their rounds is bounded already.
+        query, rounds = _ONE, int(sizes.max())
+        if rounds > LONG:
+            query, rounds = _ALL, max(QUERY_ROWS // len(raw), 1)
         query = query.replace("$rounds", str(rounds))
         self.db.execute("CREATE OR REPLACE TEMP TABLE rows_out (w INT, pos INT, tok INT)")
         while True:
@@ -288,16 +290,19 @@ class ByteBpe:
 
     def learn(self, chunks: list[str], long: dict[str, tuple]) -> None:
         """Remember short chunks and words; the others' results go to ``long``."""
-        split = {chunk: self.pattern.findall(chunk) for chunk in chunks}
+        cut = self.pattern.findall
+        split = {chunk: cut(chunk) for chunk in chunks}
         fresh = {word for words in split.values() for word in words}.difference(self.words)
         big = {word for word in fresh if len(word) > LONG}
         self._learn_words(sorted(fresh - big), self.words)
         own: dict[str, tuple] = {}
         self._learn_words(sorted(big), own)
         for chunk, words in split.items():
+            if len(words) == 1 and words[0] in self.words:
+                self.chunks[chunk] = self.words[words[0]]
+                continue
             known = [own[word] if word in own else self.words[word] for word in words]
-            told = known[0] if len(known) == 1 else joined(known)
-            (long if len(chunk) > LONG else self.chunks)[chunk] = told
+            (long if len(chunk) > LONG else self.chunks)[chunk] = joined(known)
 
     def encode(self, texts: list[str]) -> Iterator[tuple]:
         """``(count, ids joined by commas, decoded bytes)`` of each text."""
@@ -309,8 +314,12 @@ class ByteBpe:
         long: dict[str, tuple] = {}
         if fresh:
             self.learn(sorted(fresh), long)
+        known = self.chunks.__getitem__
         for chunks in split:
-            yield joined([self.chunks.get(chunk) or long[chunk] for chunk in chunks])
+            if long:
+                yield joined([self.chunks.get(chunk) or long[chunk] for chunk in chunks])
+            else:
+                yield joined(list(map(known, chunks)))
 
 
 def _replaced(ids: list[int], windows: list, new: list[list[int]]) -> tuple[list[int], list[int]]:

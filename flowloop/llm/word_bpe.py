@@ -10,14 +10,16 @@ length alone.
 import json
 import unicodedata
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-# Words and parts whose ids a worker remembers; it starts anew beyond them. Longer words than LONG
-# are never remembered, so this bounds the bytes as well.
+# Words and parts whose ids a worker remembers; beyond them it keeps the first KEPT, among which are
+# the frequent ones. Longer words than LONG are never remembered, so this bounds the bytes as well.
 REMEMBERED = 400_000
+KEPT = 100_000
 LONG = 256
 _NONE = np.int64(1 << 40)
 
@@ -29,7 +31,11 @@ class WordBpe:
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        special = [t["content"] for t in spec["added_tokens"]]
+        if any(token[:-1].isalpha() or token.isalpha() for token in special):
+            raise ValueError("a special token is like a word")
+        # Without special tokens, nothing is one.
+        self.special = regex.compile("|".join(map(regex.escape, special)) or "(?!)")
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         vocab, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
@@ -41,6 +47,9 @@ class WordBpe:
         signs = byte_signs()
         self.first = np.array([vocab[signs[b]] for b in range(256)], dtype=np.int64)
         self.last = np.array([vocab[signs[b] + end] for b in range(256)], dtype=np.int64)
+        # Ranks of all pairs of single bytes, of which the second may end a word.
+        both = np.concatenate([self.first, self.last])
+        self.byte_ranks = self._ranks(self.first[:, None], both[None, :])
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -59,7 +68,10 @@ class WordBpe:
         sym[ends - 1] = self.last[raw[ends - 1]]
         word = np.repeat(np.arange(len(parts)), sizes)
         rank = np.full(len(sym), _NONE)
-        rank[:-1] = np.where(word[1:] == word[:-1], self._ranks(sym[:-1], sym[1:]), _NONE)
+        follows = raw.astype(np.int64)
+        follows[ends - 1] += 256
+        same = word[1:] == word[:-1]
+        rank[:-1] = np.where(same, self.byte_ranks[raw[:-1], follows[1:]], _NONE)
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(sym):
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
@@ -91,22 +103,33 @@ class WordBpe:
 
     def learn(self, words: list[str]) -> None:
         """Remember the ids of ``words`` of at most ``LONG`` characters, without white space."""
-        split = {}
+        whole, split = {}, {}
         for word in words:
-            if word.isascii() and word.isalpha():
-                split[word] = (word.lower(),)
-            elif max(word) > _SIMPLE or any(token in word for token in self.special):
+            if word.isascii():
+                plain = word.lower()
+            elif max(word) > _SIMPLE:
                 self.words[word] = self._by_library(word)
+                continue
             else:
-                split[word] = self.split.findall(normalised(word))
-        fresh = {part for parts in split.values() for part in parts}.difference(self.parts)
+                plain = normalised(word)
+            # Letters alone are one part, a mark after them another; no special token is like that.
+            if plain.isalpha():
+                whole[word] = plain
+            elif plain[-1] in _MARKS and plain[:-1].isalpha():
+                split[word] = (plain[:-1], plain[-1])
+            elif self.special.search(word):
+                self.words[word] = self._by_library(word)
+            else:
+                split[word] = self.split.findall(plain)
+        fresh = set(whole.values()).union(*split.values()).difference(self.parts)
         fresh = list(fresh)
         for at in range(0, len(fresh), 100_000):
             some = fresh[at : at + 100_000]
             self.parts.update(zip(some, self.merge(some)))
         known = self.parts.__getitem__
+        self.words.update(zip(whole, map(known, whole.values())))
         for word, parts in split.items():
-            self.words[word] = known(parts[0]) if len(parts) == 1 else b"".join(map(known, parts))
+            self.words[word] = b"".join(map(known, parts))
 
     def _by_library(self, word: str) -> bytes:
         ids = self.library.encode(word, add_special_tokens=False).ids
@@ -114,8 +137,8 @@ class WordBpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > REMEMBERED or len(self.parts) > REMEMBERED:
-            self.words.clear()
-            self.parts.clear()
+            self.words = dict(islice(self.words.items(), KEPT))
+            self.parts = dict(islice(self.parts.items(), KEPT))
         split = [words_of(text) for text in texts]
         fresh = set().union(*split).difference(self.words) if split else set()
         long = {word for word in fresh if len(word) > LONG}
@@ -142,6 +165,9 @@ def loaded(path: str) -> WordBpe:
 # letter or composes, and the library itself encodes the word.
 _SIMPLE = "\u024f"
 
+# Marks that stand after a word and are a part of their own.
+_MARKS = frozenset(".,;:!?")
+
 # The tokenizer's white space is Unicode's; str.split() also cuts at these four controls.
 _NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 _SPACES = regex.compile(r"\s+")

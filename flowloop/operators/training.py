@@ -58,14 +58,15 @@ def in_fixed_order(
     they learn. Rows are dealt by their content to a number of parts that follows their number, and
     sorted there: any input layout gives the same models. Equal rows travel as one with their
     number and become rows again in chunks, so a row with most of the copies fills many parts.
-    The rows are kept, with spilling, while the context is open.
+    They are grouped in as many parts too: in the layout that they come in, one task could have to
+    group them all. The rows are kept, with spilling, while the context is open.
     """
     columns = [*feature_cols, *(c for c in ("label",) if c in data.columns)]
-    counted = data.groupBy(*columns).agg(F.count("*").alias("n"))
-    counted = counted.persist(StorageLevel.MEMORY_AND_DISK)
+    given = data.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        total = counted.agg(F.sum("n")).first()[0] or 0
-        parts = max(1, -(-total // part_rows))
+        parts = max(1, -(-given.count() // part_rows))
+        dealt = given.repartition(parts, *columns)
+        counted = dealt.groupBy(*columns).agg(F.count("*").alias("n"))
         last = F.floor((F.col("n") - 1) / CHUNK).cast("bigint")
         chunks = F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("chunk")
         spread = counted.select("*", chunks).repartition(parts, *columns, "chunk")
@@ -75,11 +76,14 @@ def in_fixed_order(
         laid_out = assemble(rows.select(*columns), feature_cols)
         laid_out = laid_out.persist(StorageLevel.MEMORY_AND_DISK)
         try:
+            # Once they are laid out, the room of the given rows is free for the fits.
+            laid_out.count()
+            given.unpersist()
             yield laid_out
         finally:
             laid_out.unpersist()
     finally:
-        counted.unpersist()
+        given.unpersist()
 
 
 def enough_points(data: DataFrame, k: int = CLUSTERS) -> bool:

@@ -398,8 +398,9 @@ def kmeans_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether models of two layouts of the same rows agree on every flow, with all ten clusters."""
     data = _training_data(spark, sf_dir, ERROR_LABEL)
-    keyed = data.repartition(7, "source_port")
-    first, second = (_fitted(rows, fit_pair) for rows in (data.coalesce(1), keyed))
+    # As the table is read, and in parts of whole ports; neither has a fixed number of parts.
+    keyed = data.repartition("source_port")
+    first, second = (_fitted(rows, fit_pair) for rows in (data, keyed))
     flows = assemble(_flows(spark, sf_dir))
     scored = score_kmeans(score_kmeans(flows, first.kmeans, "a_"), second.kmeans, "b_")
     scored = score_forest(score_forest(scored, first.forest, "c_"), second.forest, "d_")

@@ -1,3 +1,4 @@
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -6,6 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from flowloop import queries
 from flowloop.operators.decode import decode
 from flowloop.operators.features import assemble
 from flowloop.operators.normalize import normalize_flows
@@ -14,7 +16,7 @@ from flowloop.operators import training
 from flowloop.operators.training import enough_points, fit_forest, in_fixed_order, training_set
 from flowloop.plans.train import fit_pair, train_all
 from flowloop.sources.models import USER, VALIDATED, ModelStore
-from tests.conftest import plan_of
+from tests.conftest import SF_DIR, plan_of
 
 AS_OF = datetime(2024, 1, 30)
 HOUR = timedelta(hours=1)
@@ -123,6 +125,31 @@ def test_models_do_not_depend_on_the_layout(spark, messages):
     assert seen[0] == seen[1] == seen[2] and len(seen[0][0]) == 10
 
 
+def test_rows_of_one_partition_are_grouped_in_many(spark):
+    """Both the grouping and the layout have parts that follow the number of rows."""
+    data = training_set(_many(spark, 1000), lookback=None)
+    with in_fixed_order(data.coalesce(1), part_rows=100) as laid_out:
+        for last in ("label", "chunk"):
+            assert re.search(rf"{last}#\d+L?, 10\), REPARTITION_BY_NUM", plan_of(laid_out))
+        assert laid_out.count() == 1000
+
+
+def test_no_layout_has_a_fixed_number_of_parts(spark, monkeypatch):
+    """Neither layout whose models are compared brings the table into one task or a few."""
+    laid = []
+
+    def fitted(data, fit):
+        laid.append(data)
+        return _fitted(data, fit)
+
+    _fitted = queries._fitted
+    monkeypatch.setattr(queries, "_fitted", fitted)
+    assert queries.model_layouts(spark, SF_DIR).where("not (same_cluster and same_votes)").isEmpty()
+    first, second = map(plan_of, laid)
+    assert "Coalesce" not in first and "REPARTITION_BY_NUM" not in second
+    assert "hashpartitioning(source_port" in second
+
+
 def test_copies_of_one_row_fill_many_parts(spark, monkeypatch):
     monkeypatch.setattr(training, "CHUNK", 10)
     one = training_set(_many(spark, 1), AS_OF).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(999))))

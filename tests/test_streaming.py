@@ -1,14 +1,21 @@
+import itertools
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
+from flowloop import queries
 from flowloop.operators.decode import decode
 from flowloop.operators.normalize import with_flow_columns
+from flowloop.operators.scoring import score_messages
 from flowloop.plans.score import score_table
 from flowloop.sources.messages import distinct_messages, table_messages
 from flowloop.sources.models import USER, VALIDATED, ModelPair, ModelStore
+from flowloop.streaming import scoring
 from flowloop.streaming.drain import drained
 from flowloop.streaming.registry import ModelRegistry
 from flowloop.streaming.scoring import FLOW_COUNTS, batch_scorer, file_sink, start_scoring
+from tests.conftest import SF_DIR
 
 
 @pytest.fixture
@@ -229,3 +236,21 @@ def test_replayed_messages_are_read_once_with_bounded_state(spark, pair, job, me
     assert got.select("message_id").distinct().count() == got.count()
     states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
     assert states[-1] < max(states) < got.count()
+
+
+def test_a_batch_published_twice_is_scored_once(spark, tmp_path, monkeypatch):
+    """Scoring that marks every message anew: both copies of a message have the same mark."""
+    mark = F.udf(lambda value: f"{value}{uuid.uuid4().hex}").asNondeterministic()
+
+    def marked(*args, **options):
+        scored = score_messages(*args, **options)
+        return scored.withColumn("value", mark("value"))
+
+    monkeypatch.setattr(scoring, "score_messages", marked)
+    monkeypatch.setattr(queries, "work_path", lambda spark, name: str(tmp_path / f"{name}-{next(runs)}"))
+    runs = itertools.count()
+    got = queries.stream_distinct(spark, SF_DIR).count()
+    (sent,) = tmp_path.glob("sent-*")
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(str(sent))
+    assert rows.count() == 2 * got > 0
+    assert rows.select("value").distinct().count() == got

@@ -50,7 +50,10 @@ def training_set(
 
 @contextmanager
 def in_fixed_order(
-    data: DataFrame, feature_cols: Sequence[str] = FEATURES, part_rows: int = PART_ROWS
+    data: DataFrame,
+    feature_cols: Sequence[str] = FEATURES,
+    part_rows: int = PART_ROWS,
+    kept: bool = False,
 ) -> Iterator[DataFrame]:
     """Features, and ``label`` if there is one, in a layout that depends on nothing but the rows.
 
@@ -59,10 +62,13 @@ def in_fixed_order(
     sorted there: any input layout gives the same models. Equal rows travel as one with their
     number and become rows again in chunks, so a row with most of the copies fills many parts.
     They are grouped in as many parts too: in the layout that they come in, one task could have to
-    group them all. The rows are kept, with spilling, while the context is open.
+    group them all. The rows are kept, with spilling, while the context is open; those that are
+    ``kept`` by the caller are not kept twice.
     """
     columns = [*feature_cols, *(c for c in ("label",) if c in data.columns)]
-    given = data.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
+    given = data.select(*columns)
+    if not kept:
+        given = given.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         parts = max(1, -(-given.count() // part_rows))
         dealt = given.repartition(parts, *columns)

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from datetime import datetime, timedelta
 from functools import partial
 
+from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,9 +99,9 @@ def _training_data(spark: SparkSession, sf_dir: str, label: str = PORT_LABEL) ->
     return training.training_set(_labels(spark, sf_dir, label), lookback=None)
 
 
-def _fitted(data: DataFrame, fit: Callable):
+def _fitted(data: DataFrame, fit: Callable, kept: bool = False):
     """``fit(data)`` in a layout of its own, with the rows decoded once for all passes."""
-    with training.in_fixed_order(data) as laid_out:
+    with training.in_fixed_order(data, kept=kept) as laid_out:
         return fit(laid_out)
 
 
@@ -108,6 +109,25 @@ def _pair(spark: SparkSession, sf_dir: str, label: str = PORT_LABEL) -> ModelPai
     return _fitted(_training_data(spark, sf_dir, label), fit_pair)
 
 
+def _fitted_each(spark: SparkSession, sf_dir: str, fits: dict[str, Callable]) -> list:
+    """What each function fits to its label; the flows are decoded once for all of them."""
+    names = {f"label_{i}": label for i, label in enumerate(fits)}
+    messages = derived.messages(
+        _events(spark, sf_dir), *[f"{label} AS {name}" for name, label in names.items()]
+    )
+    flows = normalize_flows(decode(messages)).select(
+        *FEATURES, *names, F.col("ts").alias("labelled_at")
+    )
+    flows = flows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return [
+            _fitted(training.training_set(flows, None, None, name), fits[label], kept=True)
+            for name, label in names.items()
+        ]
+    finally:
+        flows.unpersist()
+
+
 def _forest(spark: SparkSession, sf_dir: str, label: str = PORT_LABEL) -> ModelPair:
     """A pair of which only the forest is used."""
     return ModelPair(None, _fitted(_training_data(spark, sf_dir, label), training.fit_forest))
@@ -473,7 +493,10 @@ def message_body(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def strong_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strong messages are scored by the validated pair, which here learned the opposite labels."""
-    pairs = [_forest(spark, sf_dir), _pair(spark, sf_dir, OTHER_LABEL)]
+    forest, pair = _fitted_each(
+        spark, sf_dir, {PORT_LABEL: training.fit_forest, OTHER_LABEL: fit_pair}
+    )
+    pairs = [ModelPair(None, forest), pair]
     strong = score_table(_messages(spark, sf_dir), *pairs, topics=[STRONG_TOPIC])
     return _envelope(strong, "predictedLabel")
 
@@ -522,7 +545,7 @@ def _stream(
 
 def stream_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second version comes before batch 1 and is in use from batch 2, when the store is read."""
-    pairs = [_pair(spark, sf_dir, label) for label in (PORT_LABEL, OTHER_LABEL)]
+    pairs = _fitted_each(spark, sf_dir, {PORT_LABEL: fit_pair, OTHER_LABEL: fit_pair})
     scored = spark.read.parquet(_stream(spark, sf_dir, {0: (USER, pairs[0]), 1: (USER, pairs[1])}))
     body = _envelope(scored.filter(F.col("algo") == "rf"), "predictedLabel")
     return body.select("event_id", "predictedLabel")

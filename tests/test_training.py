@@ -138,9 +138,9 @@ def test_no_layout_has_a_fixed_number_of_parts(spark, monkeypatch):
     """Neither layout whose models are compared brings the table into one task or a few."""
     laid = []
 
-    def fitted(data, fit):
+    def fitted(data, fit, **options):
         laid.append(data)
-        return _fitted(data, fit)
+        return _fitted(data, fit, **options)
 
     _fitted = queries._fitted
     monkeypatch.setattr(queries, "_fitted", fitted)
@@ -150,6 +150,14 @@ def test_no_layout_has_a_fixed_number_of_parts(spark, monkeypatch):
     assert "hashpartitioning(source_port" in second
 
 
+@pytest.mark.parametrize("name", ["strong_envelope", "stream_refresh"])
+def test_flows_of_two_label_sets_are_decoded_once(spark, monkeypatch, name):
+    calls = []
+    monkeypatch.setattr(queries, "decode", lambda rows: calls.append(rows) or decode(rows))
+    assert not queries.QUERIES[name](spark, SF_DIR).isEmpty()
+    assert len(calls) == 1
+
+
 def test_copies_of_one_row_fill_many_parts(spark, monkeypatch):
     monkeypatch.setattr(training, "CHUNK", 10)
     one = training_set(_many(spark, 1), AS_OF).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(999))))

@@ -4,7 +4,8 @@ A text is split into words by the tokenizer's pattern. Rows ``(word, position, t
 join the merge table; every round of a recursive query contracts the leftmost pair of least rank of
 each unfinished word, until no word has a pair. An ordered aggregation joins the ids with the
 vocabulary and puts each word's bytes together again: a document's decoded bytes are those of its
-words. Words repeat, so a worker remembers the ids and bytes of many.
+words. Words repeat, so a worker remembers the ids and bytes of many, in Arrow columns from which the
+words of a document are taken and joined.
 
 The rank file is checked when it is loaded: every token must come apart into exactly two tokens of
 lower rank. Then a contraction never brings up a pair of lower rank than its own.
@@ -23,10 +24,12 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,11 +47,16 @@ LONG = 96
 PIECE = 32
 # Long words of about this many bytes are spliced together.
 LONG_BYTES = 4 << 20
+# Ids of long words that one query decodes.
+QUERY_IDS = 500_000
 # Tokens on both sides of a border that are contracted anew first.
 WINDOW = 2
-# Words and stretches between white space that a worker remembers, none longer than LONG; it starts
-# anew beyond them.
-REMEMBERED = 300_000
+# Words that a worker remembers, none longer than LONG; it starts anew beyond them. Splitting is
+# cheaper than contraction, so it remembers fewer stretches between white space.
+REMEMBERED = 800_000
+CHUNKS = 400_000
+# Pairs of tokens that it remembers.
+PAIRS = 300_000
 MEMORY = "300MB"
 
 # Unicode's White_Space, which is what \s means in the pattern.
@@ -114,9 +122,11 @@ _LAST = """
 """
 
 _DECODED = """
-    SELECT w, string_agg(tok || ':' || hex, ',' ORDER BY pos) AS body
+    SELECT count(*) AS n, string_agg(tok, ',' ORDER BY pos) AS ids,
+           unhex(string_agg(hex, '' ORDER BY pos)) AS raw
     FROM rows_out JOIN vocab ON id = tok GROUP BY w ORDER BY w
 """
+DECODED = pa.schema([("n", pa.int64()), ("ids", pa.large_string()), ("raw", pa.large_binary())])
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -157,8 +167,19 @@ class ByteBpe:
         self._table("merges", pa.table(columns, names=["l", "r", "merged"]))
         vocab = {"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]}
         self._table("vocab", pa.table(vocab))
-        self.words: dict[str, tuple] = {}
-        self.chunks: dict[str, tuple] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        # Numbers of words, whose results are the rows of ``results``.
+        self.words: dict[str, int] = {}
+        self.results = DECODED.empty_table()
+        self.forget_chunks()
+
+    def forget_chunks(self) -> None:
+        # Numbers of chunks; the words of chunk i are ``parts[stops[i] : stops[i + 1]]``.
+        self.chunks: dict[str, int] = {}
+        self.parts = np.zeros(0, dtype=np.int32)
+        self.stops = np.zeros(1, dtype=np.int64)
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("fresh", rows)
@@ -201,14 +222,23 @@ class ByteBpe:
             if not self.db.sql("SELECT * FROM rows_in LIMIT 1").fetchall():
                 break
 
-    def decoded(self) -> list[tuple]:
-        """``(count, ids joined by commas, bytes)`` of each word in ``rows_out``."""
-        out = []
-        for body in self.db.sql(_DECODED).to_arrow_table().column("body").to_pylist():
-            pairs = [pair.split(":") for pair in body.split(",")]
-            ids = ",".join([p[0] for p in pairs])
-            out.append((len(pairs), ids, bytes.fromhex("".join([p[1] for p in pairs]))))
-        return out
+    def decoded(self) -> pa.Table:
+        """Count of tokens, ids joined by commas and bytes of each word in ``rows_out``."""
+        return self.db.sql(_DECODED).to_arrow_table().cast(DECODED)
+
+    def decoded_long(self, ids: list[list[int]]) -> pa.Table:
+        """The same of the ids of long words, which more than one query may decode."""
+        tokens = np.concatenate([np.array(t, dtype=np.int32) for t in ids])
+        owner = np.repeat(np.arange(len(ids), dtype=np.int32), [len(t) for t in ids])
+        found, owners = [], []
+        for at in range(0, len(tokens), QUERY_IDS):
+            w, tok = owner[at : at + QUERY_IDS], tokens[at : at + QUERY_IDS]
+            rows = {"w": w, "pos": np.arange(len(w), dtype=np.int32), "tok": tok}
+            self._table("rows_out", pa.table(rows))
+            found.append(self.decoded())
+            owners.append(np.unique(w))
+        ends = np.searchsorted(np.concatenate(owners), np.arange(len(ids) + 1))
+        return joined(pa.concat_tables(found), ends)
 
     def ids(self, words: set[bytes]) -> dict[bytes, list[int]]:
         """The ids of each word, as its contraction leaves them."""
@@ -223,7 +253,7 @@ class ByteBpe:
 
     def _learn_pairs(self, pairs: set[tuple[int, int]]) -> None:
         """Know of each pair of tokens whether they are compatible."""
-        if len(self.compatible) > REMEMBERED:
+        if len(self.compatible) > PAIRS:
             self.compatible.clear()
         both = {p: self.tokens[p[0]] + self.tokens[p[1]] for p in pairs.difference(self.compatible)}
         found = self.ids(set(both.values()))
@@ -262,14 +292,13 @@ class ByteBpe:
                 windows.append([low, high])
         return windows
 
-    def _learn_words(self, words: list[str], into: dict[str, tuple]) -> None:
+    def _learn_words(self, words: list[str]) -> None:
         coded = {word: word.encode() for word in words}
         short = [w for w in words if len(coded[w]) <= LONG]
-        at = 0
+        found = [self.results]
         for some in _by_work([coded[w] for w in short]):
             self.contract(some)
-            into.update(zip(short[at : at + len(some)], self.decoded()))
-            at += len(some)
+            found.append(self.decoded())
         long = [w for w in words if len(coded[w]) > LONG]
         some: list[str] = []
         size = 0
@@ -277,49 +306,70 @@ class ByteBpe:
             some.append(word)
             size += len(coded[word])
             if size >= LONG_BYTES or i == len(long):
-                found = [np.array(t, dtype=np.int32) for t in self.spliced([coded[w] for w in some])]
-                sizes = [len(t) for t in found]
-                rows = {
-                    "w": np.repeat(np.arange(len(some), dtype=np.int32), sizes),
-                    "pos": np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]),
-                    "tok": np.concatenate(found),
-                }
-                self._table("rows_out", pa.table(rows))
-                into.update(zip(some, self.decoded()))
+                found.append(self.decoded_long(self.spliced([coded[w] for w in some])))
                 some, size = [], 0
-
-    def learn(self, chunks: list[str], long: dict[str, tuple]) -> None:
-        """Remember short chunks and words; the others' results go to ``long``."""
-        cut = self.pattern.findall
-        split = {chunk: cut(chunk) for chunk in chunks}
-        fresh = {word for words in split.values() for word in words}.difference(self.words)
-        big = {word for word in fresh if len(word) > LONG}
-        self._learn_words(sorted(fresh - big), self.words)
-        own: dict[str, tuple] = {}
-        self._learn_words(sorted(big), own)
-        for chunk, words in split.items():
-            if len(words) == 1 and words[0] in self.words:
-                self.chunks[chunk] = self.words[words[0]]
-                continue
-            known = [own[word] if word in own else self.words[word] for word in words]
-            (long if len(chunk) > LONG else self.chunks)[chunk] = joined(known)
+        self.results = pa.concat_tables(found).combine_chunks()
+        self.words.update(zip(short + long, range(len(self.words), self.results.num_rows)))
+
+    def learn(self, chunks: set[str]) -> None:
+        """Remember chunks and their words, those longer than ``LONG`` after all others."""
+        order = sorted(chunks, key=_is_long)
+        split = list(map(self.pattern.findall, order))
+        fresh = sorted(set().union(*split).difference(self.words), key=_is_long)
+        big = sum(map(_is_long, fresh))
+        self._learn_words(fresh[: len(fresh) - big])
+        self._learn_words(fresh[len(fresh) - big :])
+        parts = [self.words[word] for word in chain.from_iterable(split)]
+        stops = np.cumsum([len(words) for words in split], dtype=np.int64)
+        self.stops = np.concatenate([self.stops, stops + len(self.parts)])
+        self.parts = np.concatenate([self.parts, np.array(parts, dtype=np.int32)])
+        self.chunks.update(zip(order, range(len(self.chunks), len(self.stops) - 1)))
+
+    def forget_long(self) -> None:
+        """Forget words and chunks longer than ``LONG``, which are the last."""
+        for known in (self.words, self.chunks):
+            while known and _is_long(next(reversed(known))):
+                known.popitem()
+        self.results = self.results.slice(0, len(self.words))
+        self.stops = self.stops[: len(self.chunks) + 1]
+        self.parts = self.parts[: self.stops[-1]]
 
     def encode(self, texts: list[str]) -> Iterator[tuple]:
         """``(count, ids joined by commas, decoded bytes)`` of each text."""
-        if len(self.words) > REMEMBERED or len(self.chunks) > REMEMBERED:
-            self.words.clear()
-            self.chunks.clear()
+        if len(self.words) > REMEMBERED:
+            self.forget()
+        if len(self.chunks) > CHUNKS:
+            self.forget_chunks()
         split = [_COARSE.findall(text) for text in texts]
-        fresh = set().union(*split).difference(self.chunks)
-        long: dict[str, tuple] = {}
+        chunks = list(chain.from_iterable(split))
+        fresh = set(chunks).difference(self.chunks)
         if fresh:
-            self.learn(sorted(fresh), long)
-        known = self.chunks.__getitem__
-        for chunks in split:
-            if long:
-                yield joined([self.chunks.get(chunk) or long[chunk] for chunk in chunks])
-            else:
-                yield joined(list(map(known, chunks)))
+            self.learn(fresh)
+        numbers = np.fromiter(map(self.chunks.__getitem__, chunks), np.int64, len(chunks))
+        first = self.stops[numbers]
+        sizes = self.stops[numbers + 1] - first
+        stops = np.cumsum(np.concatenate([[0], sizes]))
+        # The words of all texts, and where each text's begin and end.
+        words = self.parts[np.arange(stops[-1]) + np.repeat(first - stops[:-1], sizes)]
+        ends = stops[np.cumsum([0, *map(len, split)])]
+        found = joined(self.results.take(pa.array(words)), ends)
+        self.forget_long()
+        yield from zip(*(column.to_pylist() for column in found.columns))
+
+
+def _is_long(text: str) -> bool:
+    return len(text) > LONG
+
+
+def joined(rows: pa.Table, ends: np.ndarray) -> pa.Table:
+    """A row for the rows from each end to the next: counts added, ids and bytes joined."""
+    counts = np.concatenate([[0], np.cumsum(rows["n"].to_numpy())])[ends]
+    columns = [pa.array(np.diff(counts))]
+    for name, between in (("ids", b","), ("raw", b"")):
+        values = rows[name].combine_chunks()
+        between = pa.scalar(between, pa.large_binary()).cast(values.type)
+        columns.append(pc.binary_join(pa.LargeListArray.from_arrays(ends, values), between))
+    return pa.table(columns, schema=DECODED)
 
 
 def _replaced(ids: list[int], windows: list, new: list[list[int]]) -> tuple[list[int], list[int]]:
@@ -351,14 +401,6 @@ def _by_work(words: list[bytes]) -> Iterator[list[bytes]]:
         yield some
 
 
-def joined(parts: list[tuple]) -> tuple:
-    return (
-        sum([p[0] for p in parts]),
-        ",".join([p[1] for p in parts]),
-        b"".join([p[2] for p in parts]),
-    )
-
-
 @lru_cache(maxsize=2)
 def _tokenizer(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)

@@ -123,6 +123,51 @@ def test_byte_bpe_splices_long_words(monkeypatch, tiktokens):
     as_tiktoken(byte_bpe.ByteBpe(RANKS, public_tokenizers.PATTERN), tiktokens, texts[:40] + HARD)
 
 
+def test_byte_bpe_contracts_a_word_once(monkeypatch, tiktokens):
+    """A worker meets hundreds of thousands of words; those it has met are not contracted again."""
+    bpe = byte_bpe.ByteBpe(RANKS, public_tokenizers.PATTERN)
+    contracted = []
+    contract = bpe.contract
+    monkeypatch.setattr(bpe, "contract", lambda words: contracted.extend(words) or contract(words))
+    text = " ".join(map(str, range(310_000)))
+    for more, new in (("", 310_000), (" one", 1), (" one, two", 2), ("", 0)):
+        contracted.clear()
+        as_tiktoken(bpe, tiktokens, [text + more])
+        assert len(set(contracted)) == len(contracted) == new
+
+
+def test_byte_bpe_forgets_long_words_only(tiktokens):
+    """Long words and chunks among others, in one call and over several."""
+    long = "x" * 97
+    texts = [f"a {long} b", "", f"{long},{long} a", f"new{' ' * 200}b", "a b new", "\n" * 300, f"é{long}"]
+    bpe = byte_bpe.ByteBpe(RANKS, public_tokenizers.PATTERN)
+    assert list(bpe.encode([])) == []
+    for some in (texts, texts[::-1], texts[4:], [""], *([text] for text in texts)):
+        as_tiktoken(bpe, tiktokens, some)
+        assert not any(len(known) > byte_bpe.LONG for known in [*bpe.words, *bpe.chunks])
+    assert {"a", " b", "new"} <= {*bpe.words} and {"a", " b", " new"} <= {*bpe.chunks}
+
+
+def test_byte_bpe_decodes_long_words_in_parts(monkeypatch, tiktokens):
+    """Words of more ids than one query decodes, also several words in a query."""
+    bpe = byte_bpe.ByteBpe(RANKS, public_tokenizers.PATTERN)
+    [space] = set(tiktokens.encode_ordinary(" " * 1000))  # the pattern of the library stops at millions
+    n, ids, raw = next(bpe.encode([" " * 3_200_000]))
+    assert (n, ids) == (3_200_000, ",".join([str(space)] * n)) and raw == b" " * n
+    monkeypatch.setattr(byte_bpe, "QUERY_IDS", 37)
+    texts = ["xyz" * n + " " + "é=" * n + "=" * n + " \n" * n for n in (97, 99, 130, 401)]
+    for some in (texts, texts[:1], [" ".join(texts)]):
+        as_tiktoken(bpe, tiktokens, some)
+
+
+def test_byte_bpe_keeps_words_without_chunks(monkeypatch, tiktokens):
+    monkeypatch.setattr(byte_bpe, "CHUNKS", 5)
+    bpe = byte_bpe.ByteBpe(RANKS, public_tokenizers.PATTERN)
+    for text in ["one two three, four. five! six?", "one, two three four", "nine one"] * 2:
+        as_tiktoken(bpe, tiktokens, [text])
+        assert set(bpe.pattern.findall(text)) <= {*bpe.words}
+
+
 def test_byte_bpe_within_its_memory(tiktokens):
     """Long words, and many of them, in a database of MEMORY and in time that follows their length."""
     rng = random.Random(7)

@@ -9,8 +9,8 @@ lists the candidates, and exact integer products decide. The least score rises w
 that a task has looked at, as the best rows so far are known.
 
 Buckets meet anchors in blocks: the anchors of one bucket are a block. Positives are looked for in
-buckets that share a label with the block. Negatives can be anywhere, so blocks go to every cell of
-buckets. What a block and a bucket find is a few rows for each anchor.
+buckets that share a label with the block. Negatives can be anywhere, so every cell of buckets reads
+all blocks. What a block and a bucket find is a few rows for each anchor.
 """
 
 from collections import OrderedDict
@@ -373,6 +373,12 @@ def _few_at_once(spark: SparkSession, rows: int) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def _shuffled(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """A join that sends neither side through the driver. Spark takes blocks and buckets for as
+    large as their compressed files, and would broadcast what is many times larger in memory."""
+    return left.hint("merge").join(right, key)
+
+
 def positives_of(blocks: DataFrame, buckets: DataFrame, most: int = POSITIVES) -> DataFrame:
     """``(block, anchor, rank, positive_id, positive_score)``: each anchor's best rows of its label."""
 
@@ -385,7 +391,8 @@ def positives_of(blocks: DataFrame, buckets: DataFrame, most: int = POSITIVES) -
     right = buckets.select("bucket", F.explode("label_set").alias("of"))
     # Numbers alone: the rows of blocks and buckets are joined to each pair once.
     pairs = left.join(right, "of").select("block", "bucket").distinct()
-    met = pairs.join(_as_block(blocks), "block").join(buckets.drop("label_set"), "bucket")
+    met = _shuffled(pairs, _as_block(blocks), "block")
+    met = _shuffled(met, buckets.drop("label_set"), "bucket")
     schema = pa.schema([_ANCHOR, ("block", pa.int64()), *_FOUND])
     found = met.mapInArrow(
         _search(whole, most, True, schema),
@@ -427,12 +434,20 @@ def negatives_of(
     # A block has a bucket's rows at most, and a few positives for each.
     told = F.collect_list(F.struct("anchor", "rank", "positive_id", "positive_score"))
     windows = positives.groupBy(F.col("block").alias("bucket")).agg(told.alias("told"))
-    asking = _as_block(blocks.join(windows, "bucket"), "told")
-    cells = max(1, min(buckets.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    asking = asking.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-    asked = buckets.withColumn("cell", F.pmod(F.hash("bucket"), F.lit(cells)))
+    asking = written(_as_block(_shuffled(blocks, windows, "bucket"), "told"), "asking")
+    # A cell has as many buckets as a task keeps unpacked, about, or fewer.
+    n = buckets.count()
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = max(1, min(n, partitions), -(-n // BUCKETS_UNPACKED))
     one_label = (F.size("label_set") == 1) & F.col("label_set").eqNullSafe(F.col("block_labels_in"))
-    met = asking.join(asked, "cell").filter(~one_label).drop("cell", "label_set", "block_labels_in")
+    # Each cell's task reads the blocks from their files: no copies of them are shuffled or sent
+    # through the driver, however many cells there are.
+    met = (
+        asking.coalesce(1)
+        .hint("shuffle_replicate_nl")
+        .join(buckets.repartition(cells), ~one_label)
+        .drop("label_set", "block_labels_in")
+    )
     schema = pa.schema([_ANCHOR, *_POSITIVE, *_FOUND])
     found = met.mapInArrow(
         _search(between, most, False, schema),

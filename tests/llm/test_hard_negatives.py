@@ -140,3 +140,47 @@ def test_candidates_hold_all_that_matters():
             if least == int(np.sort(scores)[-5]):
                 seen += len(found)
     assert seen < 100 * 1000 / 2
+
+
+def test_rows_pass_no_driver(spark, monkeypatch):
+    """Blocks and buckets are never broadcast, whatever sizes Spark estimates: a broadcast is
+    collected in the driver, and one of blocks beside every cell grew with both numbers."""
+    sent, write = {}, hard.written
+
+    def nodes(node):
+        yield node
+        if node.nodeName() == "AdaptiveSparkPlan":
+            yield from nodes(node.initialPlan())
+        for i in range(node.children().size()):
+            yield from nodes(node.children().apply(i))
+
+    def seen(df, name):
+        plan = df._jdf.queryExecution().executedPlan()
+        broadcasts = [n for n in nodes(plan) if n.nodeName() == "BroadcastExchange"]
+        sent[name] = [n.output().mkString(",") for n in broadcasts]
+        return write(df, name)
+
+    monkeypatch.setattr(hard, "written", seen)
+    rows = clustered(random.Random(6), 300)
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1g")
+    try:
+        assert mined(spark, rows, bucket=16) == plain(rows)
+    finally:
+        spark.conf.set(name, before)
+    columns = [c.split("#")[0] for outputs in sent.values() for o in outputs for c in o.split(",")]
+    assert not {"v", "block_v", "lists", "told"} & set(columns), sent
+    assert {"positives_found", "negatives_found"} <= set(sent)
+
+
+@pytest.mark.parametrize("partitions", ["1", "3", "300"])
+def test_any_number_of_cells(spark, partitions):
+    rows = clustered(random.Random(7), 300)
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, partitions)
+    try:
+        assert mined(spark, rows, bucket=16) == plain(rows)
+    finally:
+        spark.conf.set(name, before)
